@@ -28,6 +28,16 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import learn, score
+    from .workspace import Workspace
+
+    docs = read_table(spark, sf_dir, "documents")
+    held = fold(5, 1)
+    with Workspace(spark, "lm") as ws:
+        return ws.keep(score(docs, learn(ws, docs.where(~held)), held))
+
+
 def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -108,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
+        op2_language_model,
         op3_hierarchical_packing,
         op4_chat_formatting,
         op5_benchmark_decontamination,
