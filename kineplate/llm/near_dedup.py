@@ -12,12 +12,13 @@ groups are the connected components of the links.
     that many documents share stays out of the lists unless most of a document
     consists of it. Sets of fewer than K * 0.8 shingles are sketched whole and
     use the exact bound instead.
-3.  Every member of a list is compared with one member, not with all: first the
-    smallest, then, in lists that still hold more than one component, a second
-    one that differs from list to list. What is left of such lists is compared
-    in tiles of bounded size, so all pairs of different components are tested.
-4.  A pair passes when the union sketch estimates at least the threshold less
-    SLACK standard errors, and is then confirmed on the full sets.
+3.  Every member of a list is compared with the list's smallest one, not with
+    all. A pair passes when the union sketch estimates at least the threshold
+    less SLACK standard errors, and is then confirmed on the full sets.
+4.  Lists that still hold more than one component form families (members of a
+    list are of one family). Within a family all pairs of different components
+    are tested, in tiles of TILE documents: by the overlap of the retained
+    values, then on the full sets. A tile pair returns a forest of its links.
 
 Documents without words have an empty set and no links. Null ids link with
 nothing and get a null component. Repeated rows are members of one class.
@@ -38,7 +39,7 @@ from .graph import components
 from .workspace import Workspace
 
 K, NEED, SLACK = 64, 26, 6.0
-#: Members of a tile in the last comparison of a list.
+#: Documents of a tile.
 TILE = 256
 
 
@@ -133,19 +134,34 @@ def _confirmed(ws: Workspace, pairs: DataFrame, small: DataFrame, sets: DataFram
     return likely.join(side(sets, "a"), "a").join(side(sets, "b"), "b").where(sure("shingles_a", "shingles_b")).select("a", "b")
 
 
-def _tiles(ws: Workspace, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of what is left of the lists; each tile pair returns a forest."""
-    sized = members.join(members.groupBy("v").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "v")
-    spot = F.pmod(F.xxhash64("doc_id", "v"), F.col("tiles")).cast("int")
+def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within the families of members(doc_id, component, family); each pair of tiles returns a forest."""
+    sized = members.join(members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "family")
+    spot = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     dealt = sized.withColumn("spot", spot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("v", "doc_id", "component", "spot", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"))
+    dealt = dealt.select("family", "doc_id", "component", "spot", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"))
     dealt = dealt.join(sets, "doc_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comp = pdf.doc_id.tolist(), pdf.component.tolist()
+        ids, comp, spots = pdf.doc_id.to_numpy(), pdf.component.to_numpy(), pdf.spot.to_numpy()
         full = [np.frombuffer(x, np.uint64) for x in pdf.shingles]
-        spots, across = pdf.spot.tolist(), pdf.i.iloc[0] != pdf.j.iloc[0]
-        root = {c: c for c in comp}
+        n = np.array([len(x) for x in full])
+        kept = [x[:K] for x in full]
+        _, code, often = np.unique(np.concatenate(kept), return_inverse=True, return_counts=True)
+        rank = np.cumsum(often > 1) - 1
+        shared = np.zeros((len(ids), int((often > 1).sum())), np.float32)
+        rows = np.repeat(np.arange(len(ids)), [len(x) for x in kept])
+        two = often[code] > 1
+        shared[rows[two], rank[code[two]]] = 1
+        overlap = shared @ shared.T
+        large, small = np.maximum.outer(n, n), np.minimum.outer(n, n)
+        bound = np.where(large <= K, np.ceil(large * percent / 100), NEED)
+        test = (comp[:, None] != comp) & (100 * small >= percent * large) & (overlap >= bound)
+        if pdf.i.iloc[0] != pdf.j.iloc[0]:
+            test &= spots[:, None] != spots
+        xs, ys = np.nonzero(np.triu(test, 1))
+        best = np.argsort(-overlap[xs, ys], kind="stable")
+        root = {c: c for c in comp.tolist()}
 
         def find(c: int) -> int:
             while root[c] != c:
@@ -153,19 +169,14 @@ def _tiles(ws: Workspace, members: DataFrame, sets: DataFrame, percent: int) ->
             return c
 
         out = []
-        for x in range(len(ids)):
-            for y in range(x):
-                if across and spots[x] == spots[y] or 100 * min(len(full[x]), len(full[y])) < percent * max(len(full[x]), len(full[y])):
-                    continue
-                p, q = find(comp[x]), find(comp[y])
-                if p != q:
-                    share, seen = estimate(full[x][:K], full[y][:K])
-                    if share >= percent / 100 - SLACK * (0.16 / max(seen, 1)) ** 0.5 and similar(full[x], full[y], percent):
-                        root[max(p, q)] = min(p, q)
-                        out.append((ids[x], ids[y]))
+        for x, y in zip(xs[best].tolist(), ys[best].tolist(), strict=True):
+            p, q = find(int(comp[x])), find(int(comp[y]))
+            if p != q and similar(full[x], full[y], percent):
+                root[max(p, q)] = min(p, q)
+                out.append((ids[x], ids[y]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("v", "i", "j").applyInPandas(run, "a long, b long")
+    return dealt.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -190,19 +201,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
         links = ws.table(_confirmed(ws, pairs, small, sets, percent, "one"), "links-1")
         found = components(ws, links, "one")
-        for turn in (2, 3):
-            state = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            open_ = state.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", "v"), "doc_id", "component")).alias("pick")).where("lo <> hi")
-            left = ws.table(state.join(open_.select("v", F.col("pick.doc_id").alias("pick"), F.col("pick.component").alias("pick_component")), "v"), f"open-{turn}")
-            if not left.limit(1).count():
-                break
-            if turn == 2:
-                pairs = left.where("component <> pick_component and pick <> first and doc_id <> first").select(F.least("doc_id", "pick").alias("a"), F.greatest("doc_id", "pick").alias("b")).distinct()
-                more = _confirmed(ws, pairs, small, sets, percent, "two")
-            else:
-                more = _tiles(ws, left.select("v", "doc_id", "component"), sets, percent)
-            links = ws.table(links.union(more.select("a", "b")), f"links-{turn}")
-            found = components(ws, links, str(turn))
+        state = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        unsettled = state.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        left = ws.table(state.join(unsettled.select("v"), "v").select("doc_id", "component", "first").distinct(), "left")
+        if left.limit(1).count():
+            families = components(ws, left.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "family")
+            rest = left.select("doc_id", "component").distinct().join(families.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+            more = ws.table(links.union(_tiles(rest, sets, percent)), "links-2")
+            found = components(ws, more, "two")
 
         group = classes.join(found, classes.rep == found.id, "left").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "rep").alias("group_id"))
         out = drawn.join(group, (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
