@@ -88,16 +88,21 @@ class ItemIndex:
                     yield row, k, len(self.sets[k]), common
 
 
-def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row (doc_id, item_id, item_shingles, common, containment) for each item(item_id, text) that a row of docs(doc_id, text, ...) contains."""
+def _blocks(items: DataFrame, width: int, percent: int) -> Iterator[ItemIndex]:
+    """The items in blocks of about BLOCK characters, one on the driver at a time; an empty table is one empty block."""
     rows = items.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK) or 1
+    for k in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
+        yield ItemIndex(block.column("item_id").to_pylist(), block.column("text"), width, percent)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row (doc_id, item_id, item_shingles, common, containment) for each item(item_id, text) that a row of docs(doc_id, text, ...) contains."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
-    for k in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).toPandas() if blocks > 1 else rows.toPandas()
-        index = ItemIndex([None if x != x else int(x) for x in block.item_id], pa.array(block.text, pa.string()), width, percent)
+    for index in _blocks(items, width, percent):
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -114,6 +119,15 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that contain no item; columns stay as they are."""
-    hit = contained_items(docs, items, width, percent).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    """The rows of docs(text, ...) that contain no item, in one pass per block; columns stay as they are."""
+    for index in _blocks(items, width, percent):
+
+        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in T.slices(batch):
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[row for row, *_ in index.search(part.column(part.schema.get_field_index("text")))]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

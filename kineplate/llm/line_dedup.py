@@ -1,7 +1,7 @@
 """Deduplication of lines by levelled sorted runs of line hashes.
 
-A run is a Parquet table (h1, h2, n_docs), sorted by hash within hash
-partitions: how many documents of a batch hold each line. New batches add runs
+A run is a Parquet table (h1, h2, n_docs, first), sorted by hash within hash
+partitions: how many documents of a batch hold each line, and which first. New batches add runs
 of level 0; when FAN runs of a level are there, they are merged into one of the
 next, so a batch meets few runs however many came before it. A batch is
 merge-anti-joined with the runs to lose lines seen before, or, when all runs
@@ -29,16 +29,16 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key(line: Column) -> Column:
-    bare = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
-    # lower() folds other letters too, so only ASCII takes this faster way
-    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
-
+def line_hashes(text: Column, least: int) -> Column:
+    """For each line the hash of its key, a struct of two longs; null for keys with fewer than `least` code points.
 
-def hashed(line: Column, least: int) -> Column:
-    """Hash of a line's key as a struct of two longs; null for keys with fewer than `least` code points."""
-    k = key(line)
-    return F.when(F.length(k) >= least, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2")))
+    One transform follows the other so that a lambda names its argument's
+    expression once: what a lambda repeats is computed again each time.
+    """
+    bare = F.transform(split_lines(text), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
+    # lower() folds other letters too, so only ASCII takes this faster way
+    keys = F.transform(bare, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER)))
+    return F.transform(keys, lambda k: F.when(F.length(k) >= least, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2"))))
 
 
 class LineRuns:
@@ -56,7 +56,7 @@ class LineRuns:
         self.levels[level].append((name, self.ws.table(df.sortWithinPartitions("h1", "h2"), name)))
 
     def add(self, counted: DataFrame) -> None:
-        """Adds a batch's counts (h1, h2, n_docs) as a run, and compacts full levels."""
+        """Adds a batch's counts (h1, h2, n_docs, first) as a run, and compacts full levels."""
         self._write(counted, 0)
         level = 0
         while len(self.levels[level]) >= FAN:
@@ -74,7 +74,7 @@ class LineRuns:
         both = runs[0][1]
         for _, run in runs[1:]:
             both = both.unionByName(run)
-        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("first"))
 
     def total(self) -> DataFrame:
         return self._sum([run for level in self.levels for run in level])
@@ -87,25 +87,23 @@ class LineRuns:
         return lines
 
 
-def count_lines(docs: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, n_docs): in how many rows of docs each line stands."""
-    hashes = F.array_distinct(F.filter(F.transform(split_lines(F.col("text")), lambda x: hashed(x, least)), lambda h: h.isNotNull()))
-    return docs.select(F.explode(hashes).alias("h")).groupBy("h.h1", "h.h2").agg(F.count("*").alias("n_docs"))
+def count_lines(hashed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, h1, h2, n_docs, first): in how many rows of hashed(row_id, hashes, ...) each line stands, and the smallest id among them."""
+    once = hashed.select(*keys, "row_id", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h"))
+    return once.groupBy(*keys, "h.h1", "h.h2").agg(F.count("*").alias("n_docs"), F.min("row_id").alias("first"))
 
 
-def add_table(runs: LineRuns, docs: DataFrame, least: int, batches: int = BATCHES) -> None:
-    """Adds all rows of docs in batches by the hash of their id; one pass over the texts counts the lines of all batches."""
-    hashes = F.array_distinct(F.filter(F.transform(split_lines(F.col("text")), lambda x: hashed(x, least)), lambda h: h.isNotNull()))
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    counted = docs.select(batch.alias("batch"), F.explode(hashes).alias("h")).groupBy("batch", "h.h1", "h.h2").agg(F.count("*").alias("n_docs"))
-    all_ = runs.ws.table(counted, "counted")
+def add_table(runs: LineRuns, hashed: DataFrame, batches: int = BATCHES) -> None:
+    """Adds all rows of hashed(row_id, hashes) in batches by the hash of their id."""
+    batch = F.pmod(F.xxhash64("row_id"), F.lit(batches)).cast("int")
+    all_ = runs.ws.table(count_lines(hashed.select(batch.alias("batch"), "row_id", "hashes"), "batch"), "counted")
     for k in range(batches):
-        runs.add(all_.where(F.col("batch") == k).select("h1", "h2", "n_docs"))
+        runs.add(all_.where(F.col("batch") == k).select("h1", "h2", "n_docs", "first"))
     runs.ws.drop("counted")
 
 
-def drop_common_lines(docs: DataFrame, least: int = 1, documents: int = 10) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text: lines whose key (of `least` code points or more) stands in at least `documents` documents are dropped everywhere.
+def drop_common_lines(docs: DataFrame, least: int = 1, documents: int = 10, keep_first: bool = False) -> DataFrame:
+    """docs with n_lines, n_dropped and kept_text: lines whose key (of `least` code points or more) stands in at least `documents` documents are dropped everywhere, or with keep_first everywhere but in the document with the smallest id.
 
     Needs columns text and doc_id; all columns stay. The places to drop are
     looked up apart from the texts and joined to them by row, so a line that
@@ -114,12 +112,14 @@ def drop_common_lines(docs: DataFrame, least: int = 1, documents: int = 10) -> D
     """
     ws = Workspace(docs.sparkSession, "line-dedup")
     runs = LineRuns(ws)
-    add_table(runs, docs, least)
-    common = ws.table(runs.total().where(F.col("n_docs") >= documents).select("h1", "h2"), "common")
-    # a row is known by its id, text length and hash, so rows with the same id keep apart
+    # a row is known by its id and a hash, so rows with the same id keep apart
     mark = [F.col("doc_id").alias("row_id"), F.xxhash64("doc_id", "text").alias("row_hash")]
-    placed = docs.select(*mark, F.posexplode(F.transform(split_lines(F.col("text")), lambda x: hashed(x, least))).alias("at", "h")).where("h is not null")
-    placed = placed.select("row_id", "row_hash", "at", "h.h1", "h.h2").join(common, ["h1", "h2"], "left_semi")
+    hashed = ws.table(docs.select(*mark, line_hashes(F.col("text"), least).alias("hashes")), "hashed")
+    add_table(runs, hashed)
+    common = ws.table(runs.total().where(F.col("n_docs") >= documents).select("h1", "h2", "first"), "common")
+    placed = hashed.select("row_id", "row_hash", F.posexplode("hashes").alias("at", "h")).where("h is not null")
+    placed = placed.select("row_id", "row_hash", "at", "h.h1", "h.h2").join(common, ["h1", "h2"])
+    placed = placed.where(~F.col("row_id").eqNullSafe(F.col("first"))) if keep_first else placed
     gone = ws.table(placed.groupBy("row_id", "row_hash").agg(F.collect_set("at").alias("gone")), "gone")
     names = docs.columns
     rows = docs.select(*names, F.xxhash64("doc_id", "text").alias("row_hash_"), split_lines(F.col("text")).alias("lines_"))
@@ -130,4 +130,5 @@ def drop_common_lines(docs: DataFrame, least: int = 1, documents: int = 10) -> D
     out = rows.select(*names, F.size("lines_").cast("long").alias("n_lines"), F.size(gone_).cast("long").alias("n_dropped"), text.alias("kept_text"))
     ws.drop(runs.name)
     ws.drop("common")
+    ws.drop("hashed")
     return out
