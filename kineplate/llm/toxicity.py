@@ -94,7 +94,8 @@ def _train_rows(ws: Workspace, docs: DataFrame, labels: DataFrame) -> DataFrame:
                 votes = pa.FixedSizeListArray.from_arrays(pa.array(patterns(part.column(2)).ravel()), len(PATTERNS)).cast(pa.list_(pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least.view(np.int64)), lists, votes], ["doc_id", "toxic", "least", "feats", "votes"])
 
-    one = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    # labels grow with the documents, so they are merged at every size and never broadcast
+    one = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic")).hint("merge")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").join(one, F.col("doc_id") == F.col("label_id"))
     return ws.table(rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, least long, feats array<int>, votes array<boolean>"), "train")
 
