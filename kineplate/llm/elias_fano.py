@@ -58,9 +58,6 @@ class EliasFano:
         value |= np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return value & np.uint64((1 << self.width) - 1)
 
-    def _bit(self, at: np.ndarray) -> np.ndarray:
-        return (self.high[at >> 6] >> (at & 63).astype(np.uint64)) & ONE
-
     def _select(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high bits, from 0."""
         at = self.zeros[k // STRIDE].astype(np.int64)
@@ -84,26 +81,28 @@ class EliasFano:
         return word * 64 + place
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first element equal to each x, else -1: the successor search visits the one bucket that may hold x."""
+        """Index of the first element equal to each x, else -1: a binary search in the one bucket that may hold x."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
         x = x.astype(np.uint64)
         bucket = (x >> np.uint64(self.width)).astype(np.int64)
         want = x & np.uint64((1 << self.width) - 1)
-        at = np.zeros(len(x), np.int64)
+        low = np.zeros(len(x), np.int64)
         inner = bucket > 0
-        at[inner] = self._select(bucket[inner] - 1) + 1
-        index = at - bucket
-        todo = np.arange(len(x))
+        low[inner] = self._select(bucket[inner] - 1) + 1 - bucket[inner]
+        end = self._select(bucket) - bucket
+        high = end.copy()
+        todo = np.flatnonzero(low < high)
         while len(todo):
-            todo = todo[self._bit(at[todo]) == ONE]
-            have = self._low(index[todo])
-            hit = have == want[todo]
-            out[todo[hit]] = index[todo[hit]]
-            todo = todo[have < want[todo]]
-            at[todo] += 1
-            index[todo] += 1
+            middle = (low[todo] + high[todo]) >> 1
+            less = self._low(middle) < want[todo]
+            low[todo[less]] = middle[less] + 1
+            high[todo[~less]] = middle[~less]
+            todo = todo[low[todo] < high[todo]]
+        inside = np.flatnonzero(low < end)
+        hit = inside[self._low(low[inside]) == want[inside]]
+        out[hit] = low[hit]
         return out
 
     def decode(self) -> np.ndarray:

@@ -174,13 +174,20 @@ class Trie:
                 out[borders[s] : borders[s + 1]] = np.where(words[at] == own, at + self.offsets[s], -1)
         return out
 
+    def by_shard(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard with the places of its ids; unknown ids (-1) are left out."""
+        known = np.flatnonzero(ids >= 0)
+        shard = np.searchsorted(self.offsets, ids[known], "right") - 1
+        order = np.argsort(shard, kind="stable")
+        borders = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(borders)).tolist():
+            yield s, known[order[borders[s] : borders[s + 1]]]
+
     def gather(self, name: str, ids: np.ndarray, blank: float) -> np.ndarray:
         """An array of level 1 at ids, `blank` where the id is -1."""
         out = np.full(len(ids), blank, np.float64)
-        shard = np.searchsorted(self.offsets, ids, "right") - 1
-        for s in np.unique(shard[ids >= 0]):
-            mine = (shard == s) & (ids >= 0)
-            out[mine] = self.part(int(s), name)[ids[mine] - self.offsets[s]]
+        for s, mine in self.by_shard(ids):
+            out[mine] = self.part(s, name)[ids[mine] - self.offsets[s]]
         return out
 
     def single(self, ids: np.ndarray) -> np.ndarray:
@@ -190,16 +197,14 @@ class Trie:
     def after(self, context: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
         """log10 P(word | context) by ids; single: log10 P1 of the words."""
         out = single.copy()
-        shard = np.searchsorted(self.offsets, context, "right") - 1
-        for s in np.unique(shard[context >= 0]):
-            mine = np.flatnonzero((shard == s) & (context >= 0))
+        for s, mine in self.by_shard(context):
             place = context[mine] - self.offsets[s]
-            out[mine] = single[mine] - self.part(int(s), "back")[place] / GRAIN
+            out[mine] -= self.part(s, "back")[place] / GRAIN
             known = word[mine] >= 0
             mine, place = mine[known], place[known]
-            index = self.sequence(int(s), "next").find(place.astype(np.uint64) * np.uint64(self.size) + word[mine].astype(np.uint64))
+            index = self.sequence(s, "next").find(place.astype(np.uint64) * np.uint64(self.size) + word[mine].astype(np.uint64))
             seen = index >= 0
-            out[mine[seen]] = -self.part(int(s), "next-prob")[index[seen]].astype(np.float64) / GRAIN
+            out[mine[seen]] = -self.part(s, "next-prob")[index[seen]].astype(np.float64) / GRAIN
         return out
 
     def successors(self, context: int) -> np.ndarray:
@@ -217,15 +222,15 @@ def shard_borders(hashes: np.ndarray, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, np.array([s * step for s in range(shards)], np.uint64)), len(hashes))
 
 
-def pair_ids(trie: Trie, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids of a text column's tokens, of the tokens before them, and the places where texts start."""
+def known_words(trie: Trie, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a text column's distinct tokens, the place of each token among them and of the token before it, and where texts start."""
     hashes, at = tokens(column)
-    distinct, back = np.unique(hashes, return_inverse=True)
-    ids = trie.ids(distinct)[back]
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[at[:-1]] = trie.ids(np.array([END], np.uint64))[0]
-    return ids, before, at
+    distinct, back = np.unique(np.append(hashes, END), return_inverse=True)
+    word = back[:-1]
+    before = np.empty(len(word), np.int64)
+    before[1:] = word[:-1]
+    before[at[:-1]] = back[-1]
+    return trie.ids(distinct), word, before, at
 
 
 def learn(ws: Workspace, train: DataFrame) -> Trie:
@@ -260,8 +265,9 @@ def learn(ws: Workspace, train: DataFrame) -> Trie:
     spark.range(0, shards, 1, min(shards, wanted)).mapInArrow(single, "id long").count()
 
     def pairs(column: pa.Array) -> np.ndarray:
-        ids, before, _ = pair_ids(trie, column)
-        return before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
+        ids, word, before, _ = known_words(trie, column)
+        ids = ids.astype(np.uint64)
+        return ids[before] << np.uint64(32) | ids[word]
 
     def cuts(values: np.ndarray) -> np.ndarray:
         return np.append(np.searchsorted(values, trie.offsets[:-1].astype(np.uint64) << np.uint64(32)), len(values))
@@ -296,10 +302,13 @@ def score(docs: DataFrame, trie: Trie, extra: Column | None = None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch):
-                ids, before, at = pair_ids(trie, part.column(2))
+                ids, word, before, at = known_words(trie, part.column(2))
                 counts = trie.gather("counts", ids, 0)
-                base = np.log10((counts + 0.5) / (trie.total + 0.5 * (trie.size + 1)))
-                told = trie.after(before, ids, trie.single(ids))
+                base = np.log10((counts + 0.5) / (trie.total + 0.5 * (trie.size + 1)))[word]
+                pairs, back = np.unique(before << 32 | word, return_inverse=True)
+                later = pairs & 0xFFFFFFFF
+                told = trie.after(ids[pairs >> 32], ids[later], trie.single(ids)[later])[back]
+                counts = counts[word]
                 sums = [np.add.reduceat(x, at[:-1]) for x in ((counts > 0).astype(np.int64), base, told)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(np.full(len(at) - 1, trie.total)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
