@@ -195,8 +195,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         members = _listed(ws, reps, percent)
         listed = members.select("doc_id").distinct()
         small = ws.table(reps.join(listed, "doc_id"), "small")
-        sets = docs.join(listed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = ws.table(full_sets(sets, width), "sets")
+        # the listed ids grow with the documents: merged at every size, never broadcast
+        sets = ws.table(full_sets(docs.join(listed.hint("merge"), "doc_id", "left_semi"), width), "sets")
 
         pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
         links = ws.table(_confirmed(ws, pairs, small, sets, percent, "one"), "links-1")
