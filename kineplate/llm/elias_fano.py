@@ -7,6 +7,8 @@ import numpy as np
 #: Zeros between two entries of the directory.
 STRIDE = 64
 ONE = np.uint64(1)
+#: Queries answered at once.
+BLOCK = 1 << 14
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -40,9 +42,11 @@ class EliasFano:
         self.n, self.width = int(shape[0]), int(shape[1])
 
     @classmethod
-    def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
+    def encode(cls, values: np.ndarray, universe: int, width: int | None = None) -> EliasFano:
+        """width: of the low parts, where the caller knows how values are spread; else by the mean gap."""
         values, n = values.astype(np.uint64), len(values)
-        width = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
+        if width is None:
+            width = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
         top = (values >> np.uint64(width)).astype(np.int64)
         bits = np.zeros(n + ((max(universe, 1) - 1) >> width) + 2, bool)
         bits[top + np.arange(n)] = True
@@ -80,20 +84,40 @@ class EliasFano:
             free = np.where(up, free >> np.uint64(half), part)
         return word * 64 + place
 
+    def before(self, bucket: np.ndarray) -> np.ndarray:
+        """How many values have a high part below each bucket."""
+        out = np.zeros(len(bucket), np.int64)
+        inner = np.flatnonzero(bucket > 0)
+        out[inner] = self._select(bucket[inner] - 1) - bucket[inner] + 1
+        return out
+
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        """Ones that follow from each place of the high bits, up to 64."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        window = self.high[word] >> shift
+        window |= np.where(shift > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        free = ~window
+        return np.bitwise_count((free & (~free + ONE)) - ONE).astype(np.int64)
+
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first element equal to each x, else -1: a binary search in the one bucket that may hold x."""
+        """Index of the first element equal to each x, else -1: a binary search in the one bucket that may hold x. Queries go in blocks that stay in the cache."""
+        out = np.full(len(x), -1, np.int64)
+        if self.n:
+            for k in range(0, len(x), BLOCK):
+                out[k : k + BLOCK] = self._find(x[k : k + BLOCK].astype(np.uint64))
+        return out
+
+    def _find(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), -1, np.int64)
-        if not self.n or not len(x):
-            return out
-        x = x.astype(np.uint64)
         bucket = (x >> np.uint64(self.width)).astype(np.int64)
         want = x & np.uint64((1 << self.width) - 1)
-        low = np.zeros(len(x), np.int64)
-        inner = bucket > 0
-        low[inner] = self._select(bucket[inner] - 1) + 1 - bucket[inner]
-        end = self._select(bucket) - bucket
+        low = self.before(bucket)
+        size = self._run(low + bucket)
+        full = np.flatnonzero(size == 64)
+        size[full] = self._select(bucket[full]) - bucket[full] - low[full]
+        end = low + size
         high = end.copy()
-        todo = np.flatnonzero(low < high)
+        todo = np.flatnonzero(size)
         while len(todo):
             middle = (low[todo] + high[todo]) >> 1
             less = self._low(middle) < want[todo]

@@ -13,9 +13,9 @@ by the order of their hashes, so shards hold ranges of ids.
 
 Level 1 of a shard: sorted word hashes, counts and quantised log probabilities.
 Level 2 of a shard: monotone pointers (Elias-Fano) from each context to its
-run of successors; the runs, each successor added to its context's place times
-V, as one Elias-Fano sequence; quantised log probabilities of the runs and
-quantised back-off weights of the contexts. Files are written to the shared
+run of successors; the runs, with ids relative to their context, as one
+Elias-Fano sequence; quantised log probabilities of the runs and quantised
+back-off weights of the contexts. Files are written to the shared
 folder under a passing name and renamed, so a repeated task does no harm;
 scoring tasks map them into memory and touch only the pages they need. A query
 goes to its context's part of the sequence and searches the successor there.
@@ -202,7 +202,13 @@ class Trie:
             out[mine] -= self.part(s, "back")[place] / GRAIN
             known = word[mine] >= 0
             mine, place = mine[known], place[known]
-            index = self.sequence(s, "next").find(place.astype(np.uint64) * np.uint64(self.size) + word[mine].astype(np.uint64))
+            distinct, back = np.unique(place, return_inverse=True)
+            pointers = self.sequence(s, "from")
+            start = pointers.before(distinct)
+            kinds = pointers.before(distinct + 1) - start
+            some = np.flatnonzero(kinds[back] > 0)
+            mine, back = mine[some], back[some]
+            index = self.sequence(s, "next").find(successor_keys(start[back], kinds[back], word[mine], self.size))
             seen = index >= 0
             out[mine[seen]] = -self.part(s, "next-prob")[index[seen]].astype(np.float64) / GRAIN
         return out
@@ -210,10 +216,24 @@ class Trie:
     def successors(self, context: int) -> np.ndarray:
         """Ids that follow a context in training, by its pointers."""
         s = int(np.searchsorted(self.offsets, context, "right") - 1)
-        pointers = self.sequence(s, "from").decode()
-        place = context - int(self.offsets[s])
-        run = self.sequence(s, "next").decode()[int(pointers[place]) : int(pointers[place + 1])]
-        return (run - np.uint64(place * self.size)).astype(np.int64)
+        place = np.array([context - int(self.offsets[s])])
+        start, end = (int(self.sequence(s, "from").before(place + k)[0]) for k in (0, 1))
+        run = self.sequence(s, "next").decode()[start:end]
+        width = np.uint64(self.size.bit_length())
+        bucket = (run >> width).astype(np.int64) - start
+        return -(-bucket * self.size // max(end - start, 1)) + (run & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
+
+
+def successor_keys(start: np.ndarray, kinds: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """Where words stand in the sequence of successors, relative to their context.
+
+    A context's ids are cut into as many equal ranges as it has successors.
+    The range gives the bucket, counted from the context's start; the id's
+    distance from the range's beginning is the low part. So buckets hold one
+    successor on average, in contexts with few successors and with many.
+    """
+    part = word * kinds // size
+    return (start + part).astype(np.uint64) << np.uint64(size.bit_length()) | (word + -part * size // kinds).astype(np.uint64)
 
 
 def shard_borders(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -284,7 +304,9 @@ def learn(ws: Workspace, train: DataFrame) -> Trie:
         p = (k + kinds[place] * p1) / (total[place] + kinds[place])
         with np.errstate(divide="ignore", invalid="ignore"):
             back = np.where(kinds > 0, np.log10(kinds / (total + kinds)), 0)
-        parts = {"from": EliasFano.encode(np.append(0, np.cumsum(kinds)), len(keys) + 1), "next": EliasFano.encode(place.astype(np.uint64) * np.uint64(trie.size) + word.astype(np.uint64), size * trie.size)}
+        start, width = np.cumsum(kinds) - kinds, trie.size.bit_length()
+        values = successor_keys(start[place], kinds[place], word, trie.size)
+        parts = {"from": EliasFano.encode(place, size, 0), "next": EliasFano.encode(values, len(keys) << width, width)}
         for name, sequence in parts.items():
             for part in EliasFano.PARTS:
                 save(f"{path}/{shard}/{name}-{part}.npy", getattr(sequence, part))
