@@ -63,7 +63,7 @@ def read_assay(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sample_idx", F.col("s.name").alias("name"), parse_positions("s.positions").alias("positions"), "signal", "segmentation", "interval_minutes")
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """Rows under a header; a record of another width is an error. All columns of the header are matched by name."""
     return spark.read.schema(schema).option("header", "true").option("mode", "FAILFAST").option("enforceSchema", "false").csv(path)
 
@@ -103,7 +103,7 @@ def parse_predictions(raw: DataFrame) -> DataFrame:
     return raw.select(whole("t").alias("t"), whole("crop").alias("crop"), extra.alias("p_dead"), truthy("label").alias("label"), pos.alias("pos"), sample.alias("sample"))
 
 
-def read_shards(spark: SparkSession, shards: list[str], relative: str, schema: T.StructType) -> DataFrame:
+def read_shards(spark: SparkSession, shards: list[str], relative: str, schema: str) -> DataFrame:
     """Rows of the same CSV of several shard folders; those without it are skipped, none at all is an error."""
     found = []
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
