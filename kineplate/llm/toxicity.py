@@ -38,7 +38,7 @@ from . import text as T
 from .workspace import Workspace
 
 PREFIX = 6
-FIT_ROWS, LEXICON, FEATURES = 40_000, 512, 4096
+FIT_ROWS, LEXICON, FEATURES = 20_000, 256, 4096
 #: z value of the log odds from which a feature votes, or is looked at.
 SURE, WORTH = 2.5, 2.0
 PATTERNS = ("symbols", "capitals", "exclaims", "repeats", "short")
@@ -124,22 +124,27 @@ class ToxicityModel:
 
 def posterior(votes: np.ndarray, label: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
     """P(toxic) of each row by the label model: votes[row, voter] of voters that speak for toxicity or are silent, and the row's own label as a voter."""
-    x = np.column_stack([votes, label]).astype(np.float64)
-    p = np.clip(0.7 * label + 0.3 * votes.any(1), 0.02, 0.98)
+    x = np.column_stack([votes, label]).astype(np.float32)
+    p = np.clip(0.7 * label + 0.3 * votes.any(1), 0.02, 0.98).astype(np.float32)
     trust = np.ones(x.shape[1])
     for turn in range(2):
         for _ in range(rounds):
-            fires = np.stack([((1 - p) @ x + 0.05) / ((1 - p).sum() + 1), (p @ x + 0.5) / (p.sum() + 1)])
+            fires = np.stack([((1 - p) @ x + 0.05) / ((1 - p).sum() + 1), (p @ x + 0.5) / (p.sum() + 1)]).astype(np.float64)
             gain = np.log(fires[1] / fires[0]) * trust
             miss = np.log((1 - fires[1]) / (1 - fires[0])) * trust
             prior = float(np.clip(p.mean(), 0.005, 0.5))
-            p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + x @ gain + (1 - x) @ miss, -40, 40)))
+            told = np.log(prior / (1 - prior)) + miss.sum() + x @ (gain - miss).astype(np.float32)
+            p = (1 / (1 + np.exp(-np.clip(told, -40, 40)))).astype(np.float32)
         if turn == 0:  # what goes together beyond the classes counts once
-            rest = x - np.outer(p, fires[1]) - np.outer(1 - p, fires[0])
-            spread = np.sqrt((rest**2).mean(0)) + 1e-9
-            corr = (rest.T @ rest) / len(x) / np.outer(spread, spread)
+            corr = np.zeros((x.shape[1], x.shape[1]))
+            for k in range(0, len(x), 4096):
+                q = p[k : k + 4096, None]
+                rest = x[k : k + 4096] - q * fires[1] - (1 - q) * fires[0]
+                corr += rest.T @ rest
+            spread = np.sqrt(np.diag(corr)) + 1e-9
+            corr /= np.outer(spread, spread)
             trust = 1 / np.maximum(np.where(corr > 0.25, corr, 0).sum(1), 1)
-    return p
+    return p.astype(np.float64)
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, rounds: int = 400, decay: float = 0.3) -> tuple[np.ndarray, float]:
@@ -191,11 +196,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], ["toxic", "feats", "votes"])
 
         drawn = train.where(F.xxhash64("doc_id") <= F.lit(int((2 * min(1.0, 0.9 * FIT_ROWS / n) - 1) * (2**63 - 1024)))) if n > FIT_ROWS else train
-        fit = drawn.select("toxic", "feats", "votes").mapInArrow(pick, "toxic int, feats array<int>, votes array<boolean>").limit(FIT_ROWS).toPandas()
-    label = fit.toxic.to_numpy(np.float64)
-    pattern = np.array(fit.votes.tolist(), bool)
-    rows = np.repeat(np.arange(len(fit)), [len(x) for x in fit.feats])
-    cols = np.concatenate([np.asarray(x, np.int64) for x in fit.feats]) if len(rows) else none
+        fit = drawn.select("toxic", "feats", "votes").mapInArrow(pick, "toxic int, feats array<int>, votes array<boolean>").limit(FIT_ROWS).toArrow().combine_chunks()
+    label = fit.column("toxic").to_numpy().astype(np.float64)
+    pattern = fit.column("votes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(fit), len(PATTERNS))
+    rows = np.repeat(np.arange(len(fit)), pc.list_value_length(fit.column("feats")).to_numpy())
+    cols = fit.column("feats").combine_chunks().flatten().to_numpy().astype(np.int64)
     votes = np.zeros((len(fit), len(sure) + len(PATTERNS)), bool)
     spot = np.full(len(known) + 1, -1)
     spot[sure] = np.arange(len(sure))
