@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import SLIM, Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of a level that are merged into one of the next.
@@ -53,7 +53,7 @@ class LineRuns:
         name = f"{self.name}/level-{level}/{self.made}"
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append((name, self.ws.table(df.sortWithinPartitions("h1", "h2"), name)))
+        self.levels[level].append((name, self.ws.table(df.sortWithinPartitions("h1", "h2"), name, SLIM)))
 
     def add(self, counted: DataFrame) -> None:
         """Adds a batch's counts (h1, h2, n_docs, first) as a run, and compacts full levels."""
@@ -96,7 +96,7 @@ def count_lines(hashed: DataFrame, *keys: str) -> DataFrame:
 def add_table(runs: LineRuns, hashed: DataFrame, batches: int = BATCHES) -> None:
     """Adds all rows of hashed(row_id, hashes) in batches by the hash of their id."""
     batch = F.pmod(F.xxhash64("row_id"), F.lit(batches)).cast("int")
-    all_ = runs.ws.table(count_lines(hashed.select(batch.alias("batch"), "row_id", "hashes"), "batch"), "counted")
+    all_ = runs.ws.table(count_lines(hashed.select(batch.alias("batch"), "row_id", "hashes"), "batch"), "counted", SLIM)
     for k in range(batches):
         runs.add(all_.where(F.col("batch") == k).select("h1", "h2", "n_docs", "first"))
     runs.ws.drop("counted")
@@ -116,11 +116,11 @@ def drop_common_lines(docs: DataFrame, least: int = 1, documents: int = 10, keep
     mark = [F.col("doc_id").alias("row_id"), F.xxhash64("doc_id", "text").alias("row_hash")]
     hashed = ws.table(docs.select(*mark, line_hashes(F.col("text"), least).alias("hashes")), "hashed")
     add_table(runs, hashed)
-    common = ws.table(runs.total().where(F.col("n_docs") >= documents).select("h1", "h2", "first"), "common")
+    common = ws.table(runs.total().where(F.col("n_docs") >= documents).select("h1", "h2", "first"), "common", SLIM)
     placed = hashed.select("row_id", "row_hash", F.posexplode("hashes").alias("at", "h")).where("h is not null")
     placed = placed.select("row_id", "row_hash", "at", "h.h1", "h.h2").join(common, ["h1", "h2"])
     placed = placed.where(~F.col("row_id").eqNullSafe(F.col("first"))) if keep_first else placed
-    gone = ws.table(placed.groupBy("row_id", "row_hash").agg(F.collect_set("at").alias("gone")), "gone")
+    gone = ws.table(placed.groupBy("row_id", "row_hash").agg(F.collect_set("at").alias("gone")), "gone", SLIM)
     names = docs.columns
     rows = docs.select(*names, F.xxhash64("doc_id", "text").alias("row_hash_"), split_lines(F.col("text")).alias("lines_"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["row_id"]) & (rows["row_hash_"] == gone["row_hash"]), "left")

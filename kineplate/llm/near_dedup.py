@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .graph import components
-from .workspace import Workspace
+from .workspace import SLIM, Workspace
 
 K, NEED, SLACK = 64, 26, 6.0
 #: Documents of a tile.
@@ -106,7 +106,7 @@ def _listed(ws: Workspace, reps: DataFrame, percent: int) -> DataFrame:
     kept = ws.table(kept.select("doc_id", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("doc_id", F.col("x.v").alias("v")), "rare")
     lists = kept.groupBy("v").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("sig"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("m > 1")
     lists = lists.groupBy("m", "sig", "first", "last").agg(F.min("v").alias("v"))  # lists with the same members test the same pairs
-    return ws.table(kept.join(lists.select("v", "first"), "v"), "listed")
+    return ws.table(kept.join(lists.select("v", "first"), "v"), "listed", SLIM)
 
 
 def _confirmed(ws: Workspace, pairs: DataFrame, small: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -189,12 +189,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     with Workspace(spark, "near-dedup") as ws:
         drawn = ws.table(sketches(docs, width), "sketches")
         real = drawn.where("doc_id is not null and n > 0")
-        classes = ws.table(real.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+        classes = ws.table(real.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes", SLIM)
         reps = real.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         reps = ws.table(reps.select("doc_id", "n", "sketch"), "reps")
         members = _listed(ws, reps, percent)
         listed = members.select("doc_id").distinct()
-        small = ws.table(reps.join(listed, "doc_id"), "small")
+        small = ws.table(reps.join(listed, "doc_id"), "small", SLIM)
         # the listed ids grow with the documents: merged at every size, never broadcast
         sets = ws.table(full_sets(docs.join(listed.hint("merge"), "doc_id", "left_semi"), width), "sets")
 
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         found = components(ws, links, "one")
         state = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         unsettled = state.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        left = ws.table(state.join(unsettled.select("v"), "v").select("doc_id", "component", "first").distinct(), "left")
+        left = ws.table(state.join(unsettled.select("v"), "v").select("doc_id", "component", "first").distinct(), "left", SLIM)
         if left.limit(1).count():
             families = components(ws, left.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "family")
             rest = left.select("doc_id", "component").distinct().join(families.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")

@@ -23,6 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Shuffle partitions to a file of tables with a few bytes per document.
+SLIM = 8
+
+
 class Workspace:
     """A folder of Parquet tables that lives as long as one operator call.
 
@@ -40,8 +44,14 @@ class Workspace:
     def __exit__(self, *_: object) -> None:
         self.drop("")
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns a reader of what was written."""
+    def table(self, df: DataFrame, name: str, share: int = 1) -> DataFrame:
+        """Writes df and returns a reader of what was written.
+
+        share: shuffle partitions that make one file. Tables that hold a few
+        bytes per document need fewer files than those that hold texts.
+        """
+        if share > 1:
+            df = df.coalesce(-(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share))
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
