@@ -14,13 +14,13 @@ from . import kernels as K
 
 
 def kernel(function: Callable[[np.ndarray], object], returns: str) -> Callable[..., Column]:
-    """function(image) as a column of (pixels, height, width)."""
+    """function(image) as a column of (pixels, height, width); the UDF is made when it is used, so importing needs no session."""
 
     def run(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
         out = [function(np.asarray(p).reshape(h, w)) for p, h, w in zip(pixels, height, width, strict=True)]
         return pd.Series([x.ravel() if isinstance(x, np.ndarray) else x for x in out])
 
-    return F.pandas_udf(run, returns)
+    return lambda *columns: F.pandas_udf(run, returns)(*columns)
 
 
 label_components = kernel(lambda m: K.components(m.astype(bool)), "array<int>")

@@ -155,7 +155,7 @@ def d8_viability_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {R_SQL}, ts AS (SELECT DISTINCT sample_idx, t FROM s), nt AS (SELECT sample_idx, count(*) AS n_total FROM calls GROUP BY 1),
     q AS (SELECT ts.sample_idx, ts.t, n_total, (SELECT count(*) FROM calls c WHERE c.sample_idx = ts.sample_idx AND c.dead AND c.death_frame <= ts.t) AS n_dead FROM ts JOIN nt USING (sample_idx))
-    SELECT sample_idx, t, round(t * 5.0, 6) AS minutes, n_total, n_total - n_dead AS n_alive, n_dead, round((n_total - n_dead) * 100.0 / n_total, 6) AS pct_viable, round(100 - (n_total - n_dead) * 100.0 / n_total, 6) AS pct_dead FROM q""")
+    SELECT sample_idx, t, round((t * 5.0)::DOUBLE, 6) AS minutes, n_total, n_total - n_dead AS n_alive, n_dead, round((n_total - n_dead) * 100.0 / n_total, 6) AS pct_viable, round(100 - (n_total - n_dead) * 100.0 / n_total, 6) AS pct_dead FROM q""")
 def a8_survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series(spark, sf_dir)
     return rounded(R.survival_curve(rows, R.viability_calls(rows), 5.0))
@@ -335,7 +335,7 @@ def a5_histogram_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     dv AS (SELECT pos, abs(bin - low) AS apart, sum(n) AS n FROM hist JOIN lo USING (pos) GROUP BY ALL),
     cd AS (SELECT *, sum(n) OVER (PARTITION BY pos ORDER BY apart) AS upto, sum(n) OVER (PARTITION BY pos) AS total FROM dv),
     md AS (SELECT pos, min(apart) AS mad FROM cd WHERE upto > round((total - 1) * 0.5) GROUP BY pos)
-    SELECT pos, low::DOUBLE AS low, round(low + 8 * 1.4826 * mad, 6) AS threshold FROM lo JOIN md USING (pos)""")
+    SELECT pos, low::DOUBLE AS low, round((low + 8 * 1.4826 * mad)::DOUBLE, 6) AS threshold FROM lo JOIN md USING (pos)""")
 def a6_robust_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.robust_scale(H.sampled_histogram(pixels(spark, sf_dir), ["pos"]), ["pos"]))
 
@@ -346,7 +346,7 @@ def a7_engagement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.engagement_summary(rows))
 
 
-@query(f"""WITH {E_SQL} SELECT 'S' || (user_id % 5) AS sample, round(t * 2.5 * 1e6)::BIGINT AS minute_key, round(t * 2.5, 6) AS minutes, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
+@query(f"""WITH {E_SQL} SELECT 'S' || (user_id % 5) AS sample, round(t * 2.5 * 1e6)::BIGINT AS minute_key, round((t * 2.5)::DOUBLE, 6) AS minutes, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
     round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, count(*) AS n_traces FROM e GROUP BY 1, t""")
 def a10_summary_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select(F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")).alias("sample"), "t", F.col("value").alias("corrected"))
@@ -431,7 +431,7 @@ def a21_death_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS sample, (o_custkey % 40)::INT AS t, count(*) AS n_alive FROM orders GROUP BY 1, 2)
-    SELECT sample, t * 5.0 AS minutes, round(least(greatest(n_alive * 100.0 / max(n_alive) OVER (PARTITION BY sample), 0), 100), 6) AS pct FROM c""")
+    SELECT sample, (t * 5.0)::DOUBLE AS minutes, round(least(greatest(n_alive * 100.0 / max(n_alive) OVER (PARTITION BY sample), 0), 100), 6) AS pct FROM c""")
 def d26_normalised_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("sample"), (F.col("o_custkey") % 40).cast("int").alias("t")).agg(F.count("*").alias("n_alive"))
     return rounded(A.normalised_survival(rows.withColumn("n_total", F.lit(None).cast("long")).withColumn("pct_viable", F.lit(None).cast("double")), 5.0))
@@ -472,7 +472,7 @@ def k7_composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", C.roi_key(position, "s_suppkey").alias("roi"), C.image_id("s_nationkey", "s_suppkey", F.lit(3), F.lit(1), F.lit(0)).alias("image"))
 
 
-@query(f"WITH {E_SQL} SELECT user_id, t, round(t * 2.75, 6) AS raw, round(t * 2.75, 4) AS four FROM e")
+@query(f"WITH {E_SQL} SELECT user_id, t, round((t * 2.75)::DOUBLE, 6) AS raw, round((t * 2.75)::DOUBLE, 4) AS four FROM e")
 def k8_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(events(spark, sf_dir).select("user_id", "t", C.minutes("t", 2.75).alias("raw"), C.minutes("t", 2.75, 4).alias("four")))
 
@@ -724,7 +724,7 @@ def i23_contrast_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     v AS (SELECT (frame % 3)::INT AS pos, CASE WHEN lit THEN 4500 ELSE 190 + (i * 17 + 3) % 31 END AS v FROM px WHERE i % 4 = 0), hist AS (SELECT pos, v AS bin, count(*) AS n FROM v GROUP BY ALL),
     c AS (SELECT *, sum(n) OVER (PARTITION BY pos ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY pos) AS total FROM hist), lo AS (SELECT pos, min(bin) AS low FROM c WHERE upto > round((total - 1) * 0.5) GROUP BY pos),
     dv AS (SELECT pos, abs(bin - low) AS apart, sum(n) AS n FROM hist JOIN lo USING (pos) GROUP BY ALL), cd AS (SELECT *, sum(n) OVER (PARTITION BY pos ORDER BY apart) AS upto, sum(n) OVER (PARTITION BY pos) AS total FROM dv),
-    md AS (SELECT pos, min(apart) AS mad FROM cd WHERE upto > round((total - 1) * 0.5) GROUP BY pos) SELECT pos, low::DOUBLE AS low, round(low + 8 * 1.4826 * mad, 6) AS threshold FROM lo JOIN md USING (pos)""")
+    md AS (SELECT pos, min(apart) AS mad FROM cd WHERE upto > round((total - 1) * 0.5) GROUP BY pos) SELECT pos, low::DOUBLE AS low, round((low + 8 * 1.4826 * mad)::DOUBLE, 6) AS threshold FROM lo JOIN md USING (pos)""")
 def i16_shared_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _planes(spark, sf_dir).where("channel = 1")
     return rounded(H.robust_scale(H.plane_histogram(rows, ["pos"]), ["pos"], rows))
