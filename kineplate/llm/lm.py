@@ -1,10 +1,12 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model with Witten-Bell interpolation:
-P(w | c) = (k + T * P1(w)) / (C + T), with k the count of w after c, C the
-count of c as a context and T the number of its distinct successors. P1 gives
-a word (count + 0.5) / (N + 0.5 * (V + 1)), unknown words sharing one place. A
-text's first word follows the end token.
+The model is a bigram model with modified absolute discounting:
+P(w | c) = (k - D(k)) / C + B / C * P1(w), with k the count of w after c, C the
+count of c as a context, D(k) one of three discounts for counts of 1, 2 and
+more, estimated from how many bigrams occur one to four times, and B the sum of
+what a context's successors were discounted. P1 gives a word
+(count + 0.5) / (N + 0.5 * (V + 1)), unknown words sharing one place. A text's
+first word follows the end token.
 
 Training counts all n-grams of all training texts. Tasks count what they read
 in numpy and hand packed runs of (key, count) to the shard of the key; a shard
@@ -292,32 +294,74 @@ def learn(ws: Workspace, train: DataFrame) -> Trie:
     def cuts(values: np.ndarray) -> np.ndarray:
         return np.append(np.searchsorted(values, trie.offsets[:-1].astype(np.uint64) << np.uint64(32)), len(values))
 
-    def successors(table: pa.Table) -> pa.Table:
+    def counted(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         keys, k = _merged(table)
-        size = offsets[shard + 1] - offsets[shard]
-        place = (keys >> np.uint64(32)).astype(np.int64) - offsets[shard]
-        word = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        kinds = np.bincount(place, minlength=size)
-        total = np.bincount(place, k, size)
-        p1 = 10 ** trie.single(word)
-        p = (k + kinds[place] * p1) / (total[place] + kinds[place])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(kinds > 0, np.log10(kinds / (total + kinds)), 0)
-        start, width = np.cumsum(kinds) - kinds, trie.size.bit_length()
-        values = successor_keys(start[place], kinds[place], word, trie.size)
-        parts = {"from": EliasFano.encode(place, size, 0), "next": EliasFano.encode(values, len(keys) << width, width)}
-        for name, sequence in parts.items():
-            for part in EliasFano.PARTS:
-                save(f"{path}/{shard}/{name}-{part}.npy", getattr(sequence, part))
-        save(f"{path}/{shard}/next-prob.npy", quantise(np.log10(p)))
-        save(f"{path}/{shard}/back.npy", quantise(back))
-        return pa.table({"shard": pa.array([shard], pa.int32())})
-
-    _runs(train, pairs, cuts).groupBy("shard").applyInArrow(successors, "shard int").count()
+        save(f"{path}/{shard}/pairs.npy", keys)
+        save(f"{path}/{shard}/times.npy", k)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "often": pa.array([np.bincount(np.minimum(k, 5).astype(np.int64), minlength=6)[1:5].tolist()], pa.list_(pa.int64()))})
+
+    often = _runs(train, pairs, cuts).groupBy("shard").applyInArrow(counted, "shard int, often array<long>").collect()  # a row per shard
+    discount = discounts([sum(r.often[k] for r in often) for k in range(4)])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                if os.path.exists(f"{path}/{shard}/pairs.npy"):
+                    _encode(trie, shard, discount)
+            yield batch
+
+    spark.range(0, shards, 1, min(shards, wanted)).mapInArrow(encoded, "id long").count()
+    spark.range(0, shards, 1, 1).mapInArrow(lambda batches: _without_counts(path, batches), "id long").count()
     return trie
 
 
+def discounts(often: list[int]) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2 and 3 or more, from how many bigrams occur 1, 2, 3 and 4 times; halves of the counts where these are too few."""
+    n1, n2, n3, n4 = often
+    out = np.array([0, 0.5, 1.0, 1.5])
+    if n1 and n2:
+        y = n1 / (n1 + 2 * n2)
+        out[1] = 1 - 2 * y * n2 / n1
+        out[2] = 2 - 3 * y * n3 / n2
+        out[3] = 3 - 4 * y * n4 / n3 if n3 else 1.5
+    return np.clip(out, [0, 0.1, 0.1, 0.1], [0, 0.95, 1.95, 2.95])
+
+
+def _encode(trie: Trie, shard: int, discount: np.ndarray) -> None:
+    """Writes level 2 of a shard from its counts."""
+    path, keys, k = trie.path, np.load(f"{trie.path}/{shard}/pairs.npy"), np.load(f"{trie.path}/{shard}/times.npy").astype(np.int64)
+    first = int(trie.offsets[shard])
+    size = int(trie.offsets[shard + 1]) - first
+    place = (keys >> np.uint64(32)).astype(np.int64) - first
+    word = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    kinds = np.bincount(place, minlength=size)
+    total = np.bincount(place, k, size)
+    off = discount[np.minimum(k, 3)]
+    left = np.bincount(place, off, size)
+    p = (k - off + left[place] * 10 ** trie.single(word)) / total[place]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        back = np.where(kinds > 0, np.log10(left / total), 0)
+    start, width = np.cumsum(kinds) - kinds, trie.size.bit_length()
+    values = successor_keys(start[place], kinds[place], word, trie.size)
+    parts = {"from": EliasFano.encode(place, size, 0), "next": EliasFano.encode(values, len(keys) << width, width)}
+    for name, sequence in parts.items():
+        for part in EliasFano.PARTS:
+            save(f"{path}/{shard}/{name}-{part}.npy", getattr(sequence, part))
+    save(f"{path}/{shard}/next-prob.npy", quantise(np.log10(p)))
+    save(f"{path}/{shard}/back.npy", quantise(back))
+
+
+def _without_counts(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Removes the counts once all shards are encoded."""
+    for batch in batches:
+        for shard in batch.column(0).to_pylist():
+            for name in ("pairs", "times"):
+                if os.path.exists(f"{path}/{shard}/{name}.npy"):
+                    os.remove(f"{path}/{shard}/{name}.npy")
+        yield batch
+
+
 def score(docs: DataFrame, trie: Trie, extra: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, text, ...); held_out is extra."""
 

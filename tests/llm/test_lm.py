@@ -49,11 +49,17 @@ def test_scores_match_dictionaries(spark, corpus):
     n, v = sum(count.values()), len(count)
     assert followers == kinds[None]
 
+    often = Counter(pair.values())
+    discount = lm.discounts([often[k] for k in range(1, 5)])
+    left = Counter()
+    for (a, _), k in pair.items():
+        left[a] += discount[min(k, 3)]
+
     def single(w):
         return (count[w] + 0.5) / (n + 0.5 * (v + 1))
 
     for r, (i, t) in zip(sorted(rows, key=lambda r: r.doc_id), sorted(tokens, key=lambda x: x[0]), strict=True):
-        score = sum(math.log10((pair[a, w] + kinds[a] * single(w)) / (after[a] + kinds[a]) if after[a] else single(w)) for a, w in zip([None, *t[:-1]], t, strict=True))
+        score = sum(math.log10((pair[a, w] - discount[min(pair[a, w], 3)] + left[a] * single(w)) / after[a] if after[a] else single(w)) for a, w in zip([None, *t[:-1]], t, strict=True))
         assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, held[i], len(t), sum(w in count for w in t), n)
         assert abs(r.base_score - sum(math.log10(single(w)) for w in t)) < 1e-6 * len(t) and abs(r.score - score) < 4e-4 * len(t)
 
