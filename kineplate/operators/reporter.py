@@ -112,12 +112,13 @@ def survival_curve(series: DataFrame, calls: DataFrame, interval: float) -> Data
     The join of every frame with every earlier death is a running sum over
     deaths counted per frame.
     """
-    total = calls.groupBy("sample_idx").agg(F.count("*").alias("n_total"))
-    frames = series.select("sample_idx", "t").distinct().withColumn("n", F.lit(0))
-    deaths = calls.where("dead").groupBy("sample_idx", F.col("death_frame").alias("t")).agg(F.count("*").cast("int").alias("n"))
-    events = frames.unionByName(deaths).groupBy("sample_idx", "t").agg(F.sum("n").alias("n"))
-    so_far = Window.partitionBy("sample_idx").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("n_dead", F.sum("n").over(so_far)).join(F.broadcast(total), "sample_idx")
+    frames = series.select("sample_idx", "t").distinct().withColumn("n", F.lit(0).cast("long"))
+    # the calls are read once: survivors are counted under a null frame
+    counts = calls.groupBy("sample_idx", F.when(F.col("dead"), F.col("death_frame")).alias("t")).agg(F.count("*").alias("n"))
+    events = frames.unionByName(counts).groupBy("sample_idx", "t").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("sample_idx")
+    so_far = whole.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("n_total", F.sum("n").over(whole)).withColumn("n_dead", F.sum(F.when(F.col("t").isNotNull(), F.col("n")).otherwise(0)).over(so_far)).where("t is not null")
     alive = F.col("n_total") - F.col("n_dead")
     pct = alive * 100.0 / F.col("n_total")
     return rows.select("sample_idx", "t", (F.col("t") * F.lit(float(interval))).alias("minutes"), "n_total", alive.alias("n_alive"), "n_dead", pct.alias("pct_viable"), (100.0 - pct).alias("pct_dead"))
