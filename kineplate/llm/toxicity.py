@@ -7,8 +7,8 @@ longer words, as 31-bit hashes, besides a few patterns of its characters.
     counted over all labelled training rows. A row weighs one over the number
     of rows of its label with the same smallest shingle hash, so a document
     that was copied many times does not make a lexicon of its words.
-2.  Features that speak for toxicity beyond doubt become the lexicon voters;
-    the patterns vote too, and the label that came with a row is one more
+2.  A list of insults and the features that speak for toxicity beyond doubt
+    are the lexicon voters; the patterns vote too, and the label that came with a row is one more
     voter, not the truth.
 3.  A generative model of the votes is fitted by expectation maximisation: it
     estimates how often each voter fires in either class. Voters that still go
@@ -43,6 +43,17 @@ FIT_ROWS, LEXICON, FEATURES = 20_000, 256, 4096
 SURE, WORTH = 2.5, 2.0
 PATTERNS = ("symbols", "capitals", "exclaims", "repeats", "short")
 
+#: Insults that vote from the start, whatever the labels (fixed values, a plain word list).
+INSULTS = (
+    "arrogant bastard brainless clown coward creep cretin despicable dimwit disgrace disgusting dumb dumbass filth filthy fool foolish freak garbage idiot idiotic ignorant imbecile jerk liar loser "
+    "lunatic moron moronic nasty pathetic pig repulsive rotten rubbish scum shameful sick sickening stupid trash ugly useless vermin vile wimp worthless wretch "
+    "abruti con connard crétin débile imbécile minable ordure pathétique pourriture salaud stupide "
+    "abschaum arschloch depp dumm dummkopf ekelhaft erbärmlich trottel versager wertlos widerlich "
+    "asqueroso basura escoria estúpido idiota imbécil inútil patético payaso perdedor"
+).split()
+#: Weight to which the classifier draws them, and every other feature to 0.
+HELD = 2.5
+
 _SPLIT = np.arange(256, dtype=np.uint8)
 _SPLIT[[b for b in range(128) if not (97 <= b <= 122 or 48 <= b <= 57)]] = 32
 
@@ -147,14 +158,21 @@ def posterior(votes: np.ndarray, label: np.ndarray, prior: float, rounds: int =
     return p.astype(np.float64)
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, rounds: int = 400, decay: float = 0.3) -> tuple[np.ndarray, float]:
-    """Weights and constant of an L2-regularised logistic model on soft labels, by accelerated gradient steps scaled per feature."""
-    w, b = np.zeros(width), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
+def insults() -> np.ndarray:
+    """Features of the word list, sorted."""
+    rows, feature, _ = features(pa.array(INSULTS))
+    whole = T.hash_words(INSULTS) & np.uint64(0x7FFFFFFF)
+    return np.unique(whole.astype(np.int64)[np.isin(whole.astype(np.int64), feature)])
+
+
+def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, held: np.ndarray, rounds: int = 400, decay: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights and constant of a logistic model on soft labels, L2-regularised towards `held`, by accelerated gradient steps scaled per feature."""
+    w, b = held.copy(), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = b + np.bincount(rows, w[cols], n)
         err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        g = np.bincount(cols, err[rows], width) + decay * w
+        g = np.bincount(cols, err[rows], width) + decay * (w - held)
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -182,9 +200,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
         top = stats.withColumn("z", z).where(F.abs("z") >= WORTH).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).toPandas()
         top = top.sort_values("f").reset_index(drop=True)
-        known, score = top.f.to_numpy(np.int64), top.z.to_numpy(np.float64)
-        sure = np.flatnonzero((score >= SURE) & (top.a.to_numpy() >= 0.5 * (top.a + top.b).to_numpy()))
-        sure = np.sort(sure[np.argsort(-score[sure], kind="stable")][:LEXICON])
+        listed = insults()
+        known = np.union1d(top.f.to_numpy(np.int64), listed)
+        at = np.searchsorted(known, top.f.to_numpy(np.int64))
+        score, mostly = np.zeros(len(known)), np.zeros(len(known), bool)
+        score[at], mostly[at] = top.z.to_numpy(np.float64), top.a.to_numpy() >= 0.5 * (top.a + top.b).to_numpy()
+        sure = np.flatnonzero((score >= SURE) & mostly)
+        sure = np.union1d(sure[np.argsort(-score[sure], kind="stable")][:LEXICON], np.searchsorted(known, listed))
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -209,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     votes[:, len(sure) :] = pattern
     p = posterior(votes, label, share / n)
     prow, pcol = np.nonzero(pattern)
-    w, b = _logistic(np.concatenate([rows, prow]), np.concatenate([cols, pcol + len(known)]), len(fit), len(known) + len(PATTERNS), p)
+    w, b = _logistic(np.concatenate([rows, prow]), np.concatenate([cols, pcol + len(known)]), len(fit), len(known) + len(PATTERNS), p, np.append(np.where(np.isin(known, listed), HELD, 0.0), np.zeros(len(PATTERNS))))
     return ToxicityModel(b, w[len(known) :], known, w[: len(known)])
 
 
