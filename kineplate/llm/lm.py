@@ -44,6 +44,10 @@ from .workspace import Workspace
 
 #: Steps of a quantised log10 probability: one in 4096, from 0 to -16.
 GRAIN, DEEPEST = 4096, 65535
+#: Shards follow the shuffle partitions, which follow the input; their number is a power of two up to this one.
+MOST_SHARDS = 20
+#: Bytes of text looked up together: the more, the more words and pairs repeat.
+READ = 4 << 20
 #: Keys that a task gathers before it hands them on.
 GATHERED = 4 << 20
 END = T.mix(np.array([0xE0D], np.uint64))[0]
@@ -118,13 +122,12 @@ def _runs(train: DataFrame, keys, cuts) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             values, counts = counter.take()
             at = cuts(values)
-            for s in range(len(at) - 1):
-                if at[s + 1] > at[s]:
-                    piece = slice(at[s], at[s + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([values[piece].tobytes()], pa.binary()), pa.array([counts[piece].astype(np.uint32).tobytes()], pa.binary())], ["shard", "keys", "counts"])
+            for s in np.flatnonzero(np.diff(at)).tolist():
+                piece = slice(at[s], at[s + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([values[piece].tobytes()], pa.binary()), pa.array([counts[piece].astype(np.uint32).tobytes()], pa.binary())], ["shard", "keys", "counts"])
 
         for batch in batches:
-            for part in T.slices(batch):
+            for part in T.slices(batch, limit=READ):
                 counter.add(keys(part.column(0)))
                 if counter.size >= GATHERED:
                     yield from out()
@@ -143,7 +146,6 @@ class Trie:
     def __init__(self, path: str, offsets: list[int], total: int):
         self.path, self.offsets, self.total = path, np.array(offsets, np.int64), total
         self.shards, self.size = len(offsets) - 1, offsets[-1]
-        self.bits = np.uint64(64 - (self.shards.bit_length() - 1)) if self.shards > 1 else None
         self.unknown = float(np.log10(0.5 / (total + 0.5 * (self.size + 1))))
 
     def __getstate__(self) -> tuple:
@@ -168,9 +170,9 @@ class Trie:
         """Ids of sorted word hashes, -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
         borders = shard_borders(hashes, self.shards)
-        for s in range(self.shards):
+        for s in np.flatnonzero(np.diff(borders)).tolist():
             own = hashes[borders[s] : borders[s + 1]]
-            if len(own) and self.offsets[s + 1] > self.offsets[s]:
+            if self.offsets[s + 1] > self.offsets[s]:
                 words = self.part(s, "words")
                 at = np.minimum(np.searchsorted(words, own), len(words) - 1)
                 out[borders[s] : borders[s + 1]] = np.where(words[at] == own, at + self.offsets[s], -1)
@@ -260,7 +262,7 @@ def learn(ws: Workspace, train: DataFrame) -> Trie:
     spark = train.sparkSession
     path = local_path(f"{ws.path}/trie")
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 1 << min(max(wanted - 1, 1).bit_length(), 12)
+    shards = 1 << min(max(wanted - 1, 1).bit_length(), MOST_SHARDS)
 
     def words(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -367,7 +369,7 @@ def score(docs: DataFrame, trie: Trie, extra: Column | None = None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch):
+            for part in T.slices(batch, limit=READ):
                 ids, word, before, at = known_words(trie, part.column(2))
                 counts = trie.gather("counts", ids, 0)
                 base = np.log10((counts + 0.5) / (trie.total + 0.5 * (trie.size + 1)))[word]
