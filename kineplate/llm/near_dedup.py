@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .graph import components
-from .workspace import SLIM, Workspace
+from .workspace import FAIR, SLIM, Workspace
 
 K, NEED, SLACK = 64, 26, 6.0
 #: Documents of a tile.
@@ -103,7 +103,7 @@ def _listed(ws: Workspace, reps: DataFrame, percent: int) -> DataFrame:
     kept = posted.join(often, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"))
     # values that occur once come first in the order of rarity; they link nothing but count
     kept = kept.withColumn("take", F.size("by_df") - share + 1).where("take > 0")
-    kept = ws.table(kept.select("doc_id", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("doc_id", F.col("x.v").alias("v")), "rare")
+    kept = ws.table(kept.select("doc_id", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("doc_id", F.col("x.v").alias("v")), "rare", FAIR)
     lists = kept.groupBy("v").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("sig"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("m > 1")
     lists = lists.groupBy("m", "sig", "first", "last").agg(F.min("v").alias("v"))  # lists with the same members test the same pairs
     return ws.table(kept.join(lists.select("v", "first"), "v"), "listed", SLIM)
@@ -130,7 +130,7 @@ def _confirmed(ws: Workspace, pairs: DataFrame, small: DataFrame, sets: DataFram
     test = F.pandas_udf(passes, "boolean")
     sure = F.pandas_udf(exact, "boolean")
     likely = pairs.join(side(small, "a"), "a").join(side(small, "b"), "b").where(test("n_a", "sketch_a", "n_b", "sketch_b")).select("a", "b")
-    likely = ws.table(likely, f"{name}-likely")
+    likely = ws.table(likely, f"{name}-likely", FAIR)
     return likely.join(side(sets, "a"), "a").join(side(sets, "b"), "b").where(sure("shingles_a", "shingles_b")).select("a", "b")
 
 
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         real = drawn.where("doc_id is not null and n > 0")
         classes = ws.table(real.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes", SLIM)
         reps = real.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        reps = ws.table(reps.select("doc_id", "n", "sketch"), "reps")
+        reps = ws.table(reps.select("doc_id", "n", "sketch"), "reps", FAIR)
         members = _listed(ws, reps, percent)
         listed = members.select("doc_id").distinct()
         small = ws.table(reps.join(listed, "doc_id"), "small", SLIM)
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         sets = ws.table(full_sets(docs.join(listed.hint("merge"), "doc_id", "left_semi"), width), "sets")
 
         pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-        links = ws.table(_confirmed(ws, pairs, small, sets, percent, "one"), "links-1")
+        links = ws.table(_confirmed(ws, pairs, small, sets, percent, "one"), "links-1", FAIR)
         found = components(ws, links, "one")
         state = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         unsettled = state.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if left.limit(1).count():
             families = components(ws, left.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "family")
             rest = left.select("doc_id", "component").distinct().join(families.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-            more = ws.table(links.union(_tiles(rest, sets, percent)), "links-2")
+            more = ws.table(links.union(_tiles(rest, sets, percent)), "links-2", FAIR)
             found = components(ws, more, "two")
 
         group = classes.join(found, classes.rep == found.id, "left").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "rep").alias("group_id"))

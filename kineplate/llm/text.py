@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Bytes hashed at once: bounds the memory of a task whatever the batch or text.
 CHUNK = 1 << 20
 #: Bytes of text in one slice of an Arrow batch.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

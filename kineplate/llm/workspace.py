@@ -15,7 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(folder)
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not (folder := spark.sparkContext.getCheckpointDir()):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kineplate-"))
@@ -23,8 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Shuffle partitions to a file of tables with a few bytes per document.
-SLIM = 8
+#: Shuffle partitions to a file of tables with a few bytes per document, and of those with more or with work in Python before them.
+SLIM, FAIR = 8, 4
 
 
 class Workspace:
