@@ -98,7 +98,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _listed(ws: Workspace, reps: DataFrame, percent: int) -> DataFrame:
     """(v, doc_id, first): members of the inverted lists of rare retained values, with each list's smallest member."""
     posted = reps.select("doc_id", "n", F.explode("sketch").alias("v"))
-    often = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # written, so that the join deals both sides anew and hot values can be split
+    often = ws.table(posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "often", SLIM)
     share = F.when(F.col("n") * 100 < K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(NEED).cast("int")
     kept = posted.join(often, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"))
     # values that occur once come first in the order of rarity; they link nothing but count
@@ -134,9 +135,9 @@ def _confirmed(ws: Workspace, pairs: DataFrame, small: DataFrame, sets: DataFram
     return likely.join(side(sets, "a"), "a").join(side(sets, "b"), "b").where(sure("shingles_a", "shingles_b")).select("a", "b")
 
 
-def _tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tiles(ws: Workspace, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components within the families of members(doc_id, component, family); each pair of tiles returns a forest."""
-    sized = members.join(members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "family")
+    sized = members.join(ws.table(members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "sizes", SLIM), "family")
     spot = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     dealt = sized.withColumn("spot", spot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("family", "doc_id", "component", "spot", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"))
@@ -202,12 +203,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = ws.table(_confirmed(ws, pairs, small, sets, percent, "one"), "links-1", FAIR)
         found = components(ws, links, "one")
         state = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        unsettled = state.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        left = ws.table(state.join(unsettled.select("v"), "v").select("doc_id", "component", "first").distinct(), "left", SLIM)
+        unsettled = ws.table(state.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v"), "unsettled", SLIM)
+        left = ws.table(state.join(unsettled, "v").select("doc_id", "component", "first").distinct(), "left", SLIM)
         if left.limit(1).count():
             families = components(ws, left.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "family")
             rest = left.select("doc_id", "component").distinct().join(families.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-            more = ws.table(links.union(_tiles(rest, sets, percent)), "links-2", FAIR)
+            more = ws.table(links.union(_tiles(ws, rest, sets, percent)), "links-2", FAIR)
             found = components(ws, more, "two")
 
         group = classes.join(found, classes.rep == found.id, "left").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "rep").alias("group_id"))
