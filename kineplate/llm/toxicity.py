@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .workspace import Workspace
+from .workspace import SLIM, Workspace
 
 PREFIX = 6
 FIT_ROWS, LEXICON, FEATURES = 20_000, 256, 4096
@@ -187,7 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     none = np.zeros(0, np.int64)
     with Workspace(docs.sparkSession, "toxicity") as ws:
         train = _train_rows(ws, docs, labels)
-        sizes = train.groupBy("toxic", "least").agg(F.count("*").alias("copies"))
+        # written, so that the join below deals both sides anew and groups of copies can be split
+        sizes = ws.table(train.groupBy("toxic", "least").agg(F.count("*").alias("copies")), "sizes", SLIM)
         totals = {r.toxic: (r.n, float(r.w)) for r in sizes.groupBy("toxic").agg(F.sum("copies").alias("n"), F.count("*").alias("w")).collect()}
         n, share = sum(x[0] for x in totals.values()), totals.get(1, (0, 0))[0]
         if not totals.get(0) or not totals.get(1):
