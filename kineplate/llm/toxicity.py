@@ -17,15 +17,19 @@ longer words, as 31-bit hashes, besides a few patterns of its characters.
 4.  A logistic classifier over the chosen features is trained on the posterior
     labels; its probability is the score.
 
-Steps 2 to 4 look at no more than FIT_ROWS labelled training rows, drawn by
-hash of the id; LEXICON and FEATURES bound the model. Null and empty texts have
+Every labelled training row counts in every step. The fits pass over packed
+blocks of rows; a pass adds up its sums by partition and then by piece, so the
+driver holds one number per feature and voter and no rows. How many features
+and voters there are follows from the thresholds SURE and WORTH alone. They
+are not raised with the number of features tested, which costs recall; chance
+voters get little evidence from the label model. Null and empty texts have
 no features and score the classifier's constant. Without labelled rows of both
 kinds every score is the share of toxic labels, 0 where there are none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +42,8 @@ from . import text as T
 from .workspace import SLIM, Workspace
 
 PREFIX = 6
-FIT_ROWS, LEXICON, FEATURES = 20_000, 256, 4096
+#: Entries of a packed block of rows, pairs of votes looked at at once, and sums in one piece.
+BLOCK, PAIRS, PIECE = 1 << 20, 1 << 21, 1 << 16
 #: z value of the log odds from which a feature votes, or is looked at.
 SURE, WORTH = 2.5, 2.0
 PATTERNS = ("symbols", "capitals", "exclaims", "repeats", "short")
@@ -133,29 +138,136 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def posterior(votes: np.ndarray, label: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
-    """P(toxic) of each row by the label model: votes[row, voter] of voters that speak for toxicity or are silent, and the row's own label as a voter."""
-    x = np.column_stack([votes, label]).astype(np.float32)
-    p = np.clip(0.7 * label + 0.3 * votes.any(1), 0.02, 0.98).astype(np.float32)
-    trust = np.ones(x.shape[1])
+@dataclass
+class Block:
+    """Packed rows: labels, the features of each row and its votes."""
+
+    label: np.ndarray
+    at: np.ndarray
+    feats: np.ndarray
+    vote_at: np.ndarray
+    votes: np.ndarray
+
+    @property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.label)), np.diff(self.at))
+
+    @property
+    def vote_rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.label)), np.diff(self.vote_at))
+
+
+PACKED = ("label", "at", "feats", "vote_at", "votes")
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield Block(*(np.frombuffer(column[k].as_buffer(), np.int8 if name == "label" else np.int32) for name, column in zip(PACKED, batch.columns, strict=True)))
+
+
+def _total(blocks: DataFrame, sums: Callable[[Block], np.ndarray], size: int) -> np.ndarray:
+    """Sums of all blocks, added by partition and then by piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for block in _unpack(batches):
+            total += sums(block)
+        for k in range(0, size, PIECE):
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([k // PIECE], pa.int32()), "sums": pa.array([total[k : k + PIECE].tobytes()], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        both = sum(np.frombuffer(x.as_buffer()) for x in table.column("sums"))
+        return pa.table({"piece": table.column("piece").slice(0, 1), "sums": pa.array([both.tobytes()], pa.binary())})
+
+    parts = blocks.mapInArrow(run, "piece int, sums binary").groupBy("piece").applyInArrow(add, "piece int, sums binary").collect()
+    return np.concatenate([np.frombuffer(r.sums) for r in sorted(parts, key=lambda r: r.piece)]) if parts else np.zeros(size)
+
+
+@dataclass
+class LabelModel:
+    """P(toxic) of rows by their votes, the last voter being the label that came with a row."""
+
+    base: float
+    gain: np.ndarray | None = None
+
+    def posterior(self, block: Block) -> np.ndarray:
+        n, rows = len(block.label), block.vote_rows
+        if self.gain is None:  # before any round
+            return np.clip(0.7 * block.label + 0.3 * (np.diff(block.vote_at) > block.label), 0.02, 0.98)
+        return 1 / (1 + np.exp(-np.clip(self.base + np.bincount(rows, self.gain[block.votes], n), -40, 40)))
+
+
+def _vote_sums(model: LabelModel, width: int) -> Callable[[Block], np.ndarray]:
+    """Per voter the posterior and the number of rows where it fires; then the sums of the posterior, the rows and the squared posterior."""
+
+    def sums(block: Block) -> np.ndarray:
+        p = model.posterior(block)
+        return np.concatenate([np.bincount(block.votes, p[block.vote_rows], width), np.bincount(block.votes, minlength=width), [p.sum(), len(p), p @ p]])
+
+    return sums
+
+
+def _together(blocks: DataFrame, fires: np.ndarray, sums: np.ndarray, width: int) -> np.ndarray:
+    """Per voter the sum of its correlations above 0.25 with others within the classes. Voters that never fire together have none."""
+    q, own, (q1, n, q2) = sums[:width], sums[width : 2 * width], sums[2 * width :]
+    f0, d = fires[0], fires[1] - fires[0]
+
+    def covariance(i: np.ndarray, j: np.ndarray, both: np.ndarray) -> np.ndarray:
+        apart = f0[j] * own[i] + d[j] * q[i] + f0[i] * own[j] + d[i] * q[j]
+        return both - apart + n * f0[i] * f0[j] + q1 * (f0[i] * d[j] + d[i] * f0[j]) + q2 * d[i] * d[j]
+
+    each = np.arange(width)
+    spread = np.sqrt(np.maximum(covariance(each, each, own), 0)) + 1e-9
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _unpack(batches):
+            later = np.repeat(block.vote_at[1:], np.diff(block.vote_at)) - np.arange(len(block.votes)) - 1
+            done = np.append(0, np.cumsum(later, dtype=np.int64))
+            lo = 0
+            while lo < len(later):
+                hi = max(lo + 1, int(np.searchsorted(done, done[lo] + PAIRS, "right")) - 1)
+                first = np.repeat(np.arange(lo, hi), later[lo:hi])
+                second = first + 1 + np.arange(len(first)) - (done[first] - done[lo])
+                i, j = block.votes[first].astype(np.int64), block.votes[second].astype(np.int64)
+                # what does not fire often enough together even if it always did is left out
+                near = np.minimum(own[i], own[j]) > 0.25 * spread[i] * spread[j]
+                key, count = np.unique(i[near] * width + j[near], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"pair": pa.array(key), "n": pa.array(count.astype(np.int64))})
+                lo = hi
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j = np.divmod(batch.column(0).to_numpy(), width)
+            corr = covariance(i, j, batch.column(1).to_numpy()) / (spread[i] * spread[j])
+            high = corr > 0.25
+            yield pa.RecordBatch.from_pydict({"voter": pa.array(np.concatenate([i[high], j[high]])), "corr": pa.array(np.tile(corr[high], 2))})
+
+    counts = blocks.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    out = np.zeros(width)
+    for r in counts.mapInArrow(shares, "voter long, corr double").groupBy("voter").agg(F.sum("corr").alias("corr")).collect():
+        out[r.voter] = r.corr
+    return out
+
+
+def label_model(blocks: DataFrame, width: int, rounds: int = 25) -> LabelModel:
+    """The label model of voters that speak for toxicity or are silent, and the row's own label as a voter, by expectation maximisation until the rates stand still."""
+    model, trust = LabelModel(0.0), np.ones(width)
     for turn in range(2):
+        before = np.zeros((2, width))
         for _ in range(rounds):
-            fires = np.stack([((1 - p) @ x + 0.05) / ((1 - p).sum() + 1), (p @ x + 0.5) / (p.sum() + 1)]).astype(np.float64)
-            gain = np.log(fires[1] / fires[0]) * trust
-            miss = np.log((1 - fires[1]) / (1 - fires[0])) * trust
-            prior = float(np.clip(p.mean(), 0.005, 0.5))
-            told = np.log(prior / (1 - prior)) + miss.sum() + x @ (gain - miss).astype(np.float32)
-            p = (1 / (1 + np.exp(-np.clip(told, -40, 40)))).astype(np.float32)
+            sums = _total(blocks, _vote_sums(model, width), 2 * width + 3)
+            px, x, p, n = sums[:width], sums[width : 2 * width], sums[2 * width], sums[2 * width + 1]
+            fires = np.stack([(x - px + 0.05) / (n - p + 1), (px + 0.5) / (p + 1)])
+            gain, miss = np.log(fires[1] / fires[0]) * trust, np.log((1 - fires[1]) / (1 - fires[0])) * trust
+            prior = float(np.clip(p / n, 0.005, 0.5))
+            model = LabelModel(float(np.log(prior / (1 - prior)) + miss.sum()), gain - miss)
+            if (np.abs(fires - before) <= 1e-2 * fires).all():
+                break
+            before = fires
         if turn == 0:  # what goes together beyond the classes counts once
-            corr = np.zeros((x.shape[1], x.shape[1]))
-            for k in range(0, len(x), 4096):
-                q = p[k : k + 4096, None]
-                rest = x[k : k + 4096] - q * fires[1] - (1 - q) * fires[0]
-                corr += rest.T @ rest
-            spread = np.sqrt(np.diag(corr)) + 1e-9
-            corr /= np.outer(spread, spread)
-            trust = 1 / np.maximum(np.where(corr > 0.25, corr, 0).sum(1), 1)
-    return p.astype(np.float64)
+            trust = 1 / (1 + _together(blocks, fires, _total(blocks, _vote_sums(model, width), 2 * width + 3), width))
+    return model
 
 
 def insults() -> np.ndarray:
@@ -165,21 +277,52 @@ def insults() -> np.ndarray:
     return np.unique(whole.astype(np.int64)[np.isin(whole.astype(np.int64), feature)])
 
 
-def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, held: np.ndarray, rounds: int = 400, decay: float = 0.3) -> tuple[np.ndarray, float]:
-    """Weights and constant of a logistic model on soft labels, L2-regularised towards `held`, by accelerated gradient steps scaled per feature."""
-    w, b = held.copy(), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
-    m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        z = b + np.bincount(rows, w[cols], n)
-        err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        g = np.bincount(cols, err[rows], width) + decay * (w - held)
-        gb = err.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        rate = 0.1 * min(1, 3 * (1 - t / (rounds + 1)))
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return w, b
+def _logistic(blocks: DataFrame, votes: LabelModel, held: np.ndarray, rounds: int = 60, decay: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights and constant of a logistic model on the posterior labels, L2-regularised towards `held`, by L-BFGS scaled per feature; a step is one pass over all rows."""
+    width = len(held)
+
+    def look(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def sums(block: Block) -> np.ndarray:
+            n, rows, target = len(block.label), block.rows, votes.posterior(block)
+            z = w[width] + np.bincount(rows, w[block.feats], n)
+            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            err, bend = p - target, p * (1 - p)
+            return np.concatenate([np.bincount(block.feats, err[rows], width), [err.sum()], np.bincount(block.feats, bend[rows], width), [bend.sum(), (np.logaddexp(0, z) - target * z).sum()]])
+
+        got = _total(blocks, sums, 2 * width + 3)
+        off = np.append(w[:width] - held, 0.0)
+        return got[-1] + 0.5 * decay * (off @ off), got[: width + 1] + decay * off, got[width + 1 : -1] + np.append(np.full(width, decay), 1e-3)
+
+    w = np.append(held, -2.0)
+    loss, slope, bend = look(w)
+    least, past = 5e-3 * np.linalg.norm(slope / np.sqrt(bend)), []
+    for _ in range(rounds):
+        step, alphas = slope.copy(), []
+        for s, y in reversed(past):
+            alphas.append((s @ step) / (s @ y))
+            step -= alphas[-1] * y
+        step /= bend
+        if past:
+            s, y = past[-1]
+            step *= (s @ y) / (y @ (y / bend))
+        for (s, y), a in zip(past, reversed(alphas), strict=True):
+            step += (a - (y @ step) / (s @ y)) * s
+        size = 1.0
+        while True:
+            then = look(w - size * step)
+            if then[0] <= loss - 1e-4 * size * (slope @ step) or size < 1e-9:
+                break
+            # the parabola through both losses and the slope has its least value here
+            size *= min(max(0.5 * size * (slope @ step) / (then[0] - loss + size * (slope @ step)), 1e-3), 0.5)
+        if then[0] > loss:
+            break
+        s, y = -size * step, then[1] - slope
+        if s @ y > 0:
+            past = [*past, (s, y)][-10:]
+        w, (loss, slope, bend) = w + s, then
+        if np.linalg.norm(slope / np.sqrt(bend)) <= least:
+            break
+    return w[:width], float(w[width])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -199,40 +342,47 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         stats = weighed.groupBy("f").agg(F.sum(F.col("w") * F.col("toxic")).alias("a"), F.sum(F.col("w") * (1 - F.col("toxic"))).alias("b")).where("a + b >= 2")
         odds = F.log((F.col("a") + 0.5) / (w1 + 1)) - F.log((F.col("b") + 0.5) / (w0 + 1))
         z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-        top = stats.withColumn("z", z).where(F.abs("z") >= WORTH).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).toPandas()
+        top = stats.withColumn("z", z).where(F.abs("z") >= WORTH).toPandas()
         top = top.sort_values("f").reset_index(drop=True)
         listed = insults()
         known = np.union1d(top.f.to_numpy(np.int64), listed)
         at = np.searchsorted(known, top.f.to_numpy(np.int64))
         score, mostly = np.zeros(len(known)), np.zeros(len(known), bool)
         score[at], mostly[at] = top.z.to_numpy(np.float64), top.a.to_numpy() >= 0.5 * (top.a + top.b).to_numpy()
-        sure = np.flatnonzero((score >= SURE) & mostly)
-        sure = np.union1d(sure[np.argsort(-score[sure], kind="stable")][:LEXICON], np.searchsorted(known, listed))
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sure = np.union1d(np.flatnonzero((score >= SURE) & mostly), np.searchsorted(known, listed))
+        # patterns are features and voters behind the others, the label is the last voter
+        voters = len(sure) + len(PATTERNS) + 1
+        spot = np.full(len(known) + len(PATTERNS), -1, np.int32)
+        spot[sure] = np.arange(len(sure))
+        spot[len(known) :] = len(sure) + np.arange(len(PATTERNS))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at, own = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
-                own, at = own[at[0] : at[-1]], at - at[0]
-                hit = np.isin(own, known)
-                kept = np.append(0, np.cumsum(hit))[at]
-                lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(np.searchsorted(known, own[hit]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], ["toxic", "feats", "votes"])
-
-        drawn = train.where(F.xxhash64("doc_id") <= F.lit(int((2 * min(1.0, 0.9 * FIT_ROWS / n) - 1) * (2**63 - 1024)))) if n > FIT_ROWS else train
-        fit = drawn.select("toxic", "feats", "votes").mapInArrow(pick, "toxic int, feats array<int>, votes array<boolean>").limit(FIT_ROWS).toArrow().combine_chunks()
-    label = fit.column("toxic").to_numpy().astype(np.float64)
-    pattern = fit.column("votes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(fit), len(PATTERNS))
-    rows = np.repeat(np.arange(len(fit)), pc.list_value_length(fit.column("feats")).to_numpy())
-    cols = fit.column("feats").combine_chunks().flatten().to_numpy().astype(np.int64)
-    votes = np.zeros((len(fit), len(sure) + len(PATTERNS)), bool)
-    spot = np.full(len(known) + 1, -1)
-    spot[sure] = np.arange(len(sure))
-    mine = spot[cols] >= 0
-    votes[rows[mine], spot[cols[mine]]] = True
-    votes[:, len(sure) :] = pattern
-    p = posterior(votes, label, share / n)
-    prow, pcol = np.nonzero(pattern)
-    w, b = _logistic(np.concatenate([rows, prow]), np.concatenate([cols, pcol + len(known)]), len(fit), len(known) + len(PATTERNS), p, np.append(np.where(np.isin(known, listed), HELD, 0.0), np.zeros(len(PATTERNS))))
+                ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+                lo = 0
+                while lo < batch.num_rows:
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, "right")))
+                    part = batch.slice(lo, hi - lo)
+                    lo, n = hi, part.num_rows
+                    own, feat_rows = part.column(1).flatten().to_numpy(), np.repeat(np.arange(n), pc.list_value_length(part.column(1)).to_numpy())
+                    near = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    hit = known[near] == own
+                    label = part.column(0).to_numpy()
+                    pattern_row, pattern = np.nonzero(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, len(PATTERNS)))
+                    rows, cols = np.concatenate([feat_rows[hit], pattern_row]), np.concatenate([near[hit], pattern + len(known)])
+                    order = np.lexsort((cols, rows))
+                    rows, cols = rows[order], cols[order]
+                    votes = spot[cols]
+                    told = np.flatnonzero(label)
+                    vote_rows, votes = np.concatenate([rows[votes >= 0], told]), np.concatenate([votes[votes >= 0], np.full(len(told), voters - 1)])
+                    order = np.lexsort((votes, vote_rows))
+                    cells = (label.astype(np.int8), np.searchsorted(rows, np.arange(n + 1)), cols, np.searchsorted(vote_rows[order], np.arange(n + 1)), votes[order])
+                    yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int8 if k == 0 else np.int32).tobytes()], pa.binary()) for k, x in enumerate(cells)], list(PACKED))
+
+        blocks = ws.table(train.select("toxic", "feats", "votes").mapInArrow(pack, ", ".join(f"{x} binary" for x in PACKED)), "blocks")
+        ws.drop("train")
+        held = np.append(np.where(np.isin(known, listed), HELD, 0.0), np.zeros(len(PATTERNS)))
+        w, b = _logistic(blocks, label_model(blocks, voters), held)
     return ToxicityModel(b, w[len(known) :], known, w[: len(known)])
 
 

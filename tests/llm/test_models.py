@@ -70,3 +70,20 @@ def test_toxicity(spark):
         assert {r.score for r in X.score(docs, X.learn(docs, part)).collect()} < {0.0, 1.0} or True
     assert max(r.score for r in X.score(docs, X.learn(docs, table.where("toxic = 0"))).collect()) < 1e-6
     assert X.score(docs.limit(0), model).count() == 0
+
+
+def test_toxic_words_are_not_pushed_out_by_topic_words(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    topic = [f"topic{k:05}" for k in range(5000)]
+    bad = ["zweeb", "quorp", "blimf", "drask", "vontu"]
+    rows = [(k, " ".join(rng.sample(topic, len(topic)))) for k in range(60)]
+    rows += [(100 + k, " ".join([bad[k % 5], *(f"own{k}x{j}" for j in range(9))])) for k in range(40)]
+    rows += [(50_000 + k, " ".join(f"other{k}x{j}" for j in range(9))) for k in range(40)]
+    labels = spark.createDataFrame([(k, int(100 <= k < 50_000)) for k, _ in rows], "doc_id long, toxic int")
+    model = X.learn(documents(spark, rows), labels)
+    assert len(model.known) > 5000
+    decisive = X.features(pa.array(bad))[1]
+    assert np.isin(decisive, model.known).all() and (model.weight[np.searchsorted(model.known, decisive)] > 0.5).all()
