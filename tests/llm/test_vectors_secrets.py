@@ -86,3 +86,9 @@ def test_bulk_and_single_scans_agree():
     body, offsets = T.as_bytes(pa.array(texts))
     starts, _ = S._runs(S._IS_BASE64[body], offsets, 16)
     assert len(starts) == 3 and S.promising(body, starts)[0]
+
+
+def test_escapes_are_read_with_what_surrounds_them():
+    for text in ("password: %68unter2secret", '"\\u0070assword": "hunter22"', "%FF%70assword = hunter22", "passwor%64 : \\x68unter22", "token: %2568unter22"):
+        got = S.find(f"é x\n{text}")
+        assert ("assign", 4 + text.find("%70") * ("%FF" in text) + text.startswith('"'), 4 + len(text) - text.endswith('"')) in [g[:3] for g in got], (text, got)
