@@ -92,3 +92,16 @@ def test_escapes_are_read_with_what_surrounds_them():
     for text in ("password: %68unter2secret", '"\\u0070assword": "hunter22"', "%FF%70assword = hunter22", "passwor%64 : \\x68unter22", "token: %2568unter22"):
         got = S.find(f"é x\n{text}")
         assert ("assign", 4 + text.find("%70") * ("%FF" in text) + text.startswith('"'), 4 + len(text) - text.endswith('"')) in [g[:3] for g in got], (text, got)
+
+
+def test_layers_are_neither_dropped_nor_cut():
+    inner = b"x token=abcdefghij y"
+
+    def coded(data):
+        return base64.b64encode(data).decode()
+
+    noise = bytes(range(256)) * 20_000
+    texts = [coded(b"\0caf\xc2\xa0\xff " + inner), coded(gzip.compress(gzip.compress(inner))), coded(gzip.compress(zlib.compress(inner))), coded(gzip.compress(b"first") + gzip.compress(inner)), coded(gzip.compress(noise + inner)), "ab/" + coded(inner), "\n".join(re.findall(".{1,15}", coded(b"some text first, then a " + inner)))]
+    for k, text in enumerate(texts):
+        assert "assign" in [g[0] for g in S.find(text)], k
+    assert "assign" in [g[0] for g in S.find(coded(gzip.compress(b" " * (65 << 20) + inner)))]
