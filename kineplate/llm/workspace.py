@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,5 +66,11 @@ class Workspace:
         return df.checkpoint(eager=True)
 
 
+def set_aside(docs: DataFrame, *taken: str) -> tuple[DataFrame, list[Column]]:
+    """docs with every column renamed whose name is among the taken ones, whatever its case, and the columns that select docs' own ones from a result."""
+    names = [f"{c}_{uuid.uuid4().hex}" if c.lower() in taken else c for c in docs.columns]
+    return docs.toDF(*names), [F.col(f"`{a}`").alias(b) for a, b in zip(names, docs.columns, strict=True)]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
