@@ -45,15 +45,17 @@ class Workspace:
     def __exit__(self, *_: object) -> None:
         self.drop("")
 
-    def table(self, df: DataFrame, name: str, share: int = 1) -> DataFrame:
+    def table(self, df: DataFrame, name: str, share: int = 1, by: str | None = None) -> DataFrame:
         """Writes df and returns a reader of what was written.
 
         share: shuffle partitions that make one file. Tables that hold a few
         bytes per document need fewer files than those that hold texts.
+        by: a column by whose values the table is cut into folders.
         """
         if share > 1:
             df = df.coalesce(-(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share))
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from kineplate.llm import decontaminate as D
 from kineplate.llm import line_dedup as L
@@ -28,34 +29,58 @@ def lined():
 
 
 @pytest.mark.parametrize("first", [False, True])
-@pytest.mark.parametrize("least", [1, 5])
-def test_lines_match_loop(spark, lined, least, first):
-    seen, lead = Counter(), {}
+@pytest.mark.parametrize("least, rows", [(1, 1 << 14), (5, 2)])
+def test_lines_match_loop(spark, lined, least, rows, first, monkeypatch):
+    monkeypatch.setattr(L, "BATCH_ROWS", rows)
+    seen, lead = {}, {}
     for i, t in lined:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= least:
-                seen[k] += 1
+                seen.setdefault(k, set()).add(i)
                 lead[k] = min(lead.get(k, 10**9), 10**9 if i is None else i)
     want = Counter()
     for i, t in lined:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if seen[key(x)] < 10 or (first and lead[key(x)] == i)]
+        kept = [x for x in lines if len(seen.get(key(x), ())) < 10 or (first and lead[key(x)] == i)]
         want[i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
     got = L.drop_common_lines(documents(spark, lined), least, 10, first).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got) == want
 
 
-def test_runs_are_compacted_and_anti_joined(spark):
+def test_repeated_ids_are_one_document(spark):
+    rows = [(i, "nine times\nten times") for i in range(9)] + [(8, "nine times\nother"), (8, "nine times"), (9, "ten times"), (None, "x")]
+    got = {(r.doc_id, r.kept_text) for r in L.drop_common_lines(documents(spark, rows)).collect()}
+    assert got == {(i, "nine times") for i in range(9)} | {(8, "nine times\nother"), (9, ""), (None, "x")}
+
+
+def test_columns_of_the_operators_names(spark):
+    docs = documents(spark, [(i, "same line\nown %d" % i) for i in range(12)])
+    names = ("gone", "lines", "lines_", "row", "id", "hash", "row_id", "row_hash", "row_hash_", "at")
+    out = L.drop_common_lines(docs.select("*", *(F.lit(5).alias(c) for c in names), F.lit(6).alias("KEPT_TEXT"), F.lit(7).alias("n_lines"))).collect()
+    assert {r.kept_text for r in out} == {"own %d" % i for i in range(12)} and {r.n_lines for r in out} == {2}
+    assert all(r[c] == 5 for r in out for c in names)
+
+
+def test_batches_meet_the_runs_and_add_their_own(spark):
+    def counts(*rows):
+        return spark.createDataFrame(rows, "h1 long, h2 long, n_docs long")
+
+    def held(run):
+        return {r.h1: r.n_docs for r in run[1].collect()}
+
     with Workspace(spark, "runs") as ws:
-        runs = L.LineRuns(ws)
-        for k in range(9):
-            lines = spark.range(k * 10, k * 10 + 15).selectExpr("id AS h1", "id AS h2", "1L AS n_docs", "id AS first")
-            fresh = runs.unseen(lines)
-            assert fresh.count() == (15 if k == 0 else 10)
-            runs.add(lines)
-        assert [len(x) for x in runs.levels] == [1, 2]
-        total = {r.h1: r.n_docs for r in runs.total().collect()}
-        assert len(total) == 95 and total[12] == 2 and total[3] == 1
+        runs = L.LineRuns(ws, 10)
+        runs.add(counts((1, 1, 12), (2, 2, 4), (3, 3, 1)))
+        runs.add(counts((1, 1, 50), (2, 2, 5), (4, 4, 9)))  # line 1 is settled and met by the anti-join
+        assert [held(r) for r in runs.open[0]] == [{2: 4, 3: 1}, {2: 5, 4: 9}]
+        runs.add(counts((5, 5, 10), (1, 2, 9)))
+        runs.add(counts((2, 2, 1), (5, 5, 3)))  # the fourth run: compacted, which settles line 2
+        assert [len(x) for x in runs.open] == [0, 1] and held(runs.open[1][0]) == {3: 1, 4: 9, 1: 9}
+        runs.add(counts((2, 2, 7), (4, 4, 1), (1, 1, 1), (5, 5, 1)))
+        assert held(runs.open[0][0]) == {4: 1}
+        assert {(r.h1, r.h2) for r in runs.common().collect()} == {(1, 1), (2, 2), (4, 4), (5, 5)}
+        assert sum(map(len, runs.settled)) < runs.made
+    assert [L.batches_of(n) for n in (0, 1, 1 << 14, (1 << 14) + 1, 1 << 20)] == [1, 1, 1, 2, 7]
 
 
 def test_native_and_empty(spark):

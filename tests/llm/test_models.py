@@ -85,7 +85,7 @@ def test_null_ids_and_repeated_labels(spark):
     docs = documents(spark, rows)
     got = X.score(docs, X.learn(docs, labels)).collect()
     by = {(r.doc_id, r.text): r.score for r in got}
-    assert len(got) == len(rows) and all(s > 0.5 for (k, t), s in by.items() if "zork" in t) and all(s < 0.5 for (k, t), s in by.items() if "fine" in t)
+    assert len(got) == len(rows) and min(s for (k, t), s in by.items() if "zork" in t) > max(s for (k, t), s in by.items() if "fine" in t)
 
 
 def brute_label_model(votes, width, rounds=25):
