@@ -28,32 +28,34 @@ from kineplate.llm import near_dedup as near
 from kineplate.llm import packing as packs
 from kineplate.llm import toxicity as toxic
 from kineplate.llm.queries import fold
-from kineplate.llm.workspace import Workspace, read_table
+from kineplate.llm.workspace import Workspace, read_table, set_aside
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, own = set_aside(docs, "held_out", "score")
     model = toxic.learn(docs.where(~fold(3, 1)), read_table(spark, sf_dir, "labels"))
-    return toxic.score(docs, model).where("score < 0.7").select(*docs.columns)
+    return toxic.score(docs, model).where("score < 0.7").select(*own)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, own = set_aside(docs, "n_lines", "n_dropped", "kept_text")
     out = lines.drop_common_lines(docs, least=1, documents=10, keep_first=True)
     out = out.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.col("n_dropped") > 0
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+    return out.withColumns(new).select(*own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id"))
+    gone = near.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 and doc_id is not null").select("doc_id")
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 and doc_id is not null").select(F.col("doc_id").alias("twice_id"))
     if not twice.limit(1).count():
         return kept
-    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    once = kept.join(twice, kept["doc_id"] == twice["twice_id"], "left_anti")
+    return once.unionByName(kept.join(twice, kept["doc_id"] == twice["twice_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
