@@ -6,12 +6,15 @@ from long documents; what remains of a document is routed to the smallest
 context tier that holds it. When about BLOCK tokens wait, tiers are packed
 from the longest to the shortest: each window takes one document of its own
 tier, its gap the largest fitting ones of shorter tiers, and the last gap the
-head of a document that is cut there. Windows are dealt to steps so that all
-steps of a block carry about as many tokens. What is left at a task's end is
-cut into ever shorter powers of two; only the last tokens below TAIL are padded.
+head of a shorter document, or of one of the same tier, that is cut there. One
+window at most stays open, when nothing shorter is left; its pieces are routed
+again with the next block. Windows are dealt to steps so that all steps of a
+block carry about as many tokens. What is left at a task's end is cut into ever
+shorter powers of two; only the last tokens below TAIL are padded.
 
 Null and empty texts are the end token alone. Repeated rows are packed each
-for itself. Other columns are not read.
+for itself; null ids stay null. Long texts are cut into windows as they come.
+Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,13 +89,13 @@ class Packer:
         return None
 
     def _fill(self, tier: int, window: list[tuple], gap: int) -> int:
-        """Puts pieces of shorter tiers, and of the shortest tier its own, into a gap; returns what stays open."""
+        """Puts pieces of shorter tiers, and of the shortest tier its own, into a gap, then the head of a piece of up to the same tier; returns what stays open."""
         below = max(tier, 1)
         while gap:
             if piece := self._fitting(below, gap):
                 window.append(piece[2:])
                 gap -= piece[0]
-            elif pool := next((p for p in self.pools[:below] if p), None):
+            elif pool := next((p for p in self.pools[: tier + 1] if p), None):
                 _, _, key, start, ids = pool.pop()
                 window.append((key, start, ids[:gap]))
                 self._route(key, start + gap, ids[gap:])
@@ -102,6 +105,9 @@ class Packer:
         return gap
 
     def pack(self) -> Iterator[tuple]:
+        left, self.rest = self.rest, []
+        for piece in left:
+            self._route(*piece)
         for tier in reversed(range(len(self.tiers))):
             while self.pools[tier]:
                 piece = self.pools[tier].pop()
