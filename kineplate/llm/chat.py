@@ -3,14 +3,17 @@
 A turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts and roles
 every ``<``, backslashes, ``|`` gets one more backslash, so no control string
 can occur in them and the step is undone by taking one away; a role's line
-breaks and percent signs are percent-coded. All turns of a batch are put
-together at once: segment lengths, their running sums and scatter indices are
-numpy arrays, and headers and contents are copied into one buffer that becomes
-the Arrow column.
+breaks and percent signs are percent-coded. All turns of a slice of a batch are
+put together at once: segment lengths, their running sums and scatter indices
+are numpy arrays, and headers and contents are copied into one buffer that
+becomes the Arrow column. Slices hold about SLICE bytes of text, so the indices
+stay small whatever the batch; a longer text is copied as one run.
 
 Turns are ordered by turn, then role and text (nulls first); null roles and
-texts are empty. Rows are shuffled and sorted once by conversation; a
-conversation is streamed from the sort and held once, as its own output row.
+texts are empty, and rows with a null conv_id are one conversation. Repeated
+turns stay. Rows are shuffled and sorted once by conversation; of a conversation
+that goes over several slices only the formatted bytes are held. Other columns
+are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import as_bytes
+from .text import as_bytes, slices
 
 START, BREAK, STOP = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 LEARNED = "assistant"
+#: Bytes of text assembled at once, and from how many on a run is copied without indices.
+SLICE, RUN = 2 << 20, 1 << 14
 SCHEMA = "conv_id long, n_turns long, formatted string, loss array<long>"
 
 
@@ -42,10 +47,14 @@ def unescape(text: str) -> str:
 def _scatter(out: np.ndarray, to: np.ndarray, body: np.ndarray, lengths: np.ndarray) -> None:
     """Copies consecutive runs of body to the places `to`."""
     begin = np.cumsum(lengths) - lengths
-    out[np.repeat(to - begin, lengths) + np.arange(len(body))] = body
+    for k in np.flatnonzero(lengths >= RUN).tolist():
+        out[to[k] : to[k] + lengths[k]] = body[begin[k] : begin[k] + lengths[k]]
+    short = np.where(lengths < RUN, lengths, 0)
+    inside = np.arange(int(short.sum())) - np.repeat(np.cumsum(short) - short, short)
+    out[np.repeat(to, short) + inside] = body[np.repeat(begin, short) + inside]
 
 
-def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Buffer, np.ndarray, np.ndarray, np.ndarray]:
+def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The formatted bytes of turns, where conversations start (first: their first turns), and where each text starts and ends."""
     roles = pc.replace_substring(pc.replace_substring(pc.fill_null(roles, ""), "%", "%25"), "\n", "%0A")
     role_body, role_at = as_bytes(escape(roles))
@@ -60,23 +69,75 @@ def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Bu
     _scatter(out, begins + len(START), role_body, role_n)
     _scatter(out, text_begin, text_body, text_n)
     starts = np.append(begins[first], len(out))
-    return pa.py_buffer(out), starts, text_begin, text_begin + text_n
-
-
-def _format(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids = batch.column(0)
-    known, value = np.asarray(ids.is_valid()), np.asarray(pc.fill_null(ids, 0))
-    new = np.append(True, (value[1:] != value[:-1]) | (known[1:] != known[:-1]))
-    first = np.flatnonzero(new)
-    body, starts, begin, end = assemble(batch.column(2), batch.column(3), first)
-    conv = np.cumsum(new) - 1
-    mine = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(batch.column(2), LEARNED), False)))
-    spans = np.stack([begin[mine], end[mine]], 1) - starts[conv[mine]][:, None]
-    counts = np.bincount(conv[mine], minlength=len(first)) * 2
-    loss = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(spans.ravel(), pa.int64()))
-    formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(starts.astype(np.int64)), body)
-    turns = pa.array(np.diff(np.append(first, len(ids))), pa.int64())
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), turns, formatted.cast(pa.string()), loss], ["conv_id", "n_turns", "formatted", "loss"])
+    return out, starts, text_begin, text_begin + text_n
+
+
+class _Part:
+    """Formatted turns in a row: their bytes, where conversations start and end in them, and turns, loss spans (within the conversation) and ids of conversations."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        ids = rows.column(0)
+        known, value = np.asarray(ids.is_valid()), np.asarray(pc.fill_null(ids, 0))
+        new = np.append(True, (value[1:] != value[:-1]) | (known[1:] != known[:-1]))
+        first = np.flatnonzero(new)
+        self.body, self.starts, begin, end = assemble(rows.column(2), rows.column(3), first)
+        self.ids = ids.take(pa.array(first)).to_pylist()
+        self.turns = np.diff(np.append(first, len(ids)))
+        conv = np.cumsum(new) - 1
+        mine = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(rows.column(2), LEARNED), False)))
+        self.spans = np.stack([begin[mine], end[mine]], 1) - self.starts[conv[mine]][:, None]
+        self.at = np.searchsorted(conv[mine], np.arange(len(first) + 1))
+
+
+class _Open:
+    """The conversation that the last slice ended in."""
+
+    def __init__(self) -> None:
+        self.pieces: list[bytes] = []
+        self.spans: list[np.ndarray] = []
+        self.turns, self.size, self.id = 0, 0, None
+
+    def add(self, part: _Part, k: int) -> None:
+        a, b = int(part.starts[k]), int(part.starts[k + 1])
+        self.pieces.append(part.body[a:b].tobytes())
+        self.spans.append(part.spans[part.at[k] : part.at[k + 1]] + self.size)
+        self.turns, self.size, self.id = self.turns + int(part.turns[k]), self.size + b - a, part.ids[k]
+
+
+def _rows(ids: list, turns: list[int], starts: np.ndarray, body: bytes, spans: list[np.ndarray]) -> pa.RecordBatch:
+    at = np.append(0, np.cumsum([2 * len(s) for s in spans]))
+    loss = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(spans).ravel(), pa.int64()))
+    text = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(body))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(turns, pa.int64()), text.cast(pa.string()), loss], ["conv_id", "n_turns", "formatted", "loss"])
+
+
+def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA from batches (conv_id, turn, role, text) in order of conversations and turns."""
+    held = _Open()
+
+    def close(held: _Open) -> pa.RecordBatch:
+        return _rows([held.id], [held.turns], np.array([0, held.size]), b"".join(held.pieces), [np.concatenate(held.spans)])
+
+    for batch in batches:
+        for rows in slices(batch, "text", SLICE):
+            part = _Part(rows)
+            if held.pieces and held.id == part.ids[0]:
+                held.add(part, 0)
+                begin = 1
+            else:
+                begin = 0
+            if begin == len(part.ids):
+                continue
+            if held.pieces:
+                yield close(held)
+            last = len(part.ids) - 1
+            if last > begin:
+                starts = part.starts[begin : last + 1]
+                yield _rows(part.ids[begin:last], part.turns[begin:last].tolist(), starts - starts[0], part.body[starts[0] : starts[-1]].tobytes(), [part.spans[part.at[k] : part.at[k + 1]] for k in range(begin, last)])
+            held = _Open()
+            held.add(part, last)
+    if held.pieces:
+        yield close(held)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -86,29 +147,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     assistant text in order: these bytes and no others are under the loss mask.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of one conversation, the last seen
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_pylist()
-            if held and held[0].column(0)[0].as_py() != ids[0]:
-                yield _format(_join(held))
-                held = []
-            cut = next((i for i in range(len(ids) - 1, 0, -1) if ids[i - 1] != ids[-1]), 0)
-            if cut:
-                yield _format(_join([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield _format(_join(held))
-
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SCHEMA)
-
-
-def _join(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(batches) > 1 else batches[0]
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(formatted, SCHEMA)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:

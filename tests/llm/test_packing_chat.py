@@ -1,7 +1,6 @@
 """Exact round trips of packing and chat formatting."""
 
 import hashlib
-import zlib
 
 import numpy as np
 import pytest
@@ -34,7 +33,9 @@ def test_documents_come_back(spark, corpus):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    rows = [(i, t) for i, t in corpus if len(t or "") < 200_000] + [(5000, "a <|endoftext|> b\r\n\t 你好 don't 123")]
+    long = [(5001, "x" * 200_000), (5002, "".join(map(chr, range(32, 0xD800, 7))) * 27), (5003, "mixed Words, 12 and\n\n  more " * 9000)]
+    rows = corpus + long + [(5000, "a <|endoftext|> b\r\n\t 你好 don't 123")]
+    assert sum(len(t or "") >= 200_000 for _, t in rows) >= 4
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], np.uint32) for i, t in rows}
     got = P.pack_documents(documents(spark, rows)).collect()
     pieces = [{"doc": r.doc_id, "start": r.start, "ids": np.frombuffer(r.ids, "<u4"), "sequence": r.sequence_id, "offset": r.offset} for r in got]
@@ -43,7 +44,18 @@ def test_documents_come_back(spark, corpus):
     padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in sequences.values())
     assert padding <= 4 * 2048  # one short end a task
     assert P.pack_documents(documents(spark, [])).count() == 0
-    assert zlib.crc32(b"") == 0
+    again = P.pack_documents(documents(spark, [(None, "a"), (None, None), (7, "b"), (7, "b")])).collect()
+    assert sum(r.doc_id is None for r in again) == 2 and sum(r.doc_id == 7 for r in again) == 2
+
+
+def test_windows_close_while_documents_come():
+    packer, out, held = P.Packer(0), 0, 0
+    for k in range(3000):
+        packer.add((k, 1500), np.arange(1500, dtype=np.uint32))
+        if packer.waiting >= P.BLOCK // 4:
+            out += sum(len(row[2]) for row in packer.pack())
+            held = max(held, (k + 1) * 1500 - out)
+    assert held < 2048 and sum(len(p[2]) for p in packer.rest) == 3000 * 1500 - out - sum(p[0] for pool in packer.pools for p in pool)
 
 
 @settings(max_examples=60, deadline=None)
@@ -85,6 +97,26 @@ def test_turns_come_back(spark):
         assert chat.read_loss(got[c].formatted, got[c].loss) == "".join(t or "" for r, t in turns if r == "assistant")
 
 
+def test_slices_do_not_show(spark, monkeypatch):
+    rows = [(c, k, ("user", "assistant")[k % 2], f"{c} {k} é" * (1 + c * k % 5)) for c in range(30) for k in range(c % 5 + 1)] + [(77, k, "assistant", "y" * 70_000) for k in range(5)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(chat.format_conversations(turns).collect())
+    monkeypatch.setattr(chat, "SLICE", 40)
+    assert sorted(chat.format_conversations(turns).collect()) == whole and len(whole) == 31
+    assert all(chat.read_loss(r.formatted, r.loss) == "".join(t for c, _, role, t in sorted(rows) if c == r.conv_id and role == "assistant") for r in whole)
+
+
+def test_memory_of_large_batches():
+    import resource
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"conv_id": np.arange(30_000) // 3, "turn": np.zeros(30_000, np.int64), "role": ["assistant"] * 30_000, "text": ["abcdefgh" * 256] * 30_000})
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    total = sum(out.num_rows for out in chat.formatted(iter([batch])))
+    assert total == 10_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # kB, for 61 MB of text
+
+
 def test_ties_and_no_rows(spark):
     ddl = "conv_id long, turn long, role string, text string"
     assert chat.format_conversations(spark.createDataFrame([], ddl)).count() == 0
