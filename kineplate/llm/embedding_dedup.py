@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
-Equal vectors form a class that one of them stands for, with its count. The
-classes are dealt to tiles of about TILE vectors, packed as one row each, and
-every pair of tiles is multiplied once. Vectors are scaled to length one and
+Equal vectors form a class with a number of its own and a count. The classes
+are dealt to tiles of at most about TILE_BYTES, packed as one row each, and
+every pair of tiles is multiplied once; small tables make TILES tiles, so that
+there are tasks for all cores and few copies of each tile. Vectors are scaled to length one and
 rounded to int8 with a scale of their own; e is the length of the rounding
 error and a the length of the rounded vector. For vectors u and v,
 
@@ -15,7 +16,10 @@ longer vectors are multiplied in pieces.
 
 A tile pair returns one count per vector and a forest of its links, never the
 links themselves. Vectors that are null, zero or hold null or non-finite
-components link with nothing; vectors of different lengths don't link.
+components link with nothing, neither do rows with a null id; vectors of
+different lengths don't link. Rows are told apart by their vectors, so one id
+with two vectors counts the links of each. Other columns are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .workspace import Workspace
 
-TILE, ROWS = 4096, 512
+#: Bytes of the vectors of a tile, how many tiles there are at least (of LEAST_TILE vectors or more), and rows multiplied at once.
+TILE_BYTES, TILES, LEAST_TILE, ROWS = 8 << 20, 8, 512, 256
 #: Components whose int8 products add up below 2**24.
 PIECE = 1024
 #: Covers the rounding of float32 and double arithmetic.
@@ -93,10 +98,15 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
     kind = np.float64 if pa.types.is_float64(table.schema.field("vector").type.value_type) else np.float32
     vectors = np.asarray(table.column("vector").combine_chunks().flatten(), kind)
-    ids, times = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "times"))
+    ids, times = (table.column(c).to_numpy().astype(np.int64) for c in ("class", "times"))
     return pa.table({"dims": pa.array([key[0].as_py()], pa.int32()), "tile": pa.array([key[1].as_py()], pa.int32()), "ids": [ids.tobytes()], "times": [times.tobytes()], "vectors": [vectors.astype(np.float64).tobytes() if kind == np.float64 else vectors.tobytes()]})
 
 
+def tiles_of(n: int, size: int) -> int:
+    """Tiles of n vectors of `size` bytes each."""
+    return max(-(-n * size // TILE_BYTES), min(TILES, -(-n // LEAST_TILE)))
+
+
 def near_embeddings(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, ...)."""
     spark = vectors.sparkSession
@@ -105,12 +115,14 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
         sound = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
         rows = ws.table(rows.withColumn("sound", F.coalesce(sound & F.col("vec_id").isNotNull(), F.lit(False))), "rows")
-        classes = ws.table(rows.where("sound").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "classes")
-        sizes = {r.dims: -(-r.n // TILE) for r in classes.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).collect()}  # one row per length of vectors
+        classes = rows.where("sound").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
+        classes = ws.table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # written once, so the numbers stay
+        width = 8 if kind == "double" else 4
+        sizes = {r.dims: tiles_of(r.n, r.dims * width) for r in classes.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).collect()}  # one row per length of vectors
         found = None
         if sizes:
             tiles = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.size("vector")]
-            dealt = classes.select(F.size("vector").alias("dims"), F.pmod(F.xxhash64("rep"), tiles).cast("int").alias("tile"), "rep", "times", "vector")
+            dealt = classes.select(F.size("vector").alias("dims"), F.pmod(F.xxhash64("class"), tiles).cast("int").alias("tile"), "class", "times", "vector")
             wide = np.dtype(np.float64 if kind == "double" else np.float32)
             packed = ws.table(dealt.groupBy("dims", "tile").applyInArrow(_pack, "dims int, tile int, ids binary, times binary, vectors binary"), "tiles")
             other = F.explode(F.sequence(F.lit(0), F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col("dims")] - 1))
@@ -139,10 +151,11 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9) -> DataFrame:
             found = ws.table(pairs.groupBy("dims", "i", "j").applyInArrow(compare, "a long, b long, n long"), "found")
         if found is None:
             found = spark.createDataFrame([], "a long, b long, n long")
-        counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-        groups = components(ws, found.where("a <> b").select("a", "b"), "groups").withColumnRenamed("id", "rep")
-        known = classes.join(counts, "rep", "left").join(groups, "rep", "left")
-        known = known.select(F.col("vector").alias("of"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        counts = found.where("n > 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+        groups = components(ws, found.where("a <> b").select("a", "b"), "groups").withColumnRenamed("id", "class")
+        smallest = groups.join(classes.select("class", "rep"), "class").groupBy("component").agg(F.min("rep").alias("component_id"))
+        known = classes.join(counts, "class", "left").join(groups.join(smallest, "component").select("class", "component_id"), "class", "left")
+        known = known.select(F.col("vector").alias("of"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
         out = rows.join(known, rows["sound"] & (rows["vector"] == known["of"]), "left")
         component = F.coalesce("component_id", "vec_id")
         out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

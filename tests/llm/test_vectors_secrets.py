@@ -17,7 +17,7 @@ from .conftest import documents
 
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_vectors_match_all_pairs(spark, monkeypatch, kind):
-    monkeypatch.setattr(E, "TILE", 40)
+    monkeypatch.setattr(E, "LEAST_TILE", 40)
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((12, 16))
     x = np.concatenate([centres[rng.integers(0, 12, 150)] + 0.22 * rng.standard_normal((150, 16)), np.repeat(centres[:1], 30, 0) * 1000, centres[1:2] * 1e-30])
@@ -36,6 +36,17 @@ def test_vectors_match_all_pairs(spark, monkeypatch, kind):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(500, 506)) and got[507].component_id == 506 and got[506].n_links == 1
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_one_id_with_two_vectors(spark, turn):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (3, [1.0, 0.02]), (4, [1.0, 0.01]), (0, [0.0, -1.0])][::turn]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
+def test_tiles_follow_the_table():
+    assert [E.tiles_of(n, 256) for n in (1, 1000, 80_000, 10_000_000)] == [1, 2, 8, 306]
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert E.near_embeddings(empty).count() == 0
