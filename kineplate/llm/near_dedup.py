@@ -4,7 +4,9 @@ A document's set holds the hashes of its distinct word shingles. Two documents
 are linked when the Jaccard similarity of their sets reaches the threshold;
 groups are the connected components of the links.
 
-1.  Documents with equal sets form a class; one of them stands for it.
+1.  Documents with equal sets form a class with a number of its own, the node
+    that is compared. Classes are known by their sets, not by ids, so one id
+    with several texts is in the class of each.
 2.  A sketch keeps the K smallest hashes. Inverted lists of the retained
     values generate overlaps. A link at 0.8 shares about 0.8 K of the retained
     values, and fewer than NEED of them with a probability below 1e-9, so only
@@ -16,12 +18,18 @@ groups are the connected components of the links.
     all. A pair passes when the union sketch estimates at least the threshold
     less SLACK standard errors, and is then confirmed on the full sets.
 4.  Lists that still hold more than one component form families (members of a
-    list are of one family). Within a family all pairs of different components
-    are tested, in tiles of TILE documents: by the overlap of the retained
-    values, then on the full sets. A tile pair returns a forest of its links.
+    list are of one family). A family is compared in tiles of at most TILE
+    documents and TILE_BYTES: the inverted lists of the tile's retained values,
+    as the columns of a matrix, give the overlaps of documents in different
+    components; those that may reach the threshold pass the union-sketch
+    estimate and then the full sets. A tile pair returns a forest of its links,
+    never pairs, and pairs whose components it has joined are not tested again.
 
 Documents without words have an empty set and no links. Null ids link with
-nothing and get a null component. Repeated rows are members of one class.
+nothing and get a null component. Repeated rows are members of one class; a
+class has its smallest id. Texts are read whole, in slices; a very long one is a
+slice of its own. Other columns are not read. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -39,8 +47,8 @@ from .graph import components
 from .workspace import FAIR, SLIM, Workspace
 
 K, NEED, SLACK = 64, 26, 6.0
-#: Documents of a tile.
-TILE = 256
+#: Documents of a tile and bytes of their sets.
+TILE, TILE_BYTES = 1024, 16 << 20
 
 
 def _need(n: int, percent: int) -> int:
@@ -49,8 +57,8 @@ def _need(n: int, percent: int) -> int:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, h1, h2, sketch): set size, 128-bit hash of the set, the K smallest hashes."""
-    schema = "doc_id long, n long, h1 long, h2 long, sketch array<long>"
+    """(doc_id, t, n, h1, h2, sketch): hash of the text, set size, 128-bit hash of the set, the K smallest hashes."""
+    schema = "doc_id long, t long, n long, h1 long, h2 long, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,21 +72,28 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     kept.append(s[:K])
                     at.append(at[-1] + len(kept[-1]))
                 values = pa.array(np.concatenate(kept).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], ["doc_id", "n", "h1", "h2", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids, part.column(2), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], ["doc_id", "t", "n", "h1", "h2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash()).mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the sorted hashes of a whole set as bytes."""
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("t")
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the sorted hashes of the whole set of each of nodes(node, rep, t), a document known by its id and text hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch):
                 sets = [s.tobytes() for s in T.shingle_sets(part.column(1), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), _text_hash())
+    # the nodes grow with the documents: merged at every size, never broadcast
+    wanted = nodes.withColumnRenamed("t", "u").hint("merge")
+    return texts.join(wanted, (F.col("id") == F.col("rep")) & (F.col("t") == F.col("u"))).select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
@@ -95,17 +110,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common) > 0
 
 
+def passes_estimate(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    share, seen = estimate(a, b)
+    q = percent / 100
+    return share >= q - SLACK * np.sqrt(q * (1 - q) / max(seen, 1))
+
+
 def _listed(ws: Workspace, reps: DataFrame, percent: int) -> DataFrame:
-    """(v, doc_id, first): members of the inverted lists of rare retained values, with each list's smallest member."""
-    posted = reps.select("doc_id", "n", F.explode("sketch").alias("v"))
+    """(v, node, first): members of the inverted lists of rare retained values, with each list's smallest member."""
+    posted = reps.select("node", "n", F.explode("sketch").alias("v"))
     # written, so that the join deals both sides anew and hot values can be split
     often = ws.table(posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "often", SLIM)
     share = F.when(F.col("n") * 100 < K * percent, F.ceil(F.col("n") * percent / 100)).otherwise(NEED).cast("int")
-    kept = posted.join(often, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"))
+    kept = posted.join(often, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"))
     # values that occur once come first in the order of rarity; they link nothing but count
     kept = kept.withColumn("take", F.size("by_df") - share + 1).where("take > 0")
-    kept = ws.table(kept.select("doc_id", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("doc_id", F.col("x.v").alias("v")), "rare", FAIR)
-    lists = kept.groupBy("v").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("sig"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("m > 1")
+    kept = ws.table(kept.select("node", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("node", F.col("x.v").alias("v")), "rare", FAIR)
+    lists = kept.groupBy("v").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("sig"), F.min("node").alias("first"), F.max("node").alias("last")).where("m > 1")
     lists = lists.groupBy("m", "sig", "first", "last").agg(F.min("v").alias("v"))  # lists with the same members test the same pairs
     return ws.table(kept.join(lists.select("v", "first"), "v"), "listed", SLIM)
 
@@ -117,16 +138,14 @@ def _confirmed(ws: Workspace, pairs: DataFrame, small: DataFrame, sets: DataFram
         out = np.zeros(len(na), bool)
         for i, (x, s, y, t) in enumerate(zip(na, sa, nb, sb, strict=True)):
             if 100 * min(x, y) >= percent * max(x, y):
-                share, seen = estimate(np.asarray(s).view(np.uint64), np.asarray(t).view(np.uint64))
-                q = percent / 100
-                out[i] = share >= q - SLACK * np.sqrt(q * (1 - q) / max(seen, 1))
+                out[i] = passes_estimate(np.asarray(s).view(np.uint64), np.asarray(t).view(np.uint64), percent)
         return pd.Series(out)
 
     def exact(sa: pd.Series, sb: pd.Series) -> pd.Series:
         return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(sa, sb, strict=True)], dtype=bool)
 
     def side(frame: DataFrame, key: str) -> DataFrame:
-        return frame.select(*(F.col(c).alias(key if c == "doc_id" else f"{c}_{key}") for c in frame.columns))
+        return frame.select(*(F.col(c).alias(key if c == "node" else f"{c}_{key}") for c in frame.columns))
 
     test = F.pandas_udf(passes, "boolean")
     sure = F.pandas_udf(exact, "boolean")
@@ -136,15 +155,15 @@ def _confirmed(ws: Workspace, pairs: DataFrame, small: DataFrame, sets: DataFram
 
 
 def _tiles(ws: Workspace, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components within the families of members(doc_id, component, family); each pair of tiles returns a forest."""
-    sized = members.join(ws.table(members.groupBy("family").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "sizes", SLIM), "family")
-    spot = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
+    """Links between different components within the families of members(node, n, component, family); each pair of tiles returns a forest."""
+    sized = members.join(ws.table(members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("tiles")), "sizes", SLIM), "family")
+    spot = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = sized.withColumn("spot", spot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("family", "doc_id", "component", "spot", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"))
-    dealt = dealt.join(sets, "doc_id")
+    dealt = dealt.select("family", "node", "component", "spot", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"))
+    dealt = dealt.join(sets, "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, spots = pdf.doc_id.to_numpy(), pdf.component.to_numpy(), pdf.spot.to_numpy()
+        ids, comp, spots = pdf.node.to_numpy(), pdf.component.to_numpy(), pdf.spot.to_numpy()
         full = [np.frombuffer(x, np.uint64) for x in pdf.shingles]
         n = np.array([len(x) for x in full])
         kept = [x[:K] for x in full]
@@ -172,7 +191,7 @@ def _tiles(ws: Workspace, members: DataFrame, sets: DataFrame, percent: int) ->
         out = []
         for x, y in zip(xs[best].tolist(), ys[best].tolist(), strict=True):
             p, q = find(int(comp[x])), find(int(comp[y]))
-            if p != q and similar(full[x], full[y], percent):
+            if p != q and passes_estimate(kept[x], kept[y], percent) and similar(full[x], full[y], percent):
                 root[max(p, q)] = min(p, q)
                 out.append((ids[x], ids[y]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -190,28 +209,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     with Workspace(spark, "near-dedup") as ws:
         drawn = ws.table(sketches(docs, width), "sketches")
         real = drawn.where("doc_id is not null and n > 0")
-        classes = ws.table(real.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes", SLIM)
-        reps = real.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        reps = ws.table(reps.select("doc_id", "n", "sketch"), "reps", FAIR)
+        classes = real.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "t")).alias("of"))
+        # written once, so the numbers stay
+        classes = ws.table(classes.select("n", "h1", "h2", "of.doc_id", "of.t", F.monotonically_increasing_id().alias("node")).withColumnRenamed("doc_id", "rep"), "classes", SLIM)
+        ids = real.join(classes.select(F.col("rep").alias("doc_id"), "t", "node"), ["doc_id", "t"])
+        twice = real.count() > real.select("doc_id", "t").distinct().count()
+        reps = ws.table((ids.dropDuplicates(["node"]) if twice else ids).select("node", "n", "sketch"), "reps", FAIR)
         members = _listed(ws, reps, percent)
-        listed = members.select("doc_id").distinct()
-        small = ws.table(reps.join(listed, "doc_id"), "small", SLIM)
-        # the listed ids grow with the documents: merged at every size, never broadcast
-        sets = ws.table(full_sets(docs.join(listed.hint("merge"), "doc_id", "left_semi"), width), "sets")
+        listed = members.select("node").distinct()
+        small = ws.table(reps.join(listed, "node"), "small", SLIM)
+        sets = full_sets(docs, classes.join(listed, "node").select("node", "rep", "t"), width)
+        sets = ws.table(sets.dropDuplicates(["node"]) if twice else sets, "sets")
 
-        pairs = members.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+        pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
         links = ws.table(_confirmed(ws, pairs, small, sets, percent, "one"), "links-1", FAIR)
         found = components(ws, links, "one")
-        state = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        state = members.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         unsettled = ws.table(state.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v"), "unsettled", SLIM)
-        left = ws.table(state.join(unsettled, "v").select("doc_id", "component", "first").distinct(), "left", SLIM)
+        left = ws.table(state.join(unsettled, "v").select("node", "component", "first").distinct(), "left", SLIM)
         if left.limit(1).count():
-            families = components(ws, left.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "family")
-            rest = left.select("doc_id", "component").distinct().join(families.select(F.col("id").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+            families = components(ws, left.select(F.col("first").alias("a"), F.col("node").alias("b")), "family")
+            rest = left.select("node", "component").distinct().join(families.select(F.col("id").alias("node"), F.col("component").alias("family")), "node")
+            rest = rest.join(small.select("node", "n"), "node")
             more = ws.table(links.union(_tiles(ws, rest, sets, percent)), "links-2", FAIR)
             found = components(ws, more, "two")
 
-        group = classes.join(found, classes.rep == found.id, "left").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "rep").alias("group_id"))
+        least = found.join(classes.select(F.col("node").alias("id"), "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+        group = classes.join(found.join(least, "component").select(F.col("id").alias("node"), "least"), "node", "left")
+        group = group.select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("least", "rep").alias("group_id"))
         out = drawn.join(group, (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
         component = F.when(F.col("n") > 0, F.col("group_id")).otherwise(F.col("doc_id"))
         component = F.when(F.col("doc_id").isNotNull(), component)

@@ -58,6 +58,15 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     assert got == [(4, 4, True), (4, 4, True), (9, 4, False)]
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_one_id_with_two_texts(spark, turn):
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, one), (1, two), (1, two), (5, one + " z"), (6, two + " z"), (7, "other words of no group at all"), (0, "x")][::turn]
+    docs = documents(spark, rows).selectExpr("*", "'c' AS t", "1 AS node", "2 AS rep", "3 AS id", "4 AS component_id")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(docs, 5).collect())
+    assert got == [(0, 1, 0, True), (1, 56, 1, True), (1, 56, 1, True), (1, 56, 1, True), (5, 57, 1, False), (6, 57, 1, False), (7, 3, 7, True)]
+
+
 def test_words_of_chunks(corpus, monkeypatch):
     column = pa.array([t for _, t in corpus], pa.string())
     whole, at = T.words(column)
