@@ -9,14 +9,21 @@ A document counts, per language, its n-grams with that bit; the expected
 number of false positives, known from how full each bit slice is, is taken
 away, and the language with the largest count wins.
 
-The filter has at most MOST_SLOTS slots whatever the corpus, and is merged by
-OR on the executors. Texts without a letter are `und` with score 0, and so is
-every text when no language could be learned. Ties go to the language that
-comes first in the alphabet.
+The filter has SLOTS slots or more for each distinct n-gram of the corpus. It is
+cut into pieces of PIECE slots; each is merged by OR in the cluster and written
+to the shared folder by the task that has it, and tasks map the pieces into
+memory. The driver holds one number per language and piece.
+
+Null and empty texts and those without a letter are `und` with score 0, and so
+is every text when no language could be learned. Ties go to the language that
+comes first in the alphabet. Repeated rows count and are answered each for
+itself; texts are read whole. Other columns are not read. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .workspace import Workspace
+from .workspace import Workspace, local_path, save
 
 SPAN, HASHES, SHARE = 4, 3, 0.5
-LEAST_SLOTS, MOST_SLOTS = 1 << 12, 1 << 22
+#: Slots for each distinct n-gram at least, and slots of a piece of the filter.
+SLOTS, PIECE = 4, 1 << 16
 #: Bits of a mask; more languages take more masks.
 PLANE = 63
 
@@ -90,24 +98,46 @@ def _counts(train: DataFrame) -> DataFrame:
                         held[lang] = [merged(parts)]
         for lang, parts in held.items():
             values, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.astype(np.int64)), pa.array(n)], ["lang", "code", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n)], ["lang", "code", "c"])
 
     return train.select("lang", "text").mapInArrow(run, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
 
 
 class LanguageFilter:
-    """languages in order, and masks[slot, plane]; rates[k] is how often a strange n-gram shows bit k."""
-
-    def __init__(self, languages: list[str], masks: np.ndarray):
-        self.languages, self.masks = languages, masks
-        filled = [((masks[:, k // PLANE] >> np.uint64(k % PLANE)) & np.uint64(1)).mean() for k in range(len(languages))]
-        self.rates = np.array(filled) ** HASHES
+    """languages in order; pieces of masks[slot, plane] in a folder that tasks map into memory; rates[k] is how often a strange n-gram shows bit k."""
+
+    def __init__(self, languages: list[str], path: str, count: int, filled: np.ndarray):
+        self.languages, self.path, self.count = languages, path, count
+        self.rates = (filled / max(count, 1)) ** HASHES
+        self.opened: dict[int, np.ndarray | None] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"opened": {}}
+
+    def piece(self, k: int) -> np.ndarray | None:
+        """A piece of the masks; None for one that got no n-gram."""
+        if k not in self.opened:
+            path = f"{self.path}/{k}.npy"
+            self.opened[k] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        return self.opened[k]
+
+    def masks(self, code: np.ndarray) -> np.ndarray:
+        """The AND of the masks at the slots of each code: all languages that contain it."""
+        out = np.full((len(code), -(-len(self.languages) // PLANE)), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for where in slots(code, self.count):
+            order = np.argsort(where // PIECE, kind="stable")
+            borders = np.searchsorted(where[order] // PIECE, np.arange(-(-self.count // PIECE) + 1))
+            for k in np.flatnonzero(np.diff(borders)).tolist():
+                mine = order[borders[k] : borders[k + 1]]
+                piece = self.piece(k)
+                out[mine] &= np.uint64(0) if piece is None else piece[where[mine] % PIECE]
+        return out
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Corrected counts (row, language) and the number of n-grams of each row."""
         code, rows = grams(column)
-        known = self.masks[slots(code, len(self.masks))]
-        known = np.bitwise_and.reduce(known, 0)
+        distinct, back = np.unique(code, return_inverse=True)
+        known = self.masks(distinct)[back]
         n = np.bincount(rows, minlength=len(column))
         out = np.empty((len(column), len(self.languages)))
         for k in range(len(self.languages)):
@@ -116,38 +146,50 @@ class LanguageFilter:
         return np.maximum((out - n[:, None] * self.rates) / np.maximum(1 - self.rates, 1e-9), 0), n
 
 
-def learn(train: DataFrame) -> LanguageFilter:
-    """A filter from train(lang, text), rows with null lang not regarded."""
-    with Workspace(train.sparkSession, "language") as ws:
-        counts = ws.table(_counts(train.where("lang is not null")), "counts")
-        totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).collect()}  # one row per language
-        languages = sorted(totals)
-        if not languages:
-            return LanguageFilter([], np.zeros((LEAST_SLOTS, 1), np.uint64))
-        size = counts.select("code").distinct().count()
-        count = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (4 * size).bit_length()))
-        scale = train.sparkSession.createDataFrame([(x, k, float(max(totals[x], 1))) for k, x in enumerate(languages)], "lang string, k int, n double")
-        rates = counts.join(F.broadcast(scale), "lang").select("code", "k", (F.col("c") / F.col("n")).alias("rate"))
-        top = rates.groupBy("code").agg(F.max("rate").alias("top"), F.collect_list(F.struct("k", "rate")).alias("all"))
-        own = top.select("code", F.expr(f"transform(filter(all, x -> x.rate >= {SHARE} * top), x -> x.k)").alias("ks"))
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            planes = -(-len(languages) // PLANE)
-            masks = np.zeros((count, planes), np.uint64)
-            for batch in batches:
-                code = np.asarray(batch.column(0)).astype(np.uint32)
-                at = batch.column(1).offsets.to_numpy()
-                ks = batch.column(1).values.to_numpy()[at[0] : at[-1]]
-                where = slots(np.repeat(code, np.diff(at)), count)
-                for k in np.unique(ks):
-                    masks[where[:, ks == k].ravel(), k // PLANE] |= np.uint64(1) << np.uint64(k % PLANE)
-            slot, plane = np.nonzero(masks)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(plane), pa.array(masks[slot, plane].astype(np.int64))], ["slot", "plane", "mask"])
-
-        made = own.mapInArrow(spread, "slot long, plane long, mask long").groupBy("slot", "plane").agg(F.bit_or("mask").alias("mask")).toPandas()
-        masks = np.zeros((count, -(-len(languages) // PLANE)), np.uint64)
-        masks[made.slot, made.plane] = made["mask"].to_numpy().astype(np.uint64)
-        return LanguageFilter(languages, masks)
+def learn(ws: Workspace, train: DataFrame) -> LanguageFilter:
+    """A filter in the workspace's folder from train(lang, text), rows with null lang not regarded."""
+    path = local_path(ws.spark, f"{ws.path}/filter")
+    counts = ws.table(_counts(train.where("lang is not null")), "counts")
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).collect()}  # one row per language
+    languages = sorted(totals)
+    if not languages:
+        return LanguageFilter([], path, 0, np.zeros(0))
+    planes, size = -(-len(languages) // PLANE), counts.select("code").distinct().count()
+    count = 1 << max(SLOTS * size - 1, 1).bit_length()
+    scale = train.sparkSession.createDataFrame([(x, k, float(max(totals[x], 1))) for k, x in enumerate(languages)], "lang string, k int, n double")
+    rates = counts.join(F.broadcast(scale), "lang").select("code", "k", (F.col("c") / F.col("n")).alias("rate"))
+    top = rates.groupBy("code").agg(F.max("rate").alias("top"), F.collect_list(F.struct("k", "rate")).alias("all"))
+    own = top.select("code", F.expr(f"transform(filter(all, x -> x.rate >= {SHARE} * top), x -> x.k)").alias("ks"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(piece, slot in it, plane, mask) of the n-grams that a task reads, ORed as far as they meet."""
+        for batch in batches:
+            code = np.asarray(batch.column(0)).astype(np.uint32)
+            at = batch.column(1).offsets.to_numpy()
+            ks = batch.column(1).values.to_numpy()[at[0] : at[-1]]
+            where = slots(np.repeat(code, np.diff(at)), count).ravel()
+            language = np.tile(ks, HASHES)
+            order = np.lexsort((language // PLANE, where))
+            where, language = where[order], language[order]
+            if not len(where):
+                continue
+            first = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (language[1:] // PLANE != language[:-1] // PLANE)))
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (language % PLANE).astype(np.uint64), first)
+            yield pa.RecordBatch.from_arrays([pa.array(where[first] // PIECE), pa.array(where[first] % PIECE), pa.array(language[first] // PLANE, pa.int64()), pa.array(mask.view(np.int64))], ["piece", "slot", "plane", "mask"])
+
+    def write(table: pa.Table) -> pa.Table:
+        """One piece of the filter as a file; how many of its slots show each bit."""
+        k = table.column("piece")[0].as_py()
+        masks = np.zeros((min(PIECE, count), planes), np.uint64)
+        np.bitwise_or.at(masks, (table.column("slot").to_numpy(), table.column("plane").to_numpy()), table.column("mask").to_numpy().view(np.uint64))
+        save(f"{path}/{k}.npy", masks)
+        filled = [int(((masks[:, x // PLANE] >> np.uint64(x % PLANE)) & np.uint64(1)).sum()) for x in range(len(languages))]
+        return pa.table({"piece": pa.array([k], pa.int64()), "filled": pa.array([filled], pa.list_(pa.int64()))})
+
+    # pieces are equal ranges of hashes, so none is hot
+    merged = own.mapInArrow(spread, "piece long, slot long, plane long, mask long").groupBy("piece", "slot", "plane").agg(F.bit_or("mask").alias("mask"))
+    filled = merged.groupBy("piece").applyInArrow(write, "piece long, filled array<long>").agg(*(F.sum(F.get("filled", F.lit(k))).alias(f"f{k}") for k in range(len(languages)))).first()
+    return LanguageFilter(languages, path, count, np.array([x or 0 for x in filled], np.float64))
 
 
 def identify(docs: DataFrame, model: LanguageFilter, extra: Column | None = None) -> DataFrame:

@@ -84,10 +84,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, learn
+    from .workspace import Workspace
 
     docs = read_table(spark, sf_dir, "documents")
     held = fold(4, 2)
-    return identify(docs, learn(docs.where(~held)), held)
+    with Workspace(spark, "language") as ws:
+        return ws.keep(identify(docs, learn(ws, docs.where(~held)), held))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

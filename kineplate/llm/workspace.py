@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +71,24 @@ class Workspace:
         return df.checkpoint(eager=True)
 
 
+def local_path(spark: SparkSession, folder: str) -> str:
+    """A shared folder as a path that tasks can map into memory; the cluster's default file system counts where the path names none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = urlparse(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
+    if full.scheme != "file":
+        raise ValueError(f"these files are mapped into memory and need a mounted shared folder, not {full.scheme}:")
+    return unquote(full.path)
+
+
+def save(path: str, array: np.ndarray) -> None:
+    """Writes under a passing name and renames, so a repeated task does no harm."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    passing = f"{path}.{uuid.uuid4().hex}"
+    with open(passing, "wb") as f:
+        np.save(f, array)
+    os.replace(passing, path)
+
+
 def set_aside(docs: DataFrame, *taken: str) -> tuple[DataFrame, list[Column]]:
     """docs with every column renamed whose name is among the taken ones, whatever its case, and the columns that select docs' own ones from a result."""
     names = [f"{c}_{uuid.uuid4().hex}" if c.lower() in taken else c for c in docs.columns]

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from kineplate.llm import language as G
 from kineplate.llm import toxicity as X
 from kineplate.llm.queries import fold
+from kineplate.llm.workspace import Workspace
 
 from .conftest import documents
 
@@ -25,22 +27,56 @@ def test_languages(spark):
     rows = [(k, prose(rng, lang, rng.choice([1, 5, 80])), lang) for k in range(300) for lang in [rng.choice(list(SYLLABLES))]]
     odd = [(300, None, "en"), (301, "", None), (302, "12 %", "de"), (303, "É", None), (304, "the the " * 9000, "en"), (305, "漢字", None)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").withColumn("score", F.lit(1)).withColumn("held_out", F.lit("x"))
-    model = G.learn(docs.where(~fold(4, 2)))
-    got = {r.doc_id: r for r in G.identify(docs, model, fold(4, 2)).collect()}
+    with Workspace(spark, "language") as ws:
+        model = G.learn(ws, docs.where(~fold(4, 2)))
+        got = {r.doc_id: r for r in G.identify(docs, model, fold(4, 2)).collect()}
+        assert G.identify(docs.limit(0), model).count() == 0
+        again = G.identify(docs.limit(3).union(docs.limit(3)), model).collect()
+        assert len(again) == 6 and all(got[r.doc_id].lang_pred == r.lang_pred and got[r.doc_id].score == r.score for r in again)
     truth = {k: lang for k, t, lang in rows if got[k].held_out}
     assert sum(got[k].lang_pred == lang for k, lang in truth.items()) >= 0.97 * len(truth)
     assert [got[k].lang_pred for k in (300, 301, 302)] == ["und"] * 3 and got[304].lang_pred == "en" and got[305].lang_pred in SYLLABLES
     assert all(0 <= r.score <= 1 for r in got.values())
-    none = G.identify(docs, G.learn(docs.limit(0))).collect()
-    assert {r.lang_pred for r in none} == {"und"} and G.identify(docs.limit(0), model).count() == 0
-
-
-def test_many_languages_take_more_masks():
-    masks = np.zeros((16, 2), np.uint64)
-    masks[:, 1] = 2
-    model = G.LanguageFilter([f"l{k:03}" for k in range(70)], masks)
-    counts, n = model.counts(pa.array(["abcdef"]))
-    assert counts.shape == (1, 70) and n[0] > 0
+    with Workspace(spark, "language") as ws:
+        none = G.identify(docs, G.learn(ws, docs.limit(0))).collect()
+    assert {r.lang_pred for r in none} == {"und"}
+
+
+def text_grams(text):
+    """Windows of four bytes over lower-cased letters with single spaces, by regular expressions."""
+    body = b" " + re.sub(rb"[\x00-\x7f]+", lambda m: re.sub(rb"[^a-z]", b" ", m[0]), (text or "").lower().encode()) + b" "
+    body = re.sub(rb" +", b" ", body)
+    return [body[k : k + 4] for k in range(len(body) - 3)]
+
+
+def test_masks_match_counts_of_every_ngram(spark, monkeypatch):
+    """The filter against n-gram counts in dictionaries, in pieces and with more languages than a mask has bits."""
+    monkeypatch.setattr(G, "PIECE", 256)
+    rng = random.Random(4)
+    langs = [f"l{k:03}" for k in range(70)]
+    rows = [(k, "".join(rng.choices("abcdé fgh", k=rng.randint(0, 60))), rng.choice(langs)) for k in range(400)]
+    docs = spark.createDataFrame(rows + [(900, None, "l000"), (901, "abcd", None)], "doc_id long, text string, lang string")
+    count, total = {}, {}
+    for _, t, lang in rows:
+        for g in text_grams(t):
+            count.setdefault(g, {}).setdefault(lang, 0)
+            count[g][lang] += 1
+            total[lang] = total.get(lang, 0) + 1
+    with Workspace(spark, "language") as ws:
+        model = G.learn(ws, docs)
+        assert model.languages == sorted(total) and model.count >= G.SLOTS * len(count) and model.count > 4 * G.PIECE
+        grams = sorted(count)
+        masks = model.masks(np.array([int.from_bytes(g, "big") for g in grams], np.uint32))
+        extra = 0
+        for g, mask in zip(grams, masks, strict=True):
+            rate = {lang: c / total[lang] for lang, c in count[g].items()}
+            want = {lang for lang in rate if rate[lang] >= G.SHARE * max(rate.values())}
+            have = {lang for k, lang in enumerate(model.languages) if int(mask[k // G.PLANE]) >> (k % G.PLANE) & 1}
+            assert want <= have
+            extra += len(have - want)
+        assert extra <= 3 * (model.rates.sum() * len(grams) + 1)
+        code, _ = G.grams(pa.array([t for _, t, _ in rows]))
+        assert sorted(code.tolist()) == sorted(int.from_bytes(g, "big") for _, t, _ in rows for g in text_grams(t))
 
 
 def test_toxicity(spark):
