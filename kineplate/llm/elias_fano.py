@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Zeros between two entries of the directory.
-STRIDE = 64
+#: Zeros between two entries of the directory, and words between two counts of zeros.
+STRIDE, JUMP = 64, 8
 ONE = np.uint64(1)
 #: Queries answered at once.
 BLOCK = 1 << 14
@@ -35,10 +35,10 @@ class EliasFano:
     shape holds n and the width of the low parts. Arrays may be memory-mapped.
     """
 
-    PARTS = ("shape", "low", "high", "zeros")
+    PARTS = ("shape", "low", "high", "zeros", "counts")
 
-    def __init__(self, shape: np.ndarray, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.shape, self.low, self.high, self.zeros = shape, low, high, zeros
+    def __init__(self, shape: np.ndarray, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, counts: np.ndarray):
+        self.shape, self.low, self.high, self.zeros, self.counts = shape, low, high, zeros, counts
         self.n, self.width = int(shape[0]), int(shape[1])
 
     @classmethod
@@ -51,7 +51,12 @@ class EliasFano:
         bits = np.zeros(n + ((max(universe, 1) - 1) >> width) + 2, bool)
         bits[top + np.arange(n)] = True
         low = _pack_low(values, width) if width else np.zeros(2, np.uint64)
-        return cls(np.array([n, width], np.int64), low, _pack(bits), np.flatnonzero(~bits)[::STRIDE].astype(np.uint64))
+        high, kind = _pack(bits), np.uint32 if len(bits) < 1 << 32 else np.uint64
+        counts = np.concatenate([[0], np.cumsum(np.bitwise_count(~high), dtype=np.int64)])[: len(high) : JUMP]
+        return cls(np.array([n, width], np.int64), low, high, np.flatnonzero(~bits)[::STRIDE].astype(kind), counts.astype(kind))
+
+    def bytes(self) -> int:
+        return sum(getattr(self, p).nbytes for p in self.PARTS)
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -64,9 +69,24 @@ class EliasFano:
 
     def _select(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high bits, from 0."""
-        at = self.zeros[k // STRIDE].astype(np.int64)
+        entry = k // STRIDE
+        at = self.zeros[entry].astype(np.int64)
         word, rest = at >> 6, (k % STRIDE).astype(np.int64)
         free = ~self.high[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) << (at & 63).astype(np.uint64))
+        # where ones run on for long, the counts tell the words in which the zero lies
+        until = np.where(entry + 1 < len(self.zeros), self.zeros[np.minimum(entry + 1, len(self.zeros) - 1)].astype(np.int64) >> 6, len(self.high) - 1)
+        far = np.flatnonzero((until - word > JUMP) & (rest > 0))
+        if len(far):
+            low, high, want = word[far] // JUMP, until[far] // JUMP + 1, k[far]
+            while (high - low > 1).any():
+                middle = (low + high) >> 1
+                under = self.counts[np.minimum(middle, len(self.counts) - 1)] <= want
+                under &= middle < len(self.counts)
+                low, high = np.where(under, middle, low), np.where(under, high, middle)
+            moved = low * JUMP > word[far]
+            far, low = far[moved], low[moved]
+            word[far], rest[far] = low * JUMP, k[far] - self.counts[low].astype(np.int64)
+            free[far] = ~self.high[word[far]]
         todo = np.arange(len(k))
         while len(todo):
             count = np.bitwise_count(free[todo]).astype(np.int64)
