@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,22 @@ def items():
     return [(k, " ".join(f"t{rng.randint(0, 400)}" for _ in range(n))) for k, n in enumerate([1, 3, 4, 5, 9, 15, 40, 57, 300])] + [(50, ""), (51, None), (52, "Dup Dup Dup Dup Dup Dup Dup")]
 
 
+def test_partitions_ask_for_hits_of_their_own():
+    from kineplate.llm import text as T
+
+    assert [D.hits(m) for m in (1, 15, 31, 32, 63, 64, 300)] == [1, 1, 2, 3, 3, 5, 17]
+    rng = random.Random(9)
+    large = [f"w{rng.random()}" for _ in range(304)]
+    index = D.ItemIndex.build(pa.array([1]), pa.array([" ".join(large)]), 5, 80)
+    assert index.tables[:, 1].tolist() == [17] and len(index.values) == 300 - 240 + 17
+    kept = set(index.values.tolist())
+    runs = T.window_hashes(T.words(pa.array([" ".join(large)]))[0], 5).tolist()
+    few = [" ".join(large[k : k + 5]) for k in [k for k, r in enumerate(runs) if r in kept][:16]]
+    for texts, n in ((few, 16), ([" ".join(large[: 4 + 260])], 260)):
+        hashes, at = T.words(pa.array([" | ".join(texts)]))
+        assert [f[:2] for f in index.search(hashes, at)] == ([] if n < 17 else [(0, 0)])
+
+
 def test_containment_matches_loop(spark, items, monkeypatch):
     rng = random.Random(4)
     rows = []
@@ -117,6 +134,9 @@ def test_containment_matches_loop(spark, items, monkeypatch):
         monkeypatch.setattr(D, "BLOCK", block)
         got = D.contained_items(documents(spark, rows), table).collect()
         assert Counter((r.doc_id, r.item_id, r.item_shingles, r.common) for r in got) == want
+    assert max(n for *_, n, _ in want) > 128  # more than one hit asked for
     clean = D.decontaminated(documents(spark, rows), table)
     assert clean.columns == documents(spark, []).columns and {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, *_ in want}
+    odd = spark.createDataFrame([(None, items[5][1]), (7, items[5][1]), (7, items[5][1])], "item_id long, text string")
+    assert Counter(r.item_id for r in D.contained_items(documents(spark, [(1, items[5][1])]), odd).collect()) == {None: 1, 7: 2}
     assert D.contained_items(documents(spark, rows), table.limit(0)).count() == 0 == D.contained_items(documents(spark, []), table).count()
