@@ -29,6 +29,21 @@ def _pack_low(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Place of the r-th one of a byte, at byte * 8 + r.
+_IN_BYTE = np.array([([k for k in range(8) if byte >> k & 1] + [0] * 8)[r] for byte in range(256) for r in range(8)], np.int64)
+
+
+def _bit(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the rank-th one of each word, from 0: by the ones of its bytes, added up from the lowest, then within the byte."""
+    ones = words - ((words >> ONE) & np.uint64(0x5555555555555555))
+    ones = (ones & np.uint64(0x3333333333333333)) + ((ones >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    upto = ((ones + (ones >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH
+    byte = np.bitwise_count((((rank * _EACH) | _TOP) - upto) & _TOP).astype(np.uint64) << np.uint64(3)
+    inside = rank - (((upto << np.uint64(8)) >> byte) & np.uint64(0xFF))
+    return byte.astype(np.int64) + _IN_BYTE[(((words >> byte) & np.uint64(0xFF)) << np.uint64(3) | inside).astype(np.int64)]
+
+
 class EliasFano:
     """A non-decreasing sequence of n values below `universe`, in about 2 + log2(universe / n) bits each.
 
@@ -94,15 +109,7 @@ class EliasFano:
             rest[todo] -= count
             word[todo] += 1
             free[todo] = ~self.high[word[todo]]
-        place = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            part = free & np.uint64((1 << half) - 1)
-            count = np.bitwise_count(part).astype(np.int64)
-            up = rest >= count
-            rest -= np.where(up, count, 0)
-            place += np.where(up, half, 0)
-            free = np.where(up, free >> np.uint64(half), part)
-        return word * 64 + place
+        return word * 64 + _bit(free, rest.astype(np.uint64))
 
     def before(self, bucket: np.ndarray) -> np.ndarray:
         """How many values have a high part below each bucket."""

@@ -56,7 +56,7 @@ ORDER = 3
 #: Steps of a quantised log10 probability: one in 4096, from 0 to -16.
 GRAIN, DEEPEST = 4096, 65535
 #: Occurrences of contexts in a shard, and bytes of training text in one of level 1.
-SHARD, SHARD_BYTES = 4 << 20, 32 << 20
+SHARD, SHARD_BYTES = 2 << 20, 32 << 20
 #: Bytes of text looked up together: the more, the more n-grams repeat.
 READ = 4 << 20
 #: Keys that a task gathers before it hands them on.
@@ -223,8 +223,9 @@ class Trie:
         entry = np.full(len(context), -1, np.int64)
         longer = None if shorter is None else shorter.copy()
         some = np.flatnonzero(context >= 0)
-        key, back = np.unique(context[some] * (self.size + 1) + np.where(word[some] < 0, self.size, word[some]), return_inverse=True)
-        c, w = np.divmod(key, self.size + 1)
+        bits = (self.size + 1).bit_length()
+        key, back = np.unique(context[some] << bits | np.where(word[some] < 0, self.size, word[some]), return_inverse=True)
+        c, w = key >> bits, key & ((1 << bits) - 1)
         found, prob, weight = np.full(len(key), -1, np.int64), np.zeros(len(key)), np.zeros(len(key))
         cuts, offsets = self.cuts[level], self.offsets[level]
         borders = np.searchsorted(c, cuts)
