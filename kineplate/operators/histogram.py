@@ -45,14 +45,19 @@ def robust_scale(histogram: DataFrame, keys: list[str], every: DataFrame | None
     return every.select(*keys).distinct().join(out, keys, "left").select(*keys, F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("threshold", F.lit(MAX_DOUBLE)).alias("threshold"))
 
 
+def _limited(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, v, low, high): values with their group's smallest and largest, one row per group joined to the pixels."""
+    limits = pixels.groupBy(*keys).agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))
+    return pixels.select(*keys, F.col(value).cast("double").alias("v")).join(limits, keys)
+
+
 def otsu_levels(pixels: DataFrame, keys: list[str], value: str = "v", levels: int = 255) -> DataFrame:
     """(keys, low, high, level, threshold) by between-class variance over the values scaled to 0..255; groups without a range are left out.
 
     The first of equal maxima wins. Values above the threshold are foreground.
     """
     good = pixels.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != float("inf")))
-    whole = Window.partitionBy(*keys)
-    rows = good.select(*keys, F.col(value).cast("double").alias("v"), F.min(value).over(whole).cast("double").alias("low"), F.max(value).over(whole).cast("double").alias("high")).where("high > low")
+    rows = _limited(good, keys, value).where("high > low")
     bin = F.greatest(F.least(F.round((F.col("v") - F.col("low")) * (F.lit(float(levels)) / (F.col("high") - F.col("low")))), F.lit(float(levels))), F.lit(0.0)).cast("int")
     counts = rows.groupBy(*keys, "low", "high", bin.alias("level")).agg(F.count("*").alias("n"))
     return _between(counts, keys, F.col("level").cast("double")).select(*keys, "low", "high", "level", (F.col("low") + F.col("level") / float(levels) * (F.col("high") - F.col("low"))).alias("threshold"))
@@ -74,8 +79,7 @@ def _between(counts: DataFrame, keys: list[str], place: Column) -> DataFrame:
 def otsu_centres(pixels: DataFrame, keys: list[str], value: str = "v", bins: int = 256) -> DataFrame:
     """(keys, threshold) by bin centres of an equal-width histogram, the constant itself where all values are equal."""
     good = pixels.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != float("inf")))
-    whole = Window.partitionBy(*keys)
-    rows = good.select(*keys, F.col(value).cast("double").alias("v"), F.min(value).over(whole).cast("double").alias("low"), F.max(value).over(whole).cast("double").alias("high"))
+    rows = _limited(good, keys, value)
     width = (F.col("high") - F.col("low")) / bins
     bin = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     counts = rows.groupBy(*keys, "low", "high", bin.alias("level")).agg(F.count("*").alias("n"))

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import frame_label, on_stride
 
-#: ROI keys that are drawn on the driver; one key per cell.
-DRAWN_KEYS = 5_000_000
+#: Bits of a hash by which keys are counted before the last ones are ranked.
+COUNTED_BITS = 16
+
 
+def draw(keys: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n keys of distinct ones (all if there are fewer): those with the least seeded hashes, so larger draws hold smaller ones.
 
-def _keys(rows: DataFrame, key: str) -> list:
-    keys = [r[0] for r in rows.select(key).distinct().limit(DRAWN_KEYS + 1).collect()]
-    if len(keys) > DRAWN_KEYS:
-        raise ValueError(f"more than {DRAWN_KEYS} keys to draw from")
-    return sorted(keys)
+    Keys are counted by the first bits of their hashes; only those with the bits
+    at which n is reached are ranked.
+    """
+    hashed = keys.select(key).distinct().withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_b", F.shiftright("_h", 64 - COUNTED_BITS))
+    upto = 0
+    for b, count in sorted((r._b, r.n) for r in hashed.groupBy("_b").agg(F.count("*").alias("n")).collect()):  # at most 2 ** COUNTED_BITS rows
+        if upto + count > n:
+            last = hashed.where(F.col("_b") == b).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))).where(F.col("_r") <= n - upto)
+            return hashed.where(F.col("_b") < b).select(key).unionByName(last.select(key))
+        upto += count
+    return hashed.select(key)
 
 
 def balanced_subset(references: DataFrame, size: int, seed: int = 42) -> DataFrame:
@@ -29,16 +36,11 @@ def balanced_subset(references: DataFrame, size: int, seed: int = 42) -> DataFra
 
 
 def roi_split(frames: DataFrame, rois: int, frames_per_roi: int, seed: int = 42, share: float = 0.7) -> DataFrame:
-    """V9: a seeded sample of ROIs, `share` of them (at least one, not all) for reference, and of frames within each.
-
-    ROI keys are drawn on the driver as they are few; frames are drawn by hash
-    in the cluster.
-    """
-    keys = _keys(frames, "group")
-    rng = random.Random(seed)
-    chosen = rng.sample(keys, min(rois, len(keys)))
-    reference = max(1, min(len(chosen) - 1, round(len(chosen) * share))) if len(chosen) > 1 else len(chosen)
-    table = frames.sparkSession.createDataFrame([(k, "reference" if i < reference else "evaluation") for i, k in enumerate(chosen)], f"group {frames.schema['group'].dataType.simpleString()}, split string")
+    """V9: a seeded sample of ROIs, `share` of them (at least one, not all) for reference, and of frames within each."""
+    chosen = draw(frames, "group", rois, seed)
+    n = chosen.count()
+    reference = draw(chosen, "group", max(1, min(n - 1, round(n * share))) if n > 1 else n, seed).withColumn("split", F.lit("reference"))
+    table = chosen.join(reference, "group", "left").withColumn("split", F.coalesce("split", F.lit("evaluation")))
     drawn = Window.partitionBy("group").orderBy(F.xxhash64("group", "frame", F.lit(seed)), "frame")
     return frames.join(table, "group").withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= frames_per_roi).drop("_r")
 
@@ -63,13 +65,11 @@ def dataset_manifest(labels: DataFrame, counts: DataFrame, val_fraction: float =
     labels(position, roi_id, death_frame), counts(position, roi_id, frame_count).
     """
     cells = labels.withColumn("cell", F.concat("position", F.lit("/Roi"), F.col("roi_id").cast("string")))
-    keys = _keys(cells, "cell")
-    if not keys:
+    n = cells.select("cell").distinct().count()
+    if not n:
         raise ValueError("no labels found")
-    random.Random(seed).shuffle(keys)
-    val = max(1, int(round(len(keys) * val_fraction)))
-    table = labels.sparkSession.createDataFrame([(k, "val" if i < val else "train") for i, k in enumerate(keys)], "cell string, split string")
-    rows = cells.join(counts, ["position", "roi_id"]).join(table, "cell").where("frame_count > 0")
+    val = draw(cells, "cell", max(1, int(round(n * val_fraction))), seed).withColumn("split", F.lit("val"))
+    rows = cells.join(counts, ["position", "roi_id"]).join(val, "cell", "left").where("frame_count > 0").withColumn("split", F.coalesce("split", F.lit("train")))
     rows = rows.withColumn("frame", F.explode(F.sequence(F.lit(0), F.col("frame_count") - 1)))
     return rows.select("position", "roi_id", "frame", frame_label("frame", "death_frame", "frame_count").cast("int").alias("label"), "split")
 

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
-from typing import Protocol
+from concurrent.futures import ThreadPoolExecutor, wait
+from itertools import islice
+from typing import Protocol, TypeVar
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from ..functions.columns import dead_probability, is_alive
 
 
+T = TypeVar("T")
+
+
 class Scorer(Protocol):
     """What a model must offer: arrays of images to an array of logits or vectors, one row per image."""
 
@@ -21,42 +29,62 @@ class Scorer(Protocol):
 
 
 class Cancelled(Exception):
-    """A run was told to stop; done and total say how far it came."""
+    """A run was told to stop; done and total say how many of its tasks had ended."""
 
     def __init__(self, done: int, total: int):
-        super().__init__(f"cancelled after {done} of {total} frames")
+        super().__init__(f"cancelled after {done} of {total} tasks")
         self.done, self.total = done, total
 
 
+def batch_numbers(frames: DataFrame, keys: list[str], limit: int, order: str = "t") -> DataFrame:
+    """Frames with `batch`, numbered from 0: `limit` frames of each key in order, and a shorter tail."""
+    if limit < 1:
+        raise ValueError("the limit must be at least 1")
+    w = Window.partitionBy(*keys).orderBy(order)
+    return frames.withColumn("batch", F.floor((F.row_number().over(w) - 1) / limit).cast("int"))
+
+
 def batched(items: Iterable, limit: int) -> Iterator[list]:
-    """Lists of `limit` items and a shorter tail."""
+    """E1 within a task: lists of `limit` items and a shorter tail."""
     if limit < 1:
         raise ValueError("the limit must be at least 1")
-    held: list = []
-    for item in items:
-        held.append(item)
-        if len(held) == limit:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def run_batches(items: Iterable, limit: int, total: int, infer: Callable[[list], list], progress: Callable[[int, int], None] | None = None, cancelled: Callable[[], bool] | None = None) -> list:
-    """Results of all batches in order; stops before any batch once cancelled, and a wrong number of results is an error."""
-    out: list = []
+    held = iter(items)
+    while part := list(islice(held, limit)):
+        yield part
+
+
+def run_cancellable(spark: SparkSession, job: Callable[[], T], progress: Callable[[int, int], None] | None = None, cancelled: Callable[[], bool] | None = None, poll: float = 0.1) -> T:
+    """The result of a function that runs Spark jobs, such as writing scored frames; nothing is started once cancelled, and running jobs are taken back by their tag. progress hears of tasks that have ended and of all tasks known."""
     if cancelled and cancelled():
-        raise Cancelled(0, total)
-    for batch in batched(items, limit):
-        if cancelled and cancelled():
-            raise Cancelled(len(out), total)
-        got = infer(batch)
-        if len(got) != len(batch):
-            raise ValueError(f"{len(got)} results for {len(batch)} frames")
-        out += got
-        if progress:
-            progress(len(out), total)
-    return out
+        raise Cancelled(0, 0)
+    context, tag = spark.sparkContext, f"run-{uuid.uuid4().hex}"
+
+    def tagged() -> T:
+        context.addJobTag(tag)
+        return job()
+
+    def told() -> tuple[int, int]:
+        tracker = context._jsc.sc().statusTracker()
+        stages = {s for j in tracker.getJobIdsForTag(tag) for info in [tracker.getJobInfo(j)] if info.isDefined() for s in info.get().stageIds()}
+        infos = [i.get() for i in map(tracker.getStageInfo, stages) if i.isDefined()]
+        return sum(i.numCompletedTasks() for i in infos), sum(i.numTasks() for i in infos)
+
+    done = None
+    with ThreadPoolExecutor(1) as pool:
+        running = pool.submit(tagged)
+        while not running.done():
+            wait([running], poll)
+            if progress and told() != done:
+                done = told()
+                progress(*done)
+            if cancelled and not running.done() and cancelled():
+                seen = told()
+                while not running.done():  # a job may just be starting
+                    context.cancelJobsWithTag(tag)
+                    wait([running], poll)
+                if running.exception():
+                    raise Cancelled(*seen)
+        return running.result()
 
 
 def as_logits(output: np.ndarray, images: int) -> np.ndarray:
@@ -71,27 +99,20 @@ def as_logits(output: np.ndarray, images: int) -> np.ndarray:
     return out
 
 
-def score_planes(planes: DataFrame, scorer: Scorer, prepare: Callable[[np.ndarray], np.ndarray], batch: int = 32) -> DataFrame:
-    """Planes with p_dead and label (true is alive); images of a batch meet the model together, batch after batch."""
+def score_planes(planes: DataFrame, scorer: Scorer, prepare: Callable[[DataFrame], DataFrame], batch: int = 32) -> DataFrame:
+    """Planes without their pixels, with p_dead and label (true is alive). prepare adds the array `input` (frames.model_input, frames.network_input); images of a batch meet the model together, batch after batch, as an array (images, values). A wrong number of results is an error."""
+    rows = prepare(planes)
+    rows = rows.select(*(c for c in rows.columns if c not in ("pixels", "input")), "input")
 
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for pixels, height, width in batches:
-            rows = zip(pixels, height, width, strict=True)
-            logits = [as_logits(scorer(np.stack([prepare(np.asarray(p, float).reshape(h, w)) for p, h, w in part])), len(part)) for part in batched(rows, batch)]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            logits = [as_logits(scorer(np.stack([np.asarray(x, np.float32) for x in part])), len(part)) for part in batched(pdf.input, batch)]
             both = np.concatenate(logits) if logits else np.zeros((0, 2))
-            yield pd.DataFrame({"absent": both[:, 0], "present": both[:, 1]})
-
-    score = F.pandas_udf(_typed(run), "absent double, present double")
-    rows = planes.withColumn("_l", score("pixels", "height", "width")).withColumn("p_dead", dead_probability("_l.absent", "_l.present"))
-    return rows.withColumn("label", is_alive("p_dead")).drop("_l")
-
-
-def _typed(run: Callable) -> Callable:
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        yield from run(batches)
+            yield pdf.drop(columns="input").assign(_absent=both[:, 0], _present=both[:, 1])
 
-    scored.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return scored
+    schema = rows.drop("input").schema.add("_absent", DoubleType()).add("_present", DoubleType())
+    scored = rows.mapInPandas(run, schema).withColumn("p_dead", dead_probability("_absent", "_present"))
+    return scored.withColumn("label", is_alive("p_dead")).drop("_absent", "_present")
 
 
 def cache_key(model: str, revision: str, preprocessing: str, dtype: str = "float32") -> str:
@@ -128,6 +149,19 @@ def check_digests(images: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.select("id", "sha").join(now, "id", "full").where(~F.col("sha").eqNullSafe(F.col("now")))
 
 
+def compare_sample(images: DataFrame, manifest: DataFrame, cache: DataFrame, identity: str, k: int = 3) -> dict[str, DataFrame]:
+    """V6: the evaluation of a sample from cached vectors alone, nothing being encoded: manifest(id, sha, group, split, label) against the contents of images and a cache of one identity; changed images or missing vectors are errors."""
+    from .vectors import evaluate
+
+    if check_digests(images, manifest).limit(1).count():
+        raise ValueError("images don't match the manifest's digests")
+    known = cache.where(F.col("identity") == identity).select("sha", "vector")
+    rows = manifest.join(known, "sha", "left")
+    if rows.where("vector is null").limit(1).count():
+        raise ValueError("the cache lacks vectors of this identity")
+    return evaluate(rows, k)
+
+
 def newest_checkpoint(spark: SparkSession, folder: str) -> str | None:
     """Path of the checkpoint to use: the newest whose name begins with best-, else the newest, else none."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.ckpt")

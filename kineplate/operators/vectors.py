@@ -2,8 +2,8 @@
 
 references(ref_idx, id, label, group, vector) and queries(id, ..., vector) hold
 one row per image. The reference matrix is broadcast to tasks only up to
-MATRIX_BYTES, which is checked before; larger ones are searched in blocks of
-that size whose winners are merged, so no query meets all references at once.
+MATRIX_BYTES, which is checked before; larger ones are packed and searched in
+blocks of that size in the cluster, and the winners are merged.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import unit_vector, usable_label
+from ..shared import lasting
 
 MATRIX_BYTES = 64 << 20
 #: Rows of queries multiplied at once.
@@ -30,42 +31,63 @@ def unit_vectors(rows: DataFrame, vector: str = "vector") -> DataFrame:
     return rows.withColumn(vector, unit_vector(vector))
 
 
-def _blocks(references: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, unit matrix) of references in blocks of bounded size; sizes are counted before anything is gathered."""
-    shape = references.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d"), F.max("ref_idx").alias("top")).first()
-    if not shape.n:
-        raise ValueError("at least one reference is required")
-    rows = max(1, MATRIX_BYTES // (8 * max(shape.d, 1)))
-    count = -(-shape.n // rows)
-    for k in range(count):
-        part = references.where(F.pmod("ref_idx", F.lit(count)) == k) if count > 1 else references
-        got = part.select("ref_idx", unit_vector("vector").alias("vector")).orderBy("ref_idx").toPandas()
-        if len(got):
-            yield got.ref_idx.to_numpy(np.int64), np.stack(got.vector.to_numpy()).astype(np.float64)
+def _packed(references: DataFrame, block: Column) -> DataFrame:
+    """(block, indices, matrix): unit references of a block as one row, in order of their indices."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ref_idx")
+        return pd.DataFrame({"block": pdf.block.iloc[:1], "indices": [pdf.ref_idx.to_numpy(np.int64).tobytes()], "matrix": [np.stack(pdf.vector.to_numpy()).astype(np.float64).tobytes()]})
+
+    rows = references.select(block.cast("int").alias("block"), F.col("ref_idx").cast("long"), unit_vector("vector").alias("vector"))
+    return rows.groupBy("block").applyInPandas(pack, "block int, indices binary, matrix binary")
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int = 3, normalize_query: bool = True, query_id: str = "id") -> DataFrame:
-    """(query_id, ref_idx, similarity, rank) of the k most similar references; the lowest index wins ties."""
+    """(query_id, ref_idx, similarity, rank) of the k most similar references; the lowest index wins ties.
+
+    References are packed in the cluster into blocks of at most MATRIX_BYTES.
+    One block is broadcast, its size being known; of several, every query meets
+    each block once, spread over shares of the queries, and the k best of each
+    are ranked together.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
+    shape = references.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if not shape.n:
+        raise ValueError("at least one reference is required")
+    count = -(-shape.n * 8 * max(shape.d, 1) // MATRIX_BYTES)
+    packed = _packed(references, F.pmod(F.xxhash64("ref_idx"), F.lit(count)))
     kind = queries.schema[query_id].dataType.simpleString()
     source = queries.select(query_id, (unit_vector("vector") if normalize_query else F.col("vector").cast("array<double>")).alias("vector"))
-    found, blocks = None, 0
-    for indices, matrix in _blocks(references):
 
-        def run(batches: Iterator[pd.DataFrame], indices: np.ndarray = indices, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
-            top = min(k, len(indices))
+    def ranked(pdf: pd.DataFrame, indices: bytes, matrix: bytes) -> Iterator[pd.DataFrame]:
+        own = np.frombuffer(indices, np.int64)
+        rows, top = np.frombuffer(matrix).reshape(len(own), -1), min(k, len(own))
+        for at in range(0, len(pdf), BLOCK):
+            part = pdf.iloc[at : at + BLOCK]
+            scores = np.stack(part.vector.to_numpy()).astype(np.float64) @ rows.T
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :top]
+            yield pd.DataFrame({query_id: np.repeat(part[query_id].to_numpy(), top), "ref_idx": own[order].ravel(), "similarity": np.take_along_axis(scores, order, 1).ravel(), "rank": np.tile(np.arange(1, top + 1), len(part))})
+
+    schema = f"{query_id} {kind}, ref_idx long, similarity double, rank int"
+    if count == 1:
+        only = packed.first()  # at most MATRIX_BYTES
+        held = queries.sparkSession.sparkContext.broadcast((bytes(only.indices), bytes(only.matrix)))
+
+        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for at in range(0, len(pdf), BLOCK):
-                    part = pdf.iloc[at : at + BLOCK]
-                    scores = np.stack(part.vector.to_numpy()).astype(np.float64) @ matrix.T
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-                    yield pd.DataFrame({query_id: np.repeat(part[query_id].to_numpy(), top), "ref_idx": indices[order].ravel(), "similarity": np.take_along_axis(scores, order, 1).ravel(), "rank": np.tile(np.arange(1, top + 1), len(part))})
-
-        part = source.mapInPandas(run, f"{query_id} {kind}, ref_idx long, similarity double, rank int")
-        found, blocks = part if found is None else found.unionByName(part), blocks + 1
-    if blocks == 1:
-        return found
+                yield from ranked(pdf, *held.value)
+
+        return source.mapInPandas(one, schema)
+    shares = -(-int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // count)
+    dealt = source.withColumn("share", F.pmod(F.xxhash64(query_id), F.lit(shares)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    blocks = packed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    def meet(key: tuple, mine: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        found = [*ranked(mine, block.indices.iloc[0], block.matrix.iloc[0])] if len(mine) and len(block) else []
+        return pd.concat(found) if found else pd.DataFrame({query_id: [], "ref_idx": [], "similarity": [], "rank": []})
+
+    found = dealt.groupBy("block", "share").cogroup(blocks.groupBy("block", "share")).applyInPandas(meet, schema)
     best = Window.partitionBy(query_id).orderBy(F.desc("similarity"), "ref_idx")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -94,49 +116,81 @@ def viable_support(queries: DataFrame, references: DataFrame, k: int = 3, query_
 
 
 class LinearSVM:
-    """V4: one-vs-rest squared-hinge SVM with class-balanced weights and a penalised constant, by Newton steps on the active set."""
+    """V4: one-vs-rest squared-hinge SVM with class-balanced weights and a penalised constant.
+
+    Newton steps on the active set. A step's loss, gradient and second
+    derivatives are sums over the references, added up in the cluster for all
+    classes at once; the driver holds these sums, d * d numbers a class.
+    """
 
     def __init__(self, classes: list[str], weights: np.ndarray):
         self.classes, self.weights = classes, weights
 
     @staticmethod
-    def _solve(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 200) -> np.ndarray:
-        w = np.zeros(x.shape[1])
+    def _sums(rows: DataFrame, w: np.ndarray, signs: dict[str, np.ndarray], costs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per target: the sum of the weighted squared hinges, its gradient and its second derivatives."""
+        k, d = w.shape
 
-        def loss(v: np.ndarray) -> float:
-            return 0.5 * v @ v + (cost * np.maximum(1 - y * (x @ v), 0) ** 2).sum()
-
-        for _ in range(rounds):
-            slack = 1 - y * (x @ w)
-            active = slack > 0
-            gradient = w - 2 * (x[active] * (cost * y * slack)[active, None]).sum(0)
-            if np.linalg.norm(gradient) <= 1e-9 * max(1.0, len(y)):
-                break
-            hessian = np.eye(len(w)) + 2 * (x[active] * cost[active, None]).T @ x[active]
-            step, size, now = np.linalg.solve(hessian, gradient), 1.0, loss(w)
-            while loss(w - size * step) > now - 1e-4 * size * (gradient @ step) and size > 1e-10:
-                size /= 2
-            w = w - size * step
-        return w
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((k, 1 + d + d * d))
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.column_stack([np.stack(pdf.vector.to_numpy()), np.ones(len(pdf))])
+                y, cost = np.stack([signs[c] for c in pdf.label]), np.stack([costs[c] for c in pdf.label])
+                slack = np.maximum(1 - y * (x @ w.T), 0)
+                for j in range(k):
+                    on = slack[:, j] > 0
+                    a, c, s = x[on], cost[on, j], slack[on, j]
+                    total[j, 0] += (c * s * s).sum()
+                    total[j, 1 : 1 + d] -= 2 * (a * (c * y[on, j] * s)[:, None]).sum(0)
+                    total[j, 1 + d :] += (2 * (a * c[:, None]).T @ a).ravel()
+            yield pd.DataFrame({"sums": [total.ravel()]})
+
+        made = rows.mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).collect()
+        total = np.zeros(k * (1 + d + d * d))
+        for r in made:
+            total[r.i] = r.s
+        total = total.reshape(k, -1)
+        return total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(k, d, d)
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, labels: list[str], c: float = 1.0) -> LinearSVM:
+    def fit(cls, references: DataFrame, c: float = 1.0, rounds: int = 100) -> LinearSVM:
+        """references(label, vector of length one)."""
         if c <= 0 or not np.isfinite(c):
             raise ValueError("C must be positive")
-        classes = sorted(set(labels))
+        rows = lasting(references.select("label", "vector"))
+        sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row per class
+        classes, n = sorted(sizes), sum(sizes.values())
         if len(classes) < 2:
             raise ValueError("at least two reference classes are required")
-        x = np.column_stack([vectors, np.ones(len(vectors))])
-        own = np.array(labels)
-        weight = np.array([len(own) / (len(classes) * (own == k).sum()) for k in classes])
+        weight = {k: n / (len(classes) * sizes[k]) for k in classes}
         targets = classes[1:] if len(classes) == 2 else classes
-        rows = []
-        for k in targets:
-            y = np.where(own == k, 1.0, -1.0)
-            # a one-vs-rest problem weighs its own class by its weight and the rest by one, a two-class one both
-            cost = weight[np.searchsorted(classes, own)] if len(classes) == 2 else np.where(own == k, weight[classes.index(k)], 1.0)
-            rows.append(cls._solve(x, y, c * cost))
-        return cls(classes, np.stack(rows))
+        signs = {k: np.array([1.0 if k == t else -1.0 for t in targets]) for k in classes}
+        # a one-vs-rest problem weighs its own class by its weight and the rest by one, a two-class one both
+        costs = {k: c * np.array([weight[k] if len(classes) == 2 or k == t else 1.0 for t in targets]) for k in classes}
+        d = rows.select(F.size("vector")).first()[0] + 1
+        w = np.zeros((len(targets), d))
+
+        def look(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            loss, slope, bend = cls._sums(rows, v, signs, costs)
+            return loss + 0.5 * (v * v).sum(1), slope + v, bend + np.eye(d)
+
+        loss, slope, bend = look(w)
+        for _ in range(rounds):
+            open_ = np.linalg.norm(slope, axis=1) > 1e-9 * max(1.0, n)
+            if not open_.any():
+                break
+            step = np.linalg.solve(bend, slope[:, :, None])[:, :, 0] * open_[:, None]
+            size = np.ones(len(targets))
+            for _ in range(40):
+                then = look(w - size[:, None] * step)
+                bad = open_ & (then[0] > loss - 1e-4 * size * (slope * step).sum(1) + 1e-12 * np.abs(loss))
+                if not bad.any():
+                    break
+                size[bad] /= 2
+            w, (loss, slope, bend) = w - size[:, None] * step, then
+        return cls(classes, w)
 
     def decide(self, vectors: np.ndarray) -> np.ndarray:
         return np.column_stack([vectors, np.ones(len(vectors))]) @ self.weights.T
@@ -147,16 +201,9 @@ class LinearSVM:
         return [self.classes[k] for k in best]
 
 
-#: References that the SVM is fitted on; more are an error, not a sample.
-SVM_ROWS = 100_000
-
-
 def svm(queries: DataFrame, references: DataFrame, c: float = 1.0, query_id: str = "id") -> DataFrame:
-    """V4: (query_id, prediction, scores) of a model fitted on the driver on at most SVM_ROWS references."""
-    if references.count() > SVM_ROWS:
-        raise ValueError(f"the solver is meant for at most {SVM_ROWS} references")
-    got = references.select("ref_idx", "label", unit_vector("vector").alias("vector")).orderBy("ref_idx").toPandas()
-    model = LinearSVM.fit(np.stack(got.vector.to_numpy()), got.label.tolist(), c)
+    """V4: (query_id, prediction, scores) of a model fitted on all references."""
+    model = LinearSVM.fit(references.select("label", unit_vector("vector").alias("vector")), c)
     kind = queries.schema[query_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,15 +235,16 @@ def split_manifest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return references, queries
 
 
-def evaluate(rows: DataFrame, k: int = 3, c: float = 1.0) -> dict[str, DataFrame]:
-    """V5: predictions of both methods for every evaluation row, their metrics over the usable ones, and the neighbours' ids."""
+def evaluate(rows: DataFrame, k: int = 3, c: float = 1.0, methods: tuple[str, ...] = ("knn", "svm")) -> dict[str, DataFrame]:
+    """V5: predictions of the methods for every evaluation row, their metrics over the usable ones, and the neighbours' ids."""
     from .aggregates import confusion, macro_metrics
     from .joins import neighbour_ids
 
     references, queries = split_manifest(rows)
     near = nearest(queries, references, k)
     out = {"neighbours": neighbour_ids(near, references)}
-    for method, made in (("knn", vote(near, references)), ("svm", svm(queries, references, c))):
+    for method in methods:
+        made = vote(near, references) if method == "knn" else svm(queries, references, c)
         joined = queries.select("id", "group", "label").join(made, "id")
         out[f"{method}_predictions"] = joined
         out[f"{method}_metrics"] = macro_metrics(joined)

@@ -627,8 +627,8 @@ def i4_minority_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH g AS (SELECT l_suppkey, count(*) FILTER (WHERE l_quantity > 40) AS bright FROM lineitem GROUP BY 1) SELECT * FROM g""")
 def i5_scale_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_list("l_quantity").alias("pixels"))
-    return rows.select("l_suppkey", F.size(F.filter(H.scale_mask("pixels", F.lit(40.0)), lambda x: x)).cast("long").alias("bright"))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.array("l_quantity").alias("pixels"))
+    return rows.groupBy("l_suppkey").agg(F.sum(F.size(F.filter(H.scale_mask("pixels", F.lit(40.0)), lambda x: x))).alias("bright"))
 
 
 @query("""WITH g AS (SELECT l_suppkey, avg(l_quantity) + 1.5 * stddev_pop(l_quantity) AS th FROM lineitem GROUP BY 1) SELECT l_suppkey, round(th, 6) AS threshold, count(*) FILTER (WHERE l_quantity > th) AS "on" FROM lineitem JOIN g USING (l_suppkey) GROUP BY 1, th""")
@@ -636,65 +636,173 @@ def i6_sigma_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.sigma_threshold(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", 1.5))
 
 
-GRID_SQL = "gr AS (SELECT (p_partkey % 50)::INT AS x, (p_partkey // 50)::INT AS y, p_size > 35 AS lit FROM part)"
+#: An image of 20 pixels a row per brand, in order of the keys; what is missing of its last row is off.
+GRID_SQL = """n0 AS (SELECT p_brand AS img, p_size, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+    gr AS (SELECT img, (i % 20)::INT AS x, (i // 20)::INT AS y, i, p_size > 35 AS lit, p_size FROM n0 WHERE i < n // 20 * 20)"""
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts as one image of 50 pixels a row."""
-    row = table(spark, sf_dir, "part").orderBy("p_partkey").agg(F.sort_array(F.collect_list(F.struct("p_partkey", (F.col("p_size") > 35).alias("v")))).alias("s"))
-    return row.select(F.lit(50).alias("width"), F.expr("cast(size(s) / 50 AS int)").alias("height"), F.transform("s", lambda p: p.v).alias("mask"))
+    w = Window.partitionBy("p_brand")
+    rows = table(spark, sf_dir, "part").withColumn("i", F.row_number().over(w.orderBy("p_partkey")) - 1).withColumn("height", F.floor(F.count("*").over(w) / 20).cast("int"))
+    rows = rows.where(F.col("i") < F.col("height") * 20)
+    return rows.select(F.col("p_brand").alias("img"), "height", F.lit(20).alias("width"), F.floor(F.col("i") / 20).cast("int").alias("y"), (F.col("i") % 20).cast("int").alias("x"), (F.col("p_size") > 35).alias("on"), F.col("p_size").cast("double").alias("v"))
 
 
-@query(f"""WITH RECURSIVE {GRID_SQL}, px AS (SELECT y * 50 + x AS i, x, y FROM gr WHERE lit),
-    near AS (SELECT a.i AS a, b.i AS b FROM px a JOIN px b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
-    reach AS (SELECT i AS root, i FROM px UNION SELECT reach.root, near.b FROM reach JOIN near ON near.a = reach.i WHERE near.b > reach.root OR true),
-    lab AS (SELECT i, min(root) AS root FROM reach GROUP BY i), size AS (SELECT root, count(*) AS n FROM lab GROUP BY root)
-    SELECT root AS first_pixel, n AS pixels FROM size WHERE n >= 4""")
+#: Components of pixels in `px` by the smallest place that `near` pairs reach.
+REACH_SQL = """reach AS (SELECT img, i AS root, i FROM px UNION SELECT reach.img, reach.root, near.b FROM reach JOIN near ON near.img = reach.img AND near.a = reach.i),
+    lab AS (SELECT img, i, min(root) AS root FROM reach GROUP BY img, i)"""
+
+
+@query(f"""WITH RECURSIVE {GRID_SQL}, px AS (SELECT * FROM gr WHERE lit),
+    near AS (SELECT a.img, a.i AS a, b.i AS b FROM px a JOIN px b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), {REACH_SQL}
+    SELECT img, root::INT AS first_pixel, count(*) AS pixels FROM lab GROUP BY img, root HAVING count(*) >= 4""")
 def i7_component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.frames import label_components
+    from ..operators.pixels import components
+
+    rows = components(grid(spark, sf_dir), ["img"]).where("label > 0")
+    return rows.groupBy("img", "label").agg(F.min(F.col("y") * 20 + F.col("x")).alias("first_pixel"), F.count("*").alias("pixels")).drop("label")
+
+
+@query(f"""WITH {GRID_SQL} SELECT a.img, a.i, max(b.p_size)::DOUBLE AS most FROM gr a JOIN gr b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL""")
+def i8_neighbour_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.pixels import neighbour_max
 
-    rows = grid(spark, sf_dir).select(F.posexplode(label_components("mask", "height", "width")).alias("i", "label")).where("label > 0")
-    return rows.groupBy("label").agg(F.min("i").alias("first_pixel"), F.count("*").alias("pixels")).select("first_pixel", "pixels")
+    return neighbour_max(grid(spark, sf_dir), ["img"], "v", "most").select("img", (F.col("y") * 20 + F.col("x")).alias("i"), "most")
 
 
-@query(f"""WITH {GRID_SQL}, off AS (SELECT x, y FROM gr WHERE NOT lit) SELECT (gr.y * 50 + gr.x)::INT AS i, round(sqrt(min((gr.x - off.x) * (gr.x - off.x) + (gr.y - off.y) * (gr.y - off.y))), 6) AS distance FROM gr, off WHERE lit GROUP BY gr.x, gr.y""")
+@query(f"""WITH {GRID_SQL}, off AS (SELECT img, x, y FROM gr WHERE NOT lit) SELECT gr.img, gr.i, round(sqrt(min((gr.x - off.x) * (gr.x - off.x) + (gr.y - off.y) * (gr.y - off.y))), 6) AS distance FROM gr JOIN off ON gr.img = off.img WHERE lit GROUP BY ALL""")
 def i9_distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.frames import distance_transform
+    from ..operators.pixels import distance
+
+    return rounded(distance(grid(spark, sf_dir), ["img"]).where("distance > 0").select("img", (F.col("y") * 20 + F.col("x")).alias("i"), "distance"))
+
+
+@query(f"""WITH RECURSIVE {GRID_SQL}, px AS (SELECT * FROM gr WHERE lit),
+    near AS (SELECT a.img, a.i AS a, b.i AS b FROM px a JOIN px b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), {REACH_SQL},
+    sz AS (SELECT img, root, count(*) AS n FROM lab GROUP BY img, root) SELECT img, sum(n) FILTER (WHERE n >= 4)::BIGINT AS large, sum(n) FILTER (WHERE 2 * sqrt(n / pi()) BETWEEN 1.4 AND 2.6)::BIGINT AS round FROM sz GROUP BY img""")
+def i12_i13_label_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pixels as X
+
+    rows = X.lasting(X.components(grid(spark, sf_dir), ["img"], least=1))
+    kept = [r.where("label > 0").groupBy("img").agg(F.count("*").alias(n)) for r, n in ((X.drop_small(rows, ["img"]), "large"), (X.keep_diameter(rows, ["img"], 2.0), "round"))]
+    return rows.select("img").distinct().join(kept[0], "img", "left").join(kept[1], "img", "left")
+
+
+@query(f"""WITH {GRID_SQL}, cl AS (SELECT a.img, a.i, b.p_size AS v FROM gr a, (SELECT unnest(range(-1, 2)) AS dx) p, (SELECT unnest(range(-1, 2)) AS dy) q, (SELECT img AS im, max(y) AS top FROM gr GROUP BY img) t, gr b
+    WHERE t.im = a.img AND b.img = a.img AND b.x = least(greatest(a.x + dx, 0), 19) AND b.y = least(greatest(a.y + dy, 0), top)) SELECT img, i, round(avg(v), 6) AS mean, round(var_pop(v), 4) AS spread FROM cl GROUP BY ALL""")
+def i17_i18_box_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.pixels import box_mean, local_deviation
+
+    rows = local_deviation(box_mean(grid(spark, sf_dir), ["img"], 1), ["img"], 1)
+    place = (F.col("y") * 20 + F.col("x")).alias("i")
+    return rows.select("img", place, F.round("mean", 6).alias("mean"), F.round(F.col("deviation") * F.col("deviation"), 4).alias("spread"))
+
+
+@query(f"""WITH {GRID_SQL}, w AS (SELECT d, exp(-d * d / 2.0) / sum(exp(-d * d / 2.0)) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS d)), t AS (SELECT img AS im, max(y) AS top FROM gr GROUP BY img),
+    a AS (SELECT g.img, g.x, g.y, g.i, sum(w.w * b.p_size) AS s FROM gr g, w, gr b WHERE b.img = g.img AND b.y = g.y AND b.x = least(greatest(g.x + d, 0), 19) GROUP BY ALL)
+    SELECT g.img, g.i, round(sum(w.w * b.s), 6) AS smooth FROM a g, w, t, a b WHERE t.im = g.img AND b.img = g.img AND b.x = g.x AND b.y = least(greatest(g.y + d, 0), top) GROUP BY ALL""")
+def i19_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.pixels import gaussian
+
+    return rounded(gaussian(grid(spark, sf_dir), ["img"], 1.0).select("img", (F.col("y") * 20 + F.col("x")).alias("i"), "smooth"))
+
+
+@query(f"""WITH RECURSIVE {GRID_SQL}, gm AS (SELECT *, p_size > 20 AS wall FROM gr), px AS (SELECT * FROM gm WHERE NOT wall), t AS (SELECT img, max(y) AS top FROM gr GROUP BY img),
+    near AS (SELECT a.img, a.i AS a, b.i AS b FROM px a JOIN px b ON a.img = b.img AND abs(a.x - b.x) + abs(a.y - b.y) <= 1),
+    outer_ AS (SELECT px.img, px.i FROM px JOIN t USING (img) WHERE px.x IN (0, 19) OR px.y IN (0, top) UNION SELECT outer_.img, near.b FROM outer_ JOIN near ON near.img = outer_.img AND near.a = outer_.i)
+    SELECT gm.img, count(*) - count(outer_.i) AS filled FROM gm LEFT JOIN outer_ USING (img, i) GROUP BY gm.img""")
+def i20_fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.pixels import fill_holes
+
+    rows = fill_holes(grid(spark, sf_dir).withColumn("on", F.col("v") > 20), ["img"])
+    return rows.groupBy("img").agg(F.sum(F.col("on").cast("long")).alias("filled"))
+
+
+@query(f"""WITH {GRID_SQL}, q AS (SELECT img, quantile_cont(p_size, 0.01) AS lo, quantile_cont(p_size, 0.99) AS hi FROM gr GROUP BY img) SELECT img, sum(floor(CASE WHEN hi > lo THEN least(greatest((p_size - lo) / (hi - lo), 0), 1) * 255 ELSE 0 END))::BIGINT AS sheet,
+    sum(floor(least(greatest((p_size - 5) / 30.0, 0), 1) * 255))::BIGINT AS movie FROM gr JOIN q USING (img) GROUP BY img""")
+def i23_i25_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.pixels import contrast
 
-    return rounded(grid(spark, sf_dir).select(F.posexplode(distance_transform("mask", "height", "width")).alias("i", "distance")).where("distance > 0"))
+    rows = grid(spark, sf_dir)
+    limits = rows.select("img").distinct().select("img", F.lit(5.0).alias("low"), F.lit(35.0).alias("high"))
+    one = contrast(rows, ["img"]).groupBy("img").agg(F.sum("gray").alias("sheet"))
+    return one.join(contrast(rows, ["img"], "movie", limits=limits).groupBy("img").agg(F.sum("gray").alias("movie")), "img")
 
 
 def disks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frame of 64 x 64 per nation: an engager and a tumour disk per supplier."""
+    """A frame of 64 x 64 per nation, as pixel rows: an engager and a tumour disk per supplier."""
     s = F.col("s_suppkey").cast("int")
     rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("frame"), (s * 17 % 64).alias("ex"), (s * 31 % 64).alias("ey"), ((s * 23 + 9) % 64).alias("tx"), ((s * 13 + 5) % 64).alias("ty"))
-    shapes = rows.groupBy("frame").agg(F.collect_list(F.struct(F.col("ex").alias("x"), F.col("ey").alias("y"))).alias("engagers"), F.collect_list(F.struct(F.col("tx").alias("x"), F.col("ty").alias("y"))).alias("tumors"))
 
-    def drawn(disks_: str, radius: int) -> Column:
-        def on(i: Column) -> Column:
-            x, y = i % 64 + 0.5, F.floor(i / 64) + 0.5
-            return F.exists(disks_, lambda d: (x - d.x) * (x - d.x) + (y - d.y) * (y - d.y) <= radius * radius)
+    def drawn(x: str, y: str, radius: int, name: str) -> DataFrame:
+        around = F.sequence(F.lit(-radius - 1), F.lit(radius))
+        one = rows.select("frame", x, y, F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
+        one = one.where((F.col("dx") + 0.5) * (F.col("dx") + 0.5) + (F.col("dy") + 0.5) * (F.col("dy") + 0.5) <= radius * radius)
+        one = one.select("frame", (F.col(y) + F.col("dy")).alias("y"), (F.col(x) + F.col("dx")).alias("x"))
+        return one.where("x between 0 and 63 and y between 0 and 63").distinct().withColumn(name, F.lit(True))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(64 * 64 - 1)), on)
+    every = rows.select("frame").distinct().select("frame", F.lit(64).alias("height"), F.lit(64).alias("width"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x"))
+    every = every.join(drawn("ex", "ey", 5, "engager"), ["frame", "y", "x"], "left").join(drawn("tx", "ty", 7, "tumor"), ["frame", "y", "x"], "left")
+    return every.na.fill(False, ["engager", "tumor"])
 
-    # drawn before a shuffle, so that the pixels are columns and not expressions to what reads them
-    return shapes.select("frame", F.lit(64).alias("height"), F.lit(64).alias("width"), drawn("engagers", 5).alias("engager"), drawn("tumors", 7).alias("tumor")).repartition("frame")
+
+#: Pixels of the frames of disks, in SQL.
+DISK_SQL = """s AS (SELECT s_suppkey::INT AS s, s_nationkey AS frame FROM supplier), fr AS (SELECT DISTINCT frame FROM s), ax AS (SELECT unnest(range(64))::INT AS k),
+    dp AS (SELECT fr.frame, a.k AS y, b.k AS x, EXISTS (SELECT 1 FROM s WHERE s.frame = fr.frame AND power(b.k + 0.5 - s * 17 % 64, 2) + power(a.k + 0.5 - s * 31 % 64, 2) <= 25) AS engager,
+        EXISTS (SELECT 1 FROM s WHERE s.frame = fr.frame AND power(b.k + 0.5 - (s * 23 + 9) % 64, 2) + power(a.k + 0.5 - (s * 13 + 5) % 64, 2) <= 49) AS tumor FROM fr, ax a, ax b)"""
+
+
+@query()
+def a16_tumor_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.pixels import components, count_labels
+
+    return count_labels(components(disks(spark, sf_dir), ["frame"], "tumor"), ["frame"], "tumor_cells")
+
+
+@query(f"""WITH {DISK_SQL}, off AS (SELECT * FROM dp WHERE NOT engager), d AS (SELECT a.frame, a.y, a.x, min((a.y - o.y) * (a.y - o.y) + (a.x - o.x) * (a.x - o.x)) AS q FROM dp a JOIN off o ON a.frame = o.frame AND o.y BETWEEN a.y - 20 AND a.y + 20 AND o.x BETWEEN a.x - 20 AND a.x + 20 WHERE a.engager GROUP BY ALL),
+    top AS (SELECT a.* FROM d a WHERE a.q >= 6.25 AND NOT EXISTS (SELECT 1 FROM d b WHERE b.frame = a.frame AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND b.q > a.q))
+    SELECT frame, count(*) AS maxima FROM top GROUP BY frame""")
+def i10_local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pixels as X
+
+    rows = X.distance(disks(spark, sf_dir).withColumnRenamed("engager", "on"), ["frame"]).withColumn("d", F.when(F.col("on"), F.col("distance")))
+    rows = X.neighbour_max(rows, ["frame"], "d", "m").where("on and distance >= 2.5 and d >= m")
+    return rows.groupBy("frame").agg(F.count("*").alias("maxima"))
+
+
+@query()
+def o3_i10_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import pixels as X
+
+    rows = X.distance(disks(spark, sf_dir).withColumnRenamed("engager", "on"), ["frame"])
+    return X.seeds(rows, ["frame"])
+
+
+@query()
+def i14_split_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.pixels import split_cells
+
+    rows = split_cells(disks(spark, sf_dir), ["frame"], "engager").where("label > 0")
+    return rows.groupBy("frame", "label").agg(F.count("*").alias("pixels"))
 
 
 @query()
 def i15_engagement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.frames import engagement_counts
+    from ..operators.pixels import engagement, lasting
 
-    return engagement_counts(disks(spark, sf_dir)).select("frame", "tumor_cells", "t_cells", "engagements")
+    return engagement(lasting(disks(spark, sf_dir)), ["frame"])
 
 
 def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two channels per frame made from the disks: brightfield texture and stain."""
+    from ..operators.pixels import planes_of
+
+    i = F.col("y") * 64 + F.col("x")
     rows = disks(spark, sf_dir)
-    bright = F.transform("tumor", lambda on, i: F.when(on, 100.0 + i % 7 * 20).otherwise(100.0 + i % 2))
-    stain = F.transform("engager", lambda on, i: F.when(on, 4500.0).otherwise(190.0 + (i * 17 + 3) % 31))
-    base = ["frame", "height", "width"]
-    both = rows.select(*base, F.lit(0).alias("channel"), bright.alias("pixels")).unionByName(rows.select(*base, F.lit(1).alias("channel"), stain.alias("pixels")))
+    made = []
+    for channel, light in ((0, F.when(F.col("tumor"), 100.0 + i % 7 * 20).otherwise(100.0 + i % 2)), (1, F.when(F.col("engager"), 4500.0).otherwise(190.0 + (i * 17 + 3) % 31))):
+        made.append(planes_of(rows.withColumn("v", light), ["frame"], "v", "pixels").withColumn("channel", F.lit(channel)))
+    both = made[0].unionByName(made[1])
     return both.select((F.col("frame") % 3).cast("int").alias("pos"), F.col("frame").cast("int").alias("roi"), F.lit(0).alias("t"), "channel", F.lit(0).alias("z"), "height", "width", "pixels")
 
 
@@ -712,12 +820,25 @@ def i22_masked_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stain_traces(_planes(spark, sf_dir)), 4)
 
 
+@query(f"""WITH {DISK_SQL}, v AS (SELECT frame, y, x, CASE WHEN engager THEN 4500.0 ELSE 190 + ((y * 64 + x) * 17 + 3) % 31 END AS p FROM dp),
+    im AS (SELECT frame, list(p::DOUBLE ORDER BY y, x) AS p, quantile_cont(p, 0.01) AS lo, quantile_cont(p, 0.99) AS hi FROM v GROUP BY frame),
+    wt AS (SELECT k, least(floor(pl), 63)::INT AS a, least(floor(pl) + 1, 63)::INT AS b, pl - least(floor(pl), 63) AS f FROM (SELECT k, greatest((k + 0.5) * 64 / 8 - 0.5, 0) AS pl FROM (SELECT unnest(range(8)) AS k))),
+    sc AS (SELECT frame, list_transform(p, lambda z: CASE WHEN hi > lo THEN least(greatest((z - lo) / (hi - lo), 0), 1) ELSE 0 END) AS p FROM im)
+    SELECT frame::INT AS roi, round(sum((((1 - wy.f) * p[wy.a * 64 + wx.a + 1] + wy.f * p[wy.b * 64 + wx.a + 1]) * (1 - wx.f) + ((1 - wy.f) * p[wy.a * 64 + wx.b + 1] + wy.f * p[wy.b * 64 + wx.b + 1]) * wx.f) * (wy.k * 8 + wx.k + 1)), 2) AS digest
+    FROM sc, wt wy, wt wx GROUP BY frame""")
+def i26_model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.frames import model_input
+
+    rows = model_input(_planes(spark, sf_dir).where("channel = 1"), 8)
+    return rows.select("roi", F.round(F.aggregate(F.transform("input", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda s, v: s + v), 2).alias("digest"))
+
+
 @query()
-def i23_contrast_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.frames import contrast_rgb
+def i27_network_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.frames import network_input
 
-    rows = _planes(spark, sf_dir).withColumn("rgb", contrast_rgb("pixels", "height", "width"))
-    return rows.select("pos", "roi", "channel", F.explode("rgb").alias("x")).groupBy("pos", "roi", "channel").agg(F.sum("x").alias("total"))
+    rows = network_input(_planes(spark, sf_dir).where("channel = 1"), 16)
+    return rows.select("roi", F.round(F.aggregate("input", F.lit(0.0), lambda s, v: s + v), 2).alias("digest"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS s, s_nationkey AS frame FROM supplier), px AS (SELECT f.frame, i, EXISTS (SELECT 1 FROM s WHERE s.frame = f.frame AND power(i % 64 + 0.5 - s * 17 % 64, 2) + power(i // 64 + 0.5 - s * 31 % 64, 2) <= 25) AS lit FROM (SELECT DISTINCT frame FROM s) f, (SELECT unnest(range(4096)) AS i)),
@@ -799,7 +920,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v5_evaluate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.vectors import evaluate
 
-    return rounded(evaluate(manifest(spark, sf_dir))["knn_metrics"])
+    return rounded(evaluate(manifest(spark, sf_dir), methods=("knn",))["knn_metrics"])
 
 
 UN_SQL = "un AS (SELECT vec_id, vec_id // 10 AS g, vec_id % 10 AS f, unnest(range(1, 65)) AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings), uv AS (SELECT vec_id, g, f, k, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS u FROM un)"
@@ -877,7 +998,7 @@ def o6_first_per_group_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def v14_score_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.kernels import model_input
+    from ..operators.frames import model_input
     from ..operators.scoring import score_planes
 
     rows = score_planes(_planes(spark, sf_dir).where("channel = 1"), mean_scorer, model_input)
@@ -888,5 +1009,6 @@ def mean_scorer(images):  # noqa: ANN001, ANN201
     """A fixed stand-in for a model: logits from the mean of the middle and of the whole image."""
     import numpy as np
 
-    whole, middle = images.mean((1, 2, 3)), images[:, :, 32:96, 32:96].mean((1, 2, 3))
+    images = images.reshape(len(images), 128, 128)
+    whole, middle = images.mean((1, 2)), images[:, 32:96, 32:96].mean((1, 2))
     return np.stack([whole, middle], 1) * 4

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
+from collections.abc import Iterable
 from datetime import UTC, datetime
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,7 +131,8 @@ def upsert_labels(labels: DataFrame, changes: DataFrame, frame_count: int, now:
     stamp = (now or datetime.now(UTC)).isoformat()
     new = changes.select("position", "roi_id", F.when(ok, F.col("death_frame")).otherwise(_fail("death_frame is outside the movie", "int")).alias("death_frame"), F.lit(stamp).alias("labeled_at"), F.lit(1).alias("_n"))
     both = labels.select("position", "roi_id", "death_frame", "labeled_at", F.lit(0).alias("_n")).unionByName(new)
-    order = Window.partitionBy("position", "roi_id").orderBy(F.desc("_n"))
+    # of several changes of one key the latest death frame stands, and none before any
+    order = Window.partitionBy("position", "roi_id").orderBy(F.desc("_n"), F.desc("death_frame"))
     rows = both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_n")
     return rows.orderBy(F.concat("position", F.lit("/Roi"), F.col("roi_id").cast("string")))
 
@@ -154,9 +156,18 @@ def manifest_split(manifest: DataFrame, split: str) -> DataFrame:
     return manifest.select(F.explode("samples").alias("s")).where(F.col("s.split") == split).select("s.*")
 
 
-def to_json(value: object) -> str:
-    """Indented JSON in which NaN and infinity are errors."""
-    return json.dumps(value, indent=2, allow_nan=False)
+def json_rows(df: DataFrame, into: str = "json") -> DataFrame:
+    """One column with each row as JSON text; NaN and infinity, in arrays as well, are errors."""
+
+    def sound(name: str, kind: T.DataType) -> Column:
+        bad = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.when(F.coalesce(bad(F.col(name)), F.lit(False)), _fail("NaN and infinity are no JSON", kind.simpleString())).otherwise(F.col(name)).alias(name)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.DoubleType, T.FloatType)):
+            return F.when(F.coalesce(F.exists(name, bad), F.lit(False)), _fail("NaN and infinity are no JSON", kind.simpleString())).otherwise(F.col(name)).alias(name)
+        return F.col(name)
+
+    return df.select(F.to_json(F.struct(*(sound(f.name, f.dataType) for f in df.schema)), {"ignoreNullFields": "false"}).alias(into))
 
 
 def write_inference(df: DataFrame, path: str) -> None:
@@ -173,8 +184,21 @@ def read_inference(spark: SparkSession, path: str) -> DataFrame:
 SHEET_ROWS = 1_048_576
 
 
-def xlsx(df: DataFrame) -> bytes:
-    """One sheet with a header; finite numbers as numbers, nulls as no cell. Rows come to the driver one at a time and must fit a sheet."""
+def workbooks(df: DataFrame, by: str) -> DataFrame:
+    """(by, content): a workbook of one sheet with a header for each value of `by`, rows in order of their columns; made where the rows are, and rows of one value must fit a sheet. Finite numbers are numbers, nulls no cell."""
+    names = [c for c in df.columns if c != by]
+    sizes = df.groupBy(by).agg(F.count("*").alias("n"))
+    if sizes.where(F.col("n") >= SHEET_ROWS).limit(1).count():
+        raise ValueError("too many rows for a sheet")
+
+    def book(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([(c, "ascending") for c in names]) if table.num_rows else table
+        return pa.table({by: rows.column(by).slice(0, 1), "content": pa.array([_workbook(names, zip(*(rows.column(c).to_pylist() for c in names), strict=True))], pa.binary())})
+
+    return df.groupBy(by).applyInArrow(book, f"`{by}` {df.schema[by].dataType.simpleString()}, content binary")
+
+
+def _workbook(names: list[str], rows: Iterable[tuple]) -> bytes:
     cells = io.StringIO()
     cells.write('<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
 
@@ -191,10 +215,8 @@ def xlsx(df: DataFrame) -> bytes:
             pass
         return f'<c t="inlineStr"><is><t>{escape(str(value))}</t></is></c>'
 
-    cells.write("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>' for c in df.columns) + "</row>")
-    for k, row in enumerate(df.toLocalIterator()):
-        if k + 1 >= SHEET_ROWS:
-            raise ValueError("too many rows for a sheet")
+    cells.write("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>' for c in names) + "</row>")
+    for row in rows:
         cells.write("<row>" + "".join(map(cell, row)) + "</row>")
     cells.write("</sheetData></worksheet>")
     parts = {

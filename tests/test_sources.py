@@ -6,6 +6,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kineplate.operators import aggregates as A
 from kineplate.operators import scoring as G
@@ -86,20 +87,29 @@ def test_labels_and_writers(spark, tmp_path):
     B.write_csv(df.coalesce(1), f"{tmp_path}/out")
     text = next((tmp_path / "out").glob("*.csv")).read_text().splitlines()
     assert text[0] == "a,b,c,d,e" and text[1].startswith("1,2,<x>,true") and text[2].startswith("2,nan,")
-    sheet = zipfile.ZipFile(io.BytesIO(B.xlsx(df))).read("xl/worksheets/sheet1.xml").decode()
+    books = {r.k: bytes(r.content) for r in B.workbooks(df.withColumn("k", F.lit("one")), "k").collect()}
+    sheet = zipfile.ZipFile(io.BytesIO(books["one"])).read("xl/worksheets/sheet1.xml").decode()
     assert "<v>1</v>" in sheet and "&lt;x&gt;" in sheet
-    with pytest.raises(ValueError):
-        B.to_json({"x": float("nan")})
+    assert json.loads(B.json_rows(spark.createDataFrame([(1, None, [0.5])], "a int, b double, c array<double>")).first().json) == {"a": 1, "b": None, "c": [0.5]}
+    for bad in ([(float("nan"), None)], [(1.0, [float("inf")])]):
+        with pytest.raises(Exception, match="no JSON"):
+            B.json_rows(spark.createDataFrame(bad, "a double, c array<double>")).collect()
 
 
 def test_scoring(spark):
     assert list(map(len, G.batched(range(5), 2))) == [2, 2, 1]
-    with pytest.raises(G.Cancelled) as stopped:
-        seen = []
-        G.run_batches(range(5), 2, 5, lambda b: seen.extend(b) or b, cancelled=lambda: bool(seen))
-    assert (stopped.value.done, stopped.value.total) == (2, 5)
+    frames = spark.createDataFrame([(p, t) for p in (1, 2) for t in range(5)], "pos int, t int")
+    assert sorted(r.batch for r in G.batch_numbers(frames, ["pos"], 2).collect()) == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+    heard = []
+    assert G.run_cancellable(spark, lambda: frames.repartition(3, "t").count(), lambda *x: heard.append(x)) == 10 and heard[-1][0] <= heard[-1][1]
+    with pytest.raises(G.Cancelled):
+        G.run_cancellable(spark, lambda: 1 / 0, cancelled=lambda: True)
+    slow = spark.range(0, 10**13, 1, 2).selectExpr("sum(hash(id))")
+    calls = iter([False, False, True])
+    with pytest.raises(G.Cancelled):
+        G.run_cancellable(spark, slow.collect, cancelled=lambda: next(calls, True), poll=0.5)
     with pytest.raises(ValueError):
-        G.run_batches([1], 1, 1, lambda b: [])
+        G.as_logits(np.zeros((1, 2)), 2)
     assert G.as_logits(np.array([2.0, 0.0]), 1).shape == (1, 2) == G.as_logits(np.zeros((1, 2, 1, 1)), 1).shape
     images = spark.createDataFrame([("a", b"1"), ("b", b"1"), ("c", b"2")], "id string, content binary")
     cache = spark.createDataFrame([], "identity string, sha string, vector array<float>")

@@ -33,18 +33,19 @@ def test_blocks_give_the_same_neighbours(spark, monkeypatch):
     assert sorted(map(tuple, V.nearest(queries, refs).select("id", "ref_idx", "rank").collect())) == whole
 
 
-def test_svm_reaches_its_optimum():
+def test_svm_reaches_its_optimum(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 3))
     labels = ["a" if v > 0.2 else "b" for v in x[:, 0] + 0.5 * rng.standard_normal(60)]
-    model = V.LinearSVM.fit(x, labels)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in zip(labels, x)], "label string, vector array<double>")
+    model = V.LinearSVM.fit(rows.repartition(3))
     w = model.weights[0]
     xs, y = np.column_stack([x, np.ones(60)]), np.where(np.array(labels) == "b", 1.0, -1.0)
     cost = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum()))
     slack = np.maximum(1 - y * (xs @ w), 0)
     assert np.linalg.norm(w - 2 * (xs * (cost * y * slack)[:, None]).sum(0)) < 1e-6
     with pytest.raises(ValueError):
-        V.LinearSVM.fit(x, ["a"] * 60)
+        V.LinearSVM.fit(rows.where("label = 'a'"))
 
 
 def test_bad_vectors_are_errors(spark):
