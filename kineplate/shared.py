@@ -3,20 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def lasting(df: DataFrame) -> DataFrame:
-    """df written and read again, so what is built on it neither computes it anew nor is lost with an executor.
-
-    The folder is spark.checkpoint.dir; a temporary one is made only where none
-    is set and Spark runs in one process.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir; a temporary one is made only where none is set and Spark runs in one process."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and context.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kineplate-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """df written and read again, so what is built on it neither computes it anew nor is lost with an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def put_file(spark: SparkSession, path: str, content: bytes, modified: int | None = None) -> None:
+    """Writes a small file where all executors see it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(target, True)
+    out.write(bytearray(content))
+    out.close()
+    if modified is not None:
+        system.setTimes(target, modified, -1)

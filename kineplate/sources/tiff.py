@@ -118,7 +118,7 @@ def read_stacks(spark: SparkSession, workspace: str, rois: DataFrame, channels:
                 if len(stack.pages) != t_n * c_n * z_n:
                     raise ValueError(f"Pos{row['pos']}/Roi{row['roi']} has {len(stack.pages)} pages for {t_n} x {c_n} x {z_n}")
                 want_c = [check_channel(c, c_n) for c in channels] if channels is not None else range(c_n)
-                made = {n: [] for n in ("pos", "roi", "stack_t", "t", "channel", "z", "height", "width", "pixels")}
+                kinds = [pa.int32()] * 8 + [pa.list_(pa.float64())]
                 for f in frames if frames is not None else range(t_n):
                     for c in want_c:
                         for k in z if z is not None else range(z_n):
@@ -129,10 +129,9 @@ def read_stacks(spark: SparkSession, workspace: str, rois: DataFrame, channels:
                             if row["width"] is not None and (h, w) != (row["height"], row["width"]):
                                 raise ValueError(f"page {page} of Pos{row['pos']}/Roi{row['roi']} is {h} x {w}")
                             times = row["time_indices"]
-                            for name, x in zip(made, (row["pos"], row["roi"], f, times[f] if times else f, c, k, h, w, stack.read(page).ravel()), strict=True):
-                                made[name].append(x)
-                kinds = [pa.int32()] * 8 + [pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(made.values(), kinds, strict=True)], list(made))
+                            made = (row["pos"], row["roi"], f, times[f] if times else f, c, k, h, w, stack.read(page).ravel())
+                            # a plane at a time, so a worker holds the file and one plane of doubles
+                            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(made, kinds, strict=True)], ["pos", "roi", "stack_t", "t", "channel", "z", "height", "width", "pixels"])
 
     return rows.mapInArrow(run, PLANES)
 

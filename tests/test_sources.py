@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import zipfile
 
 import numpy as np
@@ -116,3 +117,22 @@ def test_scoring(spark):
     vectors, made = G.embed_with_cache(images, cache, lambda contents: [[float(c)] for c in contents], G.cache_key("m", "1", "p"))
     assert {r.id: r.vector for r in vectors.collect()} == {"a": [1.0], "b": [1.0], "c": [2.0]} and made.count() == 2
     assert G.embed_with_cache(images, made, None, G.cache_key("m", "1", "p"))[0].count() == 3
+
+
+def test_source_queries_match_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the driver's tables are not here")
+    con = duckdb.connect()
+    for name in ("nation", "region", "supplier", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    known, sql = entry.queries(), entry.oracle_sql()
+    for name in ("s2_index_scan", "s3_lenient_index", "s5_s7_stack_planes", "s8_s9_selected_plane", "e4_e5_frame_count", "s16_s17_traces", "s18_engagement_files", "s19_assay", "s24_shards", "s15_workbooks", "o5_newest_checkpoint"):
+        got = known[name](spark, data)
+        columns = sorted(got.columns)
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql[name]})").fetchall()
+        assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want)), name
