@@ -67,7 +67,7 @@ def s5_s7_stack_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.select("pos", "roi", "t", "channel", F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
-@query(f"WITH {N_SQL} SELECT pos, roi, 5 AS t, (6 * (roi + 110) + 15)::DOUBLE AS total, round(roi + 110 + 0.5, 6) AS background FROM n")
+@query(f"WITH {N_SQL} SELECT pos, roi, 5 AS t, (6 * (roi + 110) + 15)::DOUBLE AS total, (roi + 110.5)::DOUBLE AS background FROM n")
 def s8_s9_selected_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(spark, sf_dir)
     planes = tiff.read_stacks(spark, folder, index_of(spark, folder), channels=[1], frames=[1], z=[0])
@@ -98,7 +98,7 @@ def s16_s17_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read_traces(spark, folder).select("pos", "channel", "roi", "t", "corrected")
 
 
-@query(f"WITH {N_SQL} SELECT pos, roi, frames - 1 AS t, round((frames - 1) * 2.75, 4) AS minutes, roi % 4 AS engagements FROM n")
+@query(f"WITH {N_SQL} SELECT pos, roi, frames - 1 AS t, round(((frames - 1) * 2.75)::DOUBLE, 4) AS minutes, roi % 4 AS engagements FROM n")
 def s18_engagement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark)
     for pos, rois in nations(spark, sf_dir).items():
@@ -107,7 +107,7 @@ def s18_engagement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.read_engagement(spark, folder).select("pos", "roi", "t", "minutes", "engagements"), 4)
 
 
-@query("SELECT (row_number() OVER (ORDER BY r_regionkey) - 1)::INT AS sample_idx, r_name AS name, list_sort(list_distinct([r_regionkey::INT, r_regionkey::INT + 10, r_regionkey::INT + 11, r_regionkey::INT + 12])) AS positions, 0.5 AS interval_minutes FROM region")
+@query("SELECT (row_number() OVER (ORDER BY r_regionkey) - 1)::INT AS sample_idx, r_name AS name, list_sort(list_distinct([r_regionkey::INT, r_regionkey::INT + 10, r_regionkey::INT + 11, r_regionkey::INT + 12])) AS positions, 0.5::DOUBLE AS interval_minutes FROM region")
 def s19_assay(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark)
     names = [(int(r.r_regionkey), r.r_name) for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
