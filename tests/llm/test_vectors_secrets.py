@@ -116,3 +116,52 @@ def test_layers_are_neither_dropped_nor_cut():
     for k, text in enumerate(texts):
         assert "assign" in [g[0] for g in S.find(text)], k
     assert "assign" in [g[0] for g in S.find(coded(gzip.compress(b" " * (65 << 20) + inner)))]
+
+
+def decoded_once(text):
+    """Spans that one step of decoding shows, by loops: percent codes and escapes in the whole text, and base64 runs at each alignment."""
+    found = set()
+    for code in (r"%([0-9A-Fa-f]{2})", r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})"):
+        out, places, at = "", [], 0
+        while at < len(text):
+            m = re.compile(code).match(text, at)
+            out += chr(int(next(filter(None, m.groups())), 16)) if m else text[at]
+            places.append((at, m.end() if m else at + 1))
+            at = places[-1][1]
+        found |= {(k, places[a][0], places[b - 1][1]) for k, a, b in base(out)}
+    for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text):
+        for shift in range(4):
+            run = m[0][shift:].replace("-", "+").replace("_", "/")
+            run = run[: len(run) - (len(run) % 4 == 1)]
+            data = base64.b64decode(run + "=" * (-len(run) % 4)).decode("latin-1")
+            first = m.start() + shift
+            found |= {(k, first + a * 4 // 3, min(first - (-b * 4 // 3), m.end())) for k, a, b in base(data)}
+    return found | set(base(text))
+
+
+def test_decoded_spans_match_loops():
+    import random
+
+    rng = random.Random(8)
+    plain = ["token=abcdefg", "password: hunter22", "AKIA" + "Q" * 18, "0123456789abcdef" * 2, "nothing here", "api_key = 'xyzxyz1'"]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            secret = "pad " * rng.randint(0, 2) + rng.choice(plain) + " tail" * rng.randint(0, 2)
+            coded = rng.choice([secret, "".join(f"%{ord(c):02X}" if rng.random() < 0.4 else c for c in secret), "".join(f"\\u{ord(c):04x}" if rng.random() < 0.3 else c for c in secret), "ab/-"[: rng.randint(0, 4)] + base64.b64encode(secret.encode()).decode()])
+            parts.append(coded)
+        text = rng.choice([" ", "\n", " é "]).join(parts)
+        got = {s[:3] for s in S.find(text)}
+        want = decoded_once(text)
+        assert want <= got, (text, want - got)
+        assert all(layer > 1 or (k, a, b) in want for k, a, b, layer in S.find(text) if "\n" not in text), text
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for code in ("\\u0070assword=abcdefg", "%70assword=abcdefg"):
+        text = "x" * 1_000_000 + code
+        assert ("assign", 1_000_000, len(text)) in [s[:3] for s in S.find(text)]
+    assert time.perf_counter() - began < 30
