@@ -207,7 +207,7 @@ def _vote_sums(model: LabelModel, width: int) -> Callable[[Block], np.ndarray]:
 
 
 def _together(blocks: list[Block], fires: np.ndarray, sums: np.ndarray, width: int) -> np.ndarray:
-    """Per voter the sum of its correlations above 0.25 with others within the classes. Voters that never fire together have none."""
+    """Per voter the sum of its correlations above 0.25 with others within the classes. Voters that never fire together have none, and the label, the last one, is nobody's copy."""
     q, own, (q1, n, q2) = sums[:width], sums[width : 2 * width], sums[2 * width :]
     f0, d = fires[0], fires[1] - fires[0]
 
@@ -236,7 +236,7 @@ def _together(blocks: list[Block], fires: np.ndarray, sums: np.ndarray, width: i
             lo = hi
     i, j = np.divmod(keys, width)
     corr = covariance(i, j, counts) / (spread[i] * spread[j])
-    high = corr > 0.25
+    high = (corr > 0.25) & (j < width - 1)
     return np.bincount(i[high], corr[high], width) + np.bincount(j[high], corr[high], width)
 
 

@@ -149,7 +149,7 @@ def brute_label_model(votes, width, rounds=25):
                 s = 0.0
                 for j in range(width):
                     spread = math.sqrt(var[i] * var[j])
-                    if i != j and together[i][j] and min(own[i], own[j]) > 0.25 * spread and cov[i][j] / spread > 0.25:
+                    if i != j and width - 1 not in (i, j) and together[i][j] and min(own[i], own[j]) > 0.25 * spread and cov[i][j] / spread > 0.25:
                         s += cov[i][j] / spread
                 trust[i] = 1 / (1 + s)
     return p

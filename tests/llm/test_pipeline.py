@@ -43,3 +43,19 @@ def test_stages(spark, tmp_path):
     out = C.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").collect()} == set(kept["packing"])
     assert C.ORACLE_SQL is None and 4 <= len(C.STAGES) <= 5
+
+
+def test_odd_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rows = [(k, f"own{k} words of text number {k} with more\nlast {k}") for k in range(30)] + [(None, "no id"), (40, None), (41, ""), (5, "own5 words of text number 5 with more\nlast 5")]
+    spark.createDataFrame([(k, 1, k % 5 == 0) for k in range(30)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "int(toxic) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ("score", "held_out", "n_lines", "kept_text", "n_dropped", "gone", "row", "node", "component_id", "kept", "times", "item_id", "gone_id", "label_id")
+    docs = documents(spark, rows).selectExpr("*", *(f"7 AS {c}" for c in names))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[c] == 7 for r in got for c in names) and {None, 40, 41} <= {r.doc_id for r in got}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
