@@ -15,6 +15,14 @@ near_dedup   of each group at 0.8 of 5-word shingles the smallest id stays; of
 decontaminate documents that hold 0.8 or more of a benchmark item's 5-word
              shingles go.
 packing      pieces of sequences of at most 2048 tokens, with their ids.
+
+All stages take null and empty texts, which are never toxic, near duplicates or
+contaminated and stay as they are (one end token in packing); very long texts,
+which are read whole; and empty tables, which give empty results. Rows with a
+null id train nothing, link with nothing and stay. Repeated rows: ties go to the
+smallest id, and of equal rows with one id near_dedup keeps one; rows with one
+id and different texts stay or go by their own texts. Columns beyond those of
+documents stay, also where they have names that a stage uses itself.
 """
 
 from __future__ import annotations
