@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,3 +40,32 @@ def put_file(spark: SparkSession, path: str, content: bytes, modified: int | Non
     out.close()
     if modified is not None:
         system.setTimes(target, modified, -1)
+
+
+def numbered(df: DataFrame, order: list[Column], within: list[str] | None = None, name: str = "number", save: Callable[[DataFrame], DataFrame] = lasting) -> DataFrame:
+    """df with the place (from 0) of every row in the given order, counted anew in each group of `within`, which the order must begin with.
+
+    Rows are dealt out by ranges of the order and sorted there; a row's place is
+    its place in the partition and the sum of what earlier partitions hold, so
+    no task sees a whole group. Only one number for each partition (and group
+    that it holds) is added up. Rows that are equal by the order should be told
+    apart by a last key where they may be many. save writes the sorted rows.
+    """
+    within, own = within or [], df.columns
+    at, part, first, many, before = (f"{x}_{uuid.uuid4().hex}" for x in ("at", "part", "first", "many", "before"))
+    rows = save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    held = rows.groupBy(part, *within).agg(F.min(at).alias(first), F.count("*").alias(many))
+    if within:
+        earlier = Window.partitionBy(*within).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        held = held.select(F.col(part).alias(before), *(F.col(c).alias(f"{c}_{before}") for c in within), (F.coalesce(F.sum(many).over(earlier), F.lit(0)) - F.col(first)).alias(many))
+    else:  # one row for each partition
+        starts, total = [], 0
+        for r in sorted(held.collect(), key=lambda r: r[part]):
+            starts.append((r[part], total - r[first]))
+            total += r[many]
+        held = F.broadcast(df.sparkSession.createDataFrame(starts, f"`{before}` long, `{many}` long"))
+    same = rows[part] == held[before]
+    for c in within:
+        same &= rows[c].eqNullSafe(held[f"{c}_{before}"])
+    return rows.join(held, same).select(*own, (F.col(at) + F.col(many)).alias(name))
