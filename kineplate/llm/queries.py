@@ -122,6 +122,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op13_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), percent=150, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -135,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_embedding_near_dedup,
         op10_secret_scan,
+        op13_pareto_mixing,
     )
 }
 
@@ -160,4 +168,39 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM f GROUP BY doc_id""",
+    "op13_pareto_mixing": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][1 + (row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % 3] AS weight
+            FROM d GROUP BY source),
+        every AS (SELECT sum(source_size)::BIGINT AS words FROM s),
+        levels(level, last) AS (
+            SELECT 0::DOUBLE, -1::DOUBLE
+            UNION ALL
+            SELECT (SELECT (150 * any_value(words) / 100 - coalesce(sum(2 * source_size) FILTER (weight * lv.level > 2 * source_size), 0)::DOUBLE) / sum(weight) FILTER (weight * lv.level <= 2 * source_size)::DOUBLE FROM s, every), lv.level
+            FROM levels lv WHERE lv.level <> lv.last),
+        t AS (
+            SELECT source, source_size, CASE WHEN weight * level > 2 * source_size THEN (2 * source_size)::DOUBLE ELSE weight * level END AS target
+            FROM s, (SELECT max(level) AS level FROM levels)),
+        c AS (
+            SELECT d.doc_id, d.source, d.size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0) ELSE 0.0 END AS copies,
+                (('0x' || substr(sha256('0:' || coalesce(d.doc_id::VARCHAR, '-') || ':' || d.size), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS u
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        p AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p FROM c),
+        q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
+        r AS (
+            SELECT *, floor(odds / (1 + odds) * 4503599627370496)::BIGINT AS rank, target - sum(whole * size) OVER (PARTITION BY source)::DOUBLE AS need,
+                row_number() OVER (PARTITION BY source ORDER BY floor(odds / (1 + odds) * 4503599627370496), doc_id NULLS FIRST, size) AS place FROM q),
+        w AS (SELECT *, sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY place) AS words FROM r),
+        e AS (
+            SELECT source AS of, min(place) AS end_place, arg_min(size, place) AS end_size, any_value(need) - coalesce(arg_min(words - size, place), 0)::DOUBLE AS rest
+            FROM w WHERE rank IS NOT NULL AND words > need GROUP BY source),
+        x AS (SELECT w.*, e.*, CASE WHEN place >= end_place THEN abs(size - rest) ELSE abs(rest - end_size + size) END AS off FROM w LEFT JOIN e ON w.source IS NOT DISTINCT FROM e.of),
+        y AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN rank IS NOT NULL AND off < rest THEN off END NULLS LAST, place < end_place, place) = 1 AND rank IS NOT NULL AND coalesce(off < rest, FALSE) AS best FROM x),
+        z AS (SELECT *, bool_or(best AND place < end_place) OVER (PARTITION BY source) AS swap FROM y)
+        SELECT doc_id, size, source_size, target, source, whole + extra AS copies, (whole + extra) * size AS taken
+        FROM (
+            SELECT *, CASE WHEN rank IS NULL THEN 0 ELSE (end_place IS NULL OR place < end_place)::INT + CASE WHEN best THEN CASE WHEN swap THEN -1 ELSE 1 END ELSE 0 END
+                + (coalesce(swap, FALSE) AND place = end_place)::INT END::BIGINT AS extra FROM z)""",
 }
