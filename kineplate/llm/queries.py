@@ -122,6 +122,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import hamerly_clusters
+
+    found = hamerly_clusters(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+    told = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(told.cast("binary"), 256).alias("centroid_sha256"))
+
+
 def op13_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -142,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_embedding_near_dedup,
         op10_secret_scan,
+        op12_centroid_clusters,
         op13_pareto_mixing,
     )
 }
@@ -149,7 +158,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_FOLD.format('coalesce(text, chr(32))')}, '[^\\x20\\x09-\\x0D]+')"
 
+
+
+def _rounds(last: int) -> str:
+    """The assignments and centroids of op12's rounds, one after the other."""
+    made = []
+    for r in range(last + 1):
+        made.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT id, arg_min(k, (d, k)) AS k, min(d) AS d
+            FROM (SELECT id, k, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r}) GROUP BY id)""")
+        if r < last:
+            made.append(f"""
+        c{r + 1} AS MATERIALIZED (
+            SELECT c{r}.k, coalesce(m.c, c{r}.c) AS c
+            FROM c{r} LEFT JOIN (
+                SELECT k, list(((s - ((s % n) + n) % n) // n) ORDER BY pos) AS c
+                FROM (SELECT k, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(q) AS x, unnest(range(64)) AS pos FROM v JOIN a{r} USING (id)) GROUP BY k, pos)
+                GROUP BY k) m USING (k))""")
+    return ",".join(made)
+
+
 ORACLES: dict[str, str] = {
+    "op12_centroid_clusters": f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, q) - 1 AS k, q AS c
+            FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT 8)),{_rounds(10)},
+        f AS (SELECT k, sha256(array_to_string(c, ',')) AS sha FROM c10)
+        SELECT vec_id, k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha AS centroid_sha256
+        FROM v JOIN a10 USING (id) JOIN f USING (k)""",
     "op5_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
