@@ -122,6 +122,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import LOWER, UPPER
+    from .manifest import folded, manifest, proof_hash, row_hash
+    from .workspace import Workspace
+
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    told = F.when(tampered, row_hash(*(F.translate("text", UPPER, LOWER) if f == "text" else F.col(f) for f in fields)))
+    with Workspace(spark, "manifest") as ws:
+        made = manifest(ws, read_table(spark, sf_dir, "documents"), fields, carry={"told": told})
+        out = made.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("proof")).alias("proof_sha256"), folded(F.coalesce("told", "leaf"), F.col("proof")).alias("folded_root"))
+        return ws.keep(out.withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .clustering import hamerly_clusters
 
@@ -150,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_embedding_near_dedup,
         op10_secret_scan,
+        op11_merkle_manifest,
         op12_centroid_clusters,
         op13_pareto_mixing,
     )
@@ -179,7 +194,50 @@ def _rounds(last: int) -> str:
     return ",".join(made)
 
 
+def _told(text: str) -> str:
+    """A row's leaf with the given text."""
+    fields = (*(f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")), text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _siblings(table: str, group: str) -> str:
+    """What stands left and right of each node of a table that isn't its tree's last."""
+    run = f"OVER (PARTITION BY {group}lvl, pos // 16 ORDER BY pos ROWS BETWEEN"
+    sides = f"coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+    return f"SELECT {group}lvl, pos, {sides} FROM {table} QUALIFY count(*) OVER (PARTITION BY {group}lvl) > 1"
+
+
+def _climb(table: str, group: str) -> str:
+    """The next level of each tree that has several nodes."""
+    return f"SELECT {group}lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY {group}lvl) AS n FROM {table}) WHERE n > 1 GROUP BY {group}lvl, pos // 16"
+
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT *, row_number() OVER () AS id, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes FROM documents),
+        c AS (
+            SELECT *, coalesce(xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 5 = 0, FALSE) AS tampered
+            FROM d),
+        l AS MATERIALIZED (
+            SELECT id, doc_id, source, {_told("text")} AS leaf, CASE WHEN tampered THEN {_told(_FOLD.format("text"))} ELSE {_told("text")} END AS told FROM c),
+        p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+        t(source, lvl, pos, h) AS (SELECT source, 0, pos, leaf FROM p UNION ALL {_climb("t", "source, ")}),
+        s AS MATERIALIZED (SELECT source, arg_max(h, lvl) AS subroot, row_number() OVER (ORDER BY source COLLATE "binary" NULLS FIRST) - 1 AS pos FROM t GROUP BY source),
+        u(lvl, pos, h) AS (SELECT 0, pos, subroot FROM s UNION ALL {_climb("u", "")}),
+        every AS (SELECT arg_max(h, lvl) AS root FROM u),
+        low AS MATERIALIZED ({_siblings("t", "source, ")}),
+        high AS MATERIALIZED ({_siblings("u", "")}),
+        path AS (
+            SELECT p.id, low.lvl AS step, l, r FROM p JOIN low ON p.source IS NOT DISTINCT FROM low.source AND p.pos >> (4 * low.lvl) = low.pos
+            UNION ALL
+            SELECT p.id, 1000 + high.lvl, l, r FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN high ON s.pos >> (4 * high.lvl) = high.pos),
+        steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step) AS n FROM path),
+        f(id, n, h) AS (SELECT id, 0, told FROM p UNION ALL SELECT f.id, f.n + 1, sha256(l || h || r) FROM f JOIN steps ON steps.id = f.id AND steps.n = f.n + 1),
+        ended AS (SELECT id, arg_max(h, n) AS folded_root FROM f GROUP BY id),
+        proofs AS (SELECT id, sha256(string_agg(l || r, '' ORDER BY n)) AS sha FROM steps GROUP BY id)
+        SELECT doc_id, leaf, subroot, root, coalesce(sha, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source JOIN ended USING (id) LEFT JOIN proofs USING (id), every""",
     "op12_centroid_clusters": f"""
         WITH v AS MATERIALIZED (
             SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q
