@@ -13,7 +13,7 @@ from ..operators import joins as J
 from ..operators import scoring as G
 from ..shared import fresh_folder, put_file
 from ..sources import tables as B
-from ..sources import tiff
+from ..sources import stack_source, tiff
 from .queries import query, rounded, table
 
 #: Regions are positions and their nations the ROIs of these; the number of frames follows the region.
@@ -63,7 +63,7 @@ def s3_lenient_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {N_SQL}, p AS (SELECT n.*, unnest(range(frames)) AS f, c FROM n, (SELECT unnest([0, 1]) AS c)) SELECT pos, roi, (f * 5)::INT AS t, c::INT AS channel, (6 * (roi + 10 * f + 100 * c) + 15)::DOUBLE AS total FROM p")
 def s5_s7_stack_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = workspace(spark, sf_dir)
-    planes = tiff.read_stacks(spark, folder, index_of(spark, folder))
+    planes = stack_source.planes(spark, folder)
     return planes.select("pos", "roi", "t", "channel", F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
@@ -75,6 +75,30 @@ def s8_s9_selected_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("pos", "roi", "t", F.col("sum").alias("total"), "background"))
 
 
+#: Pixels of the stacks above.
+PIXELS_SQL = f"{N_SQL}, px AS (SELECT n.*, f, c, i, roi + 10 * f + 100 * c + i AS v FROM n, (SELECT unnest(range(6)) AS f), (SELECT unnest([0, 1]) AS c), (SELECT unnest(range(6)) AS i) WHERE f < frames)"
+
+
+@query(f"""WITH {PIXELS_SQL}, m AS (SELECT * FROM px WHERE c = 1), q AS (SELECT pos, roi, f, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM m GROUP BY pos, roi, f)
+    SELECT m.pos, m.roi, (5 * m.f)::INT AS frame_id, sum((i + 1) * floor(least(greatest((v - own.lo) / greatest(own.hi - own.lo, 1e-6), 0), 1) * 255))::BIGINT AS own,
+        sum((i + 1) * floor(least(greatest((v - first.lo) / greatest(first.hi - first.lo, 1e-6), 0), 1) * 255))::BIGINT AS baseline
+    FROM m JOIN q own USING (pos, roi, f) JOIN q first ON first.pos = m.pos AND first.roi = m.roi AND first.f = 0 WHERE m.f % 2 = 0 GROUP BY m.pos, m.roi, m.f""")
+def s12_movie_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = workspace(spark, sf_dir)
+    told = F.aggregate(F.transform("gray", lambda g, i: (g * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    own, baseline = (stack_source.movie_frames(spark, folder, channel=1, stride=2, contrast=c).select("pos", "roi", "frame_id", told.alias(name)) for c, name in (("frame", "own"), ("baseline", "baseline")))
+    return own.join(baseline, ["pos", "roi", "frame_id"])
+
+
+@query(f"WITH {PIXELS_SQL} SELECT 'Pos' || pos AS position, roi AS roi_id, f::INT AS frame, sum(v)::DOUBLE AS total FROM px WHERE c = 1 AND f < 2 GROUP BY pos, roi, f")
+def s10_s11_two_channel_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = workspace(spark, sf_dir)
+    found = tiff.discover(spark, f"{folder}/roi")
+    pages = found.join(spark.createDataFrame([(f, tiff.two_channel_page(f, 1, 4)) for f in range(2)], "frame int, page int"))
+    planes = stack_source.planes(spark, folder).select("pos", "roi", (F.col("stack_t") * 2 + F.col("channel")).alias("page"), F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return pages.join(planes, (F.col("position") == F.concat(F.lit("Pos"), "pos")) & (pages["roi_id"] == planes["roi"]) & (pages["page"] == planes["page"])).select("position", "roi_id", "frame", "total")
+
+
 @query(f"WITH {N_SQL} SELECT sum(frames)::BIGINT AS frames FROM n WHERE pos IN (1, 3)")
 def e4_e5_frame_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([(1,), (3,), (99,)], "pos int")  # the last one has no index and is left out
