@@ -114,7 +114,7 @@ class Centroids:
     def __init__(self, points: list[list[int]], before: list[list[int]] | None = None):
         self.points, k = points, len(points)
         self.big = max((abs(x) for p in points for x in p), default=0)
-        apart = np.array([[_length(p, q) for q in points] for p in points]) * DOWN
+        apart = np.array([[_length(p, q) for q in points] for p in points]).reshape(k, k) * DOWN
         np.fill_diagonal(apart, np.inf)
         self.half = apart.min(1) / 2 * DOWN if k else np.zeros(0)
         drift = np.array([_length(p, q) for p, q in zip(points, before or points, strict=True)]) * UP

@@ -48,7 +48,6 @@ from .workspace import SLIM, Workspace
 #: Siblings of a run, levels of a block, nodes that DuckDB gets at once, and rows of an Arrow batch with proofs.
 FAN, DEPTH, CHUNK, ROWS = 16, 3, 1 << 14, 2048
 BITS = FAN.bit_length() - 1
-BLOCK = FAN**DEPTH
 PROOF = "array<struct<left:string,right:string>>"
 _PROOF = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
 
@@ -69,9 +68,9 @@ def proof_hash(proof: Column) -> Column:
     return F.sha2(F.array_join(F.transform(proof, lambda s: F.concat(s["left"], s["right"])), "").cast("binary"), 256)
 
 
-def levels(nodes: int, alone: bool) -> int:
-    """Levels from a block's nodes to its root: all DEPTH, unless the block is its group's only one and ends earlier."""
-    return next(n for n in range(DEPTH + 1) if FAN**n >= nodes) if alone else DEPTH
+def levels(nodes: int, alone: bool, depth: int) -> int:
+    """Levels from a block's nodes to its root: all of them, unless the block is its group's only one and ends earlier."""
+    return next(n for n in range(depth + 1) if FAN**n >= nodes) if alone else depth
 
 
 class Blocks:
@@ -133,40 +132,40 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield table, numbers(table)
 
 
-def _load(db: duckdb.DuckDBPyConnection, table: pa.Table, of: np.ndarray) -> Blocks:
+def _load(db: duckdb.DuckDBPyConnection, table: pa.Table, of: np.ndarray, depth: int) -> Blocks:
     pos = table.column("pos").to_numpy()
     nodes = np.flatnonzero(pos >= 0)
     counts = np.bincount(of[nodes], minlength=of[-1] + 1)
     first = np.searchsorted(of, np.arange(of[-1] + 1))
-    alone = (table.column("block").to_numpy()[first] == 0) & (counts < BLOCK)
-    depth = np.array([levels(int(n), bool(a)) for n, a in zip(counts, alone, strict=True)])
-    part = pa.table({"b": pa.array(of[nodes]), "pos": pa.array(pos[nodes] % BLOCK), "h": table.column("node").take(nodes), "i": pa.array(nodes)})
-    return Blocks(db, part, depth)
+    alone = (table.column("block").to_numpy()[first] == 0) & (counts < FAN**depth)
+    tall = np.array([levels(int(n), bool(a), depth) for n, a in zip(counts, alone, strict=True)])
+    part = pa.table({"b": pa.array(of[nodes]), "pos": pa.array(pos[nodes] % FAN**depth), "h": table.column("node").take(nodes), "i": pa.array(nodes)})
+    return Blocks(db, part, tall)
 
 
-def _dealt(nodes: DataFrame, *more: DataFrame) -> DataFrame:
+def _dealt(depth: int, nodes: DataFrame, *more: DataFrame) -> DataFrame:
     """Nodes with their blocks, a block's rows one after the other in one partition."""
-    rows = nodes.withColumn("block", F.shiftright("pos", BITS * DEPTH))
+    rows = nodes.withColumn("block", F.shiftright("pos", BITS * depth))
     for other in more:
         rows = rows.unionByName(other, allowMissingColumns=True)
     return rows.repartition("group", "block").sortWithinPartitions("group", "block", "pos")
 
 
-def block_roots(nodes: DataFrame) -> DataFrame:
+def block_roots(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(group, pos, node): the root of every block of nodes(group, pos, node), numbered within its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         db = _engine()
         for table, of in _chunks(batches):
             first = np.searchsorted(of, np.arange(of[-1] + 1))
-            roots = pa.array(_load(db, table, of).roots(), pa.string())
+            roots = pa.array(_load(db, table, of, depth).roots(), pa.string())
             made = [table.column(c).take(first).combine_chunks() for c in ("group", "block")]
             yield pa.RecordBatch.from_arrays([*made, roots], ["group", "pos", "node"])
 
-    return _dealt(nodes.select("group", "pos", "node")).mapInArrow(run, "group string, pos long, node string")
+    return _dealt(depth, nodes.select("group", "pos", "node")).mapInArrow(run, "group string, pos long, node string")
 
 
-def node_proofs(nodes: DataFrame, outer: DataFrame) -> DataFrame:
+def node_proofs(nodes: DataFrame, outer: DataFrame, depth: int = DEPTH) -> DataFrame:
     """nodes with `proof` and `subroot`, as every block's outer(group, block, proof, node) has them: node is the root of its group, and the proof goes on above the block."""
     schema = StructType([*nodes.schema.fields, *StructType.fromDDL(f"subroot string, proof {PROOF}").fields])
     own = nodes.columns
@@ -177,23 +176,23 @@ def node_proofs(nodes: DataFrame, outer: DataFrame) -> DataFrame:
             pos = table.column("pos").to_numpy()
             above, below = np.flatnonzero(pos < 0), np.flatnonzero(pos >= 0)  # one row above for each block
             outers = pa.table({"b": pa.array(of[above]), "proof": table.column("proof").take(above)})
-            proofs = _load(db, table, of).proofs(outers).cast(_PROOF)
+            proofs = _load(db, table, of, depth).proofs(outers).cast(_PROOF)
             subroots = table.column("node").take(above[of[below]])
             rows = table.take(below).select(own).append_column("subroot", subroots).append_column("proof", proofs)
             for at in range(0, rows.num_rows, ROWS):
                 yield from rows.slice(at, ROWS).combine_chunks().to_batches()
 
     # a block's outer proof comes before its nodes
-    return _dealt(nodes, outer.withColumn("pos", F.lit(-1).cast("long"))).mapInArrow(run, schema)
+    return _dealt(depth, nodes, outer.withColumn("pos", F.lit(-1).cast("long"))).mapInArrow(run, schema)
 
 
 class Forest:
     """The trees over nodes(group, pos, node, ...), one for each group, as tables of nodes of ever fewer blocks."""
 
-    def __init__(self, ws: Workspace, nodes: DataFrame, name: str):
-        self.ws, self.name, self.steps, ended = ws, name, [nodes], []
+    def __init__(self, ws: Workspace, nodes: DataFrame, name: str, depth: int = DEPTH):
+        self.ws, self.name, self.depth, self.steps, ended = ws, name, depth, [nodes], []
         while True:
-            roots = ws.table(block_roots(self.steps[-1]), f"{name}-roots-{len(self.steps)}", SLIM)
+            roots = ws.table(block_roots(self.steps[-1], depth), f"{name}-roots-{len(self.steps)}", SLIM)
             several = roots.where("pos > 0").select(F.col("group").alias("of")).distinct()
             same = roots["group"].eqNullSafe(several["of"])
             ended.append(roots.join(several, same, "left_anti").select("group", F.col("node").alias("root"), F.lit(len(self.steps) - 1).alias("step")))
@@ -211,12 +210,12 @@ class Forest:
             outer = ends.where(F.col("step") == step).drop("step")
             if inner is not None:
                 outer = outer.unionByName(inner.select("group", F.col("pos").alias("block"), "proof", F.col("subroot").alias("node")))
-            inner = node_proofs(self.steps[step], outer)
+            inner = node_proofs(self.steps[step], outer, self.depth)
             inner = self.ws.table(inner, f"{self.name}-proofs-{step}") if step else inner
         return inner
 
 
-def manifest(ws: Workspace, docs: DataFrame, fields: tuple[str, ...], key: str = "doc_id", group: str = "source", carry: dict[str, Column] | None = None) -> DataFrame:
+def manifest(ws: Workspace, docs: DataFrame, fields: tuple[str, ...], key: str = "doc_id", group: str = "source", carry: dict[str, Column] | None = None, depth: int = DEPTH) -> DataFrame:
     """(key, group, leaf, subroot, root, proof) for every row of docs, and what `carry` names beside it; reads tables of ws.
 
     folded(leaf, proof) gives the root for a row that is as it was.
@@ -229,10 +228,10 @@ def manifest(ws: Workspace, docs: DataFrame, fields: tuple[str, ...], key: str =
     placed = ws.table(numbered(leaves, order, ["group"], "pos", lambda df: ws.table(df, "sorted")).drop("row"), "placed")
     ws.drop("leaves")
     ws.drop("sorted")
-    trees = Forest(ws, placed, "rows")
+    trees = Forest(ws, placed, "rows", depth)
     groups = numbered(trees.roots, [F.col("group")], None, "pos", lambda df: ws.table(df, "groups-sorted", SLIM))
     groups = ws.table(groups.select(F.lit("").alias("group"), "pos", F.col("root").alias("node"), F.col("group").alias("of")), "groups", SLIM)
-    top = Forest(ws, groups, "groups-tree")
+    top = Forest(ws, groups, "groups-tree", depth)
     root = [r.root for r in top.roots.collect()]  # one, or none of an empty table
     start = docs.sparkSession.createDataFrame([("", [])], f"group string, proof {PROOF}")
     above = ws.table(top.proofs(start).select(F.col("of").alias("group"), "proof"), "above", SLIM)

@@ -34,7 +34,7 @@ the weight aren't read. Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import numbered
@@ -89,6 +89,11 @@ def _factors(ws: Workspace, units: DataFrame, sources: DataFrame, most: int) ->
         level = ws.table(level.select("source", "source_size", "target", F.when(F.col("rest") > 0, risen).otherwise(F.col("factor")).alias("factor")), f"factor-{step}", SLIM)
 
 
+def _unit() -> Column:
+    """What orders units within a source."""
+    return F.struct("rank", "doc_id", "size")
+
+
 def _ends(ws: Workspace, units: DataFrame) -> DataFrame:
     """(of, end, part, rest): where the sample of each source ends: the first unit that is not drawn whole, how many of its rows are drawn, and the words then missing. Sources whose drawn units all fit have no row."""
     words = F.col("size") * F.col("rows")
@@ -108,11 +113,7 @@ def _ends(ws: Workspace, units: DataFrame) -> DataFrame:
     place = Window.partitionBy("of").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size")
     inside = inside.withColumn("before", F.coalesce(F.sum(words).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("before <= need and need < before + size * rows")
     part = F.floor((F.col("need") - F.col("before")) / F.col("size"))
-    return inside.select("of", UNIT.alias("end"), part.alias("part"), (F.col("need") - F.col("before") - part * F.col("size")).alias("rest"))
-
-
-#: What orders units within a source.
-UNIT = F.struct("rank", "doc_id", "size")
+    return inside.select("of", _unit().alias("end"), part.alias("part"), (F.col("need") - F.col("before") - part * F.col("size")).alias("rest"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 0, weight: str | None = None) -> DataFrame:
@@ -140,13 +141,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent:
         units = ws.table(expected.select("doc_id", "source", "size", "rows", "source_size", "target", "whole", "rank"), "units")
         ends = ws.table(_ends(ws, units), "ends", SLIM)
         ended = units.join(ends, units["source"].eqNullSafe(ends["of"]), "left")
-        after = UNIT >= F.col("end")
+        after = _unit() >= F.col("end")
         off = F.abs(F.when(after, F.col("size") - F.col("rest")).otherwise(F.col("rest") - F.col("end.size") + F.col("size")))
-        best = ended.where("rank is not null").where(off < F.col("rest")).groupBy("of").agg(F.min(F.struct(off.alias("off"), (~after).alias("swap"), UNIT.alias("unit"))).alias("best"))
+        best = ended.where("rank is not null").where(off < F.col("rest")).groupBy("of").agg(F.min(F.struct(off.alias("off"), (~after).alias("swap"), _unit().alias("unit"))).alias("best"))
         best = ws.table(best.select(F.col("of").alias("best_of"), "best.swap", "best.unit"), "best", SLIM)
         ended = ended.join(best, units["source"].eqNullSafe(best["best_of"]), "left")
-        drawn = F.when(F.col("end").isNull() | (UNIT < F.col("end")), F.col("rows")).when(UNIT == F.col("end"), F.col("part")).otherwise(0)
-        drawn += F.when(UNIT == F.col("unit"), F.when(F.col("swap"), -1).otherwise(1)).otherwise(0) + F.when(F.col("swap") & (UNIT == F.col("end")), 1).otherwise(0)
+        drawn = F.when(F.col("end").isNull() | (_unit() < F.col("end")), F.col("rows")).when(_unit() == F.col("end"), F.col("part")).otherwise(0)
+        drawn += F.when(_unit() == F.col("unit"), F.when(F.col("swap"), -1).otherwise(1)).otherwise(0) + F.when(F.col("swap") & (_unit() == F.col("end")), 1).otherwise(0)
         drawn = F.when(F.col("rank").isNull(), 0).otherwise(drawn)
         each = ended.select("doc_id", "source", "size", "source_size", "target", "whole", drawn.alias("drawn"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))
         copies = (F.col("whole") + (F.col("row") <= F.col("drawn")).cast("long")).alias("copies")
