@@ -6,11 +6,16 @@ in both. Here a death frame is the first dead frame.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import DIFF_MAD, finite, quantile
+from ..shared import lasting
+from .running import each_series, medians_before, squares_before
+from .selection import exact_quantiles
 
 KEY = ("sample_idx", "pos", "roi")
 #: Fixed values of the caller.
@@ -31,11 +36,6 @@ def diff_mad(diff: str = "d") -> Column:
     return quantile(F.abs(F.col(diff)), 0.5) / DIFF_MAD
 
 
-def segment_sse(v: str, frame: Window) -> Column:
-    """Squared deviations from the mean of a window frame."""
-    return F.coalesce(F.var_pop(v).over(frame) * F.count(v).over(frame), F.lit(0.0))
-
-
 def _numbered(series: DataFrame) -> DataFrame:
     by_t = Window.partitionBy(*KEY).orderBy("t")
     return series.withColumn("rn", F.row_number().over(by_t)).withColumn("d", F.abs(F.col("v") - F.lag("v").over(by_t)))
@@ -54,42 +54,57 @@ def roi_stats(series: DataFrame) -> DataFrame:
 
 
 def calibration(stats: DataFrame) -> DataFrame:
-    """One row (base, noise, min_step, series) pooled over the workspace; empty when there is no series."""
-    base = quantile("early", 0.25)
-    noisy = F.count(F.when(F.col("sigma") > 1e-9, 1)) > 0
-    pooled = stats.agg(base.alias("base"), F.when(noisy, quantile(F.when(F.col("sigma") > 1e-9, F.col("sigma")), 0.5)).alias("typical"), F.count("*").alias("series")).where("series > 0")
-    noise = F.coalesce("typical", F.greatest(F.abs("base") * 0.05, F.lit(1.0)))
-    pooled = pooled.select("base", noise.alias("noise"), "series")
-    return pooled.withColumn("min_step", F.greatest(SIGMAS * F.col("noise"), F.abs("base") * SHARE, F.lit(FLOOR)))
-
-
-def sustained_steps(series: DataFrame, stats: DataFrame, pooled: DataFrame) -> DataFrame:
-    """The best accepted step of every series that has one: its frame, level before, size and noise before."""
-    rows = _numbered(series).join(stats.select(*KEY, "sigma"), list(KEY)).join(F.broadcast(pooled))
-    w = Window.partitionBy(*KEY).orderBy("t")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
-    half = F.lit(0.5)
-    rows = rows.select(
-        *KEY, "t", "rn", "noise", "min_step", "sigma",
-        F.percentile("v", half).over(before).alias("pre"),
-        F.percentile("v", half).over(after).alias("post"),
-        F.percentile("v", half).over(w.rowsBetween(0, SUSTAIN - 1)).alias("held"),
-        (segment_sse("v", before) + segment_sse("v", after)).alias("sse"),
-        F.coalesce(F.percentile("d", half).over(before) / DIFF_MAD, F.lit(0.0)).alias("pre_sigma"),
-    )
-    least = F.greatest("min_step", SIGMAS * F.col("sigma"), SHARE * F.abs("pre"))
-    step = F.col("post") - F.col("pre")
-    good = rows.where("rn > 1").where((step >= least) & (F.col("held") - F.col("pre") >= SUSTAIN_SHARE * least))
-    best = Window.partitionBy(*KEY).orderBy("sse", "rn")
-    snr = F.greatest(step / F.greatest("pre_sigma", "noise", F.lit(1.0)), F.lit(0.0))
-    return good.withColumn("pick", F.row_number().over(best)).where("pick = 1").select(*KEY, F.col("t").alias("step_frame"), F.col("pre").alias("step_base"), snr.alias("step_snr"))
+    """One row (base, noise, min_step, series) pooled over the workspace; empty when there is no series.
+
+    Runs jobs at once: the pooled quantiles are found by narrowing ranges.
+    """
+    each = stats.select(F.explode(F.array(F.struct(F.lit("early").alias("name"), F.col("early").alias("x")), F.struct(F.lit("sigma").alias("name"), F.when(F.col("sigma") > 1e-9, F.col("sigma")).alias("x")))).alias("e")).select("e.*")
+    found = exact_quantiles(each, {"early": 0.25, "sigma": 0.5})
+    (base, series), (typical, _) = found["early"], found["sigma"]
+    if base is None:
+        return stats.sparkSession.createDataFrame([], "base double, noise double, series long, min_step double")
+    noise = typical if typical is not None else max(abs(base) * 0.05, 1.0)
+    return stats.sparkSession.createDataFrame([(base, noise, series, max(SIGMAS * noise, abs(base) * SHARE, FLOOR))], "base double, noise double, series long, min_step double")
+
+
+def best_step(v: np.ndarray, noise: float, min_step: float) -> tuple[int, float, float] | None:
+    """(place, level before, size over noise) of the accepted step that leaves the smallest squared deviations on both sides."""
+    n = len(v)
+    if n < 2:
+        return None
+    pre, post = medians_before(v)[1:n], medians_before(v[::-1])[n - 1 : 0 : -1]
+    mad = medians_before(np.abs(np.diff(v))) / DIFF_MAD
+    least = np.maximum(np.maximum(min_step, SIGMAS * mad[-1]), SHARE * np.abs(pre))
+    held = np.array([np.median(v[k : k + SUSTAIN]) for k in range(1, n)])
+    good = np.flatnonzero((post - pre >= least) & (held - pre >= SUSTAIN_SHARE * least))
+    if not len(good):
+        return None
+    apart = squares_before(v)[1:n] + squares_before(v[::-1])[n - 1 : 0 : -1]
+    k = good[np.argmin(apart[good])]  # the first of equal ones
+    return int(k + 1), float(pre[k]), float(max((post[k] - pre[k]) / max(mad[k] if k else 0.0, noise, 1.0), 0.0))
+
+
+def sustained_steps(series: DataFrame, pooled: DataFrame) -> DataFrame:
+    """The best accepted step of every series that has one: its frame, level before, and size over the noise before. n log n a series."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch | None:
+        found = best_step(rows.column("v").to_numpy(), rows.column("noise")[0].as_py(), rows.column("min_step")[0].as_py())
+        if found is None:
+            return None
+        keys = [rows.column(k).slice(0, 1).combine_chunks() for k in KEY]
+        made = [rows.column("t").slice(found[0], 1).combine_chunks(), pa.array([found[1]]), pa.array([found[2]])]
+        return pa.RecordBatch.from_arrays([*keys, *made], [*KEY, "step_frame", "step_base", "step_snr"])
+
+    rows = series.select(*KEY, "t", F.col("v").cast("double").alias("v")).join(F.broadcast(pooled.select("noise", "min_step")))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in series.select(*KEY, F.col("t").alias("step_frame")).schema]
+    return each_series(rows, list(KEY), ["t"], run, ", ".join([*kinds, "step_base double", "step_snr double"]))
 
 
 def viability_calls(series: DataFrame) -> DataFrame:
     """(sample_idx, pos, roi, dead, death_frame, baseline, peak, snr) for every series."""
-    stats = roi_stats(series)
+    stats = lasting(roi_stats(series))
     pooled = calibration(stats)
-    rows = stats.join(F.broadcast(pooled)).join(sustained_steps(series, stats, pooled), list(KEY), "left")
+    rows = stats.join(F.broadcast(pooled)).join(sustained_steps(series, pooled), list(KEY), "left")
     stepped = F.col("step_frame").isNotNull()
     over = F.col("median") - F.col("base")
     twice = 2 * F.col("min_step")
