@@ -27,6 +27,31 @@ def lasting(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Shelf:
+    """Parquet tables of one call in a folder of their own, which goes when the call ends.
+
+    Unlike checkpoints, tables read again carry nothing of the plan that made
+    them, so loops may build on them for many rounds.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.made = spark, fresh_folder(spark), 0
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """df written and read again, in one file for eight shuffle partitions."""
+        self.made += 1
+        files = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+        df.coalesce(files).write.parquet(f"{self.path}/{self.made}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.made}")
+
+
 def fresh_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
