@@ -1,35 +1,13 @@
-"""Connected components of a link table, without gathering links anywhere."""
+"""Connected components of a link table, kept in an operator's folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .workspace import SLIM, Workspace
 
 
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
-    """(id, component): the smallest id reachable from every id that occurs in edges(a, b).
-
-    Each round takes the smallest label among a node and its neighbours, then
-    the label of that label (pointer jumping), so paths shrink by half at
-    least; star-shaped groups end after two rounds. Minima are pre-aggregated
-    before the shuffle. Labels are written to the shared folder every round.
-    """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = ws.table(both.where("a <> b").distinct(), f"{name}-links", SLIM)
-    labels = ws.table(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("component")), f"{name}-0", SLIM)
-    step = 0
-    while True:
-        step += 1
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("seen"))
-        mine = labels.join(near, "id").select("id", F.least("component", "seen").alias("component"), F.col("component").alias("old"))
-        mine = ws.table(mine, f"{name}-{step}-near", SLIM)
-        root = mine.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        jumped = mine.join(root, "component").select("id", F.col("root").alias("component"), "old")
-        jumped = ws.table(jumped, f"{name}-{step}", SLIM)
-        changed = jumped.where("component <> old").limit(1).count()
-        ws.drop(f"{name}-{step}-near")
-        labels = jumped.select("id", "component")
-        if not changed:
-            return labels
+    """(id, component): the smallest id reachable from every id that occurs in edges(a, b), in logarithmically many rounds."""
+    return connected(edges.select("a", "b"), keep=lambda df: ws.table(df, f"{name}-labels", SLIM))
