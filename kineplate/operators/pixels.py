@@ -12,16 +12,19 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..shared import lasting
 from . import histogram as H
+from .running import whole_groups
 
 #: Fixed values of the assay: smallest component, cell diameter, seed and diameter rules.
 MIN_PIXELS, DIAMETER = 4, 10.0
@@ -142,30 +145,69 @@ def fill_holes(pixels: DataFrame, keys: list[str], on: str = "on") -> DataFrame:
 # ------------------------------------------------------ distance and cells
 
 
+def nearest_squares(g: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Along a line: for each place x that is on the smallest (x - i)^2 + g[i]^2 over all places i with g[i] >= 0, FAR without any; 0 where it is off.
+
+    The parabolas' lower envelope, in whole numbers and linear time: a place is
+    on the stack from `since` on until a later one gets below it. Off places
+    have g = 0 and part the line, so every stretch between two is on its own.
+    """
+    n, out = len(g), np.zeros(len(g))
+    cuts = np.flatnonzero(~on)
+    for first, last in zip(np.r_[-1, cuts], np.r_[cuts, n], strict=True):
+        if last - first < 2:
+            continue
+        low, high = max(int(first), 0), min(int(last), n - 1)  # with the off places at both ends
+        stack: list[tuple[int, int]] = []
+        since: list[int] = []
+        for i, d in enumerate(g[low : high + 1].tolist(), low):
+            if d < 0:
+                continue
+            start = low
+            while stack:
+                j, e = stack[-1]
+                # from here on i is below j; the earlier one keeps ties
+                start = (i * i - j * j + d * d - e * e) // (2 * (i - j)) + 1
+                if start > since[-1]:
+                    break
+                stack.pop()
+                since.pop()
+                start = low
+            if start <= high:
+                stack.append((i, d))
+                since.append(max(start, low))
+        if not stack:
+            out[first + 1 : last] = FAR
+            continue
+        x = np.arange(first + 1, last)
+        best = np.array(stack, np.int64)[np.searchsorted(np.array(since), x, "right") - 1]
+        out[first + 1 : last] = (x - best[:, 0]) ** 2 + best[:, 1] ** 2
+    return out
+
+
 def distance(pixels: DataFrame, keys: list[str], on: str = "on", into: str = "distance") -> DataFrame:
     """Pixels with the distance to the nearest pixel that is off, 0 for those; the border is none, and without any the distance is the root of FAR.
 
-    First along columns by windows; then along rows, where only pixels as near
-    as the column's distance can be nearer.
+    First along columns by windows; then along rows, each of which is one fold
+    in linear time. Rows are dealt out singly, so an image may be larger than a
+    task.
     """
     w = _column(keys)
     off = F.when(~F.col(on), F.col("y"))
     up = F.col("y") - F.last(off, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first(off, True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("y")
-    rows = pixels.withColumn("_g", F.least(up, down))
-    line = _row(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # a null stands for a column without background and has to keep its place
-    rows = rows.withColumn("_line", F.collect_list(F.coalesce("_g", F.lit(-1))).over(line))
-    reach = F.coalesce("_g", F.col("width"))
-    places = F.sequence(F.greatest(F.col("x") - reach, F.lit(0)), F.least(F.col("x") + reach, F.col("width") - 1))
-    x = F.col("x")
+    rows = pixels.withColumn("_g", F.coalesce(F.least(up, down), F.lit(-1)).cast("int"))
+    names = pixels.columns
 
-    def square(i: Column) -> Column:
-        g = F.get(F.col("_line"), i).cast("double")
-        return F.when(g >= 0, g * g + (i - x) * (i - x))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, [*keys, "y"]):
+            g, mask = table.column("_g").to_numpy(), table.column(on).to_numpy()
+            found = [nearest_squares(g[a:b], mask[a:b].astype(bool)) for a, b in zip(at[:-1], at[1:], strict=True)]
+            made = table.select(names).append_column(into, pa.array(np.sqrt(np.concatenate(found))))
+            yield from made.combine_chunks().to_batches()
 
-    found = F.coalesce(F.array_min(F.transform(places, square)), F.lit(FAR))
-    return rows.withColumn(into, F.when(F.col(on), F.sqrt(found)).otherwise(0.0)).drop("_g", "_line")
+    schema = StructType([*pixels.schema.fields, StructField(into, DoubleType())])
+    return rows.repartition(*keys, "y").sortWithinPartitions(*keys, "y", "x").mapInArrow(fold, schema)
 
 
 def seeds(pixels: DataFrame, keys: list[str], on: str = "on", diameter: float = DIAMETER, value: str = "distance") -> DataFrame:
@@ -244,19 +286,27 @@ def engagement(pixels: DataFrame, keys: list[str], diameter: float = DIAMETER) -
 # ---------------------------------------------------------------- filters
 
 
-def _window_sum(value: str | Column, line: Window, place: str, size: str, radius: int) -> Column:
-    """Sum over a window along a line, its ends repeated beyond them."""
+def _box_sum(rows: DataFrame, line: Window, place: str, size: str, radius: int, value: str, into: str) -> DataFrame:
+    """rows with the sum over a window along a line, its ends repeated beyond them: the difference of two running sums, whatever the radius."""
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({
+        "_sum": F.sum(value).over(line.rowsBetween(Window.unboundedPreceding, 0)),
+        "_first": F.first(value).over(whole),
+        "_last": F.last(value).over(whole),
+    })
+    upto = F.coalesce(F.lead("_sum", radius).over(line), F.last("_sum").over(whole))
+    since = F.coalesce(F.lag("_sum", radius + 1).over(line), F.lit(0.0))
     before, after = F.greatest(radius - F.col(place), F.lit(0)), F.greatest(F.col(place) + radius - F.col(size) + 1, F.lit(0))
-    return F.sum(value).over(line.rowsBetween(-radius, radius)) + F.first(value).over(whole) * before + F.last(value).over(whole) * after
+    return rows.withColumn(into, upto - since + F.col("_first") * before + F.col("_last") * after).drop("_sum", "_first", "_last")
 
 
 def box_mean(pixels: DataFrame, keys: list[str], radius: int, value: str = "v", into: str = "mean") -> DataFrame:
     """Pixels with the mean over a square window, the border repeated."""
     if radius < 0:
         raise ValueError("radius must not be negative")
-    rows = pixels.withColumn(into, _window_sum(value, _row(keys), "x", "width", radius))
-    return rows.withColumn(into, _window_sum(into, _column(keys), "y", "height", radius) / float((2 * radius + 1) ** 2))
+    rows = _box_sum(pixels, _row(keys), "x", "width", radius, value, into)
+    rows = _box_sum(rows, _column(keys), "y", "height", radius, into, into)
+    return rows.withColumn(into, F.col(into) / float((2 * radius + 1) ** 2))
 
 
 def local_deviation(pixels: DataFrame, keys: list[str], radius: int, value: str = "v", into: str = "deviation") -> DataFrame:

@@ -59,29 +59,44 @@ def squares_before(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, where each key's rows begin and the end) of batches sorted by keys, no key's rows in two of them; null is a key of its own."""
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        same = all(batch.column(k)[-1] == held[0].column(k)[0] or not (batch.column(k)[-1].is_valid or held[0].column(k)[0].is_valid) for k in keys)
+        if same:
+            continue  # still one key's rows, to be put together once
+        rows = pa.Table.from_batches(held)
+        at = starts(rows)
+        yield rows.slice(0, at[-1]), at
+        held = rows.slice(at[-1]).combine_chunks().to_batches()
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, np.r_[starts(rows), rows.num_rows]
+
+
 def each_series(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """run over the rows of every key in order, one series after the other in each partition; a task holds one batch and one series."""
 
     def series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
         made: list[pa.RecordBatch] = []
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            if not rows.num_rows:
-                continue
-            new = np.zeros(rows.num_rows, bool)
-            new[0] = True
-            for k in keys:  # null is a key of its own
-                column = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-                new[1:] |= column[1:] != column[:-1]
-            starts = np.flatnonzero(new)
-            made += [found for a, b in zip(starts[:-1], starts[1:], strict=True) if (found := run(rows.slice(a, b - a))) is not None]
-            held = rows.slice(starts[-1]).combine_chunks()
+        for rows, at in whole_groups(batches, keys):
+            made += [found for a, b in zip(at[:-1], at[1:], strict=True) if (found := run(rows.slice(a, b - a))) is not None]
             if sum(m.num_rows for m in made) >= BATCH:
                 yield from pa.Table.from_batches(made).combine_chunks().to_batches()
                 made = []
-        if held is not None and (found := run(held)) is not None:
-            made.append(found)
         if made:
             yield from pa.Table.from_batches(made).combine_chunks().to_batches()
 

@@ -147,3 +147,32 @@ def test_shared_scale(spark):
     assert got[0].low == 205 and got[0].threshold == pytest.approx(299.8864)
     assert got[1].low == 0 and got[1].threshold > 1e308
     assert not K.above_scale(quiet(11), got[0].threshold).any()
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60, 400])
+def test_lower_envelope(n):
+    rng = np.random.default_rng(n)
+    for share in (0.0, 0.05, 0.5, 1.0):
+        on = rng.random(n) > share
+        g = np.where(on, rng.integers(1, 30, n), 0)
+        for far in (g, np.where(on & (rng.random(n) < 0.4), -1, g), np.where(on, -1, 0)):
+            x = np.arange(n)
+            every = np.where(far[None] >= 0, (x[:, None] - x) ** 2.0 + far[None] ** 2, P.FAR).min(1)
+            assert (P.nearest_squares(far, on) == np.where(on, every, 0)).all()
+
+
+def test_a_long_line_takes_linear_time():
+    import time
+
+    g, on = np.full(400_000, 5), np.ones(400_000, bool)
+    began = time.perf_counter()
+    assert (P.nearest_squares(g, on) == 25).all() and (P.nearest_squares(np.abs(np.arange(400_000) - 200_000) + 1, on) > 0).all()
+    assert time.perf_counter() - began < 8
+
+
+def test_box_filters_of_any_radius(spark):
+    rng = np.random.default_rng(8)
+    images = {0: rng.integers(0, 900, (6, 13)).astype(float), 1: rng.integers(0, 9, (1, 1)).astype(float), 2: rng.integers(0, 99, (20, 3)).astype(float)}
+    rows = pixels(spark, images, "v").persist()
+    for radius in (0, 1, 5, 40):
+        check(P.box_mean(rows, ["k"], radius), images, "mean", lambda v: K.box_mean(v, radius))  # noqa: B023
