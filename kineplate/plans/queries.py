@@ -636,16 +636,26 @@ def i6_sigma_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.sigma_threshold(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", 1.5))
 
 
-#: An image of 20 pixels a row per brand, in order of the keys; what is missing of its last row is off.
-GRID_SQL = """n0 AS (SELECT p_brand AS img, p_size, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
-    gr AS (SELECT img, (i % 20)::INT AS x, (i // 20)::INT AS y, i, p_size > 35 AS lit, p_size FROM n0 WHERE i < n // 20 * 20)"""
+#: An image of 20 pixels a row per brand, in order of the keys; what is missing of its last row has size 0.
+GRID_SQL = """n0 AS (SELECT p_brand AS img, p_size, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS i FROM part),
+    n1 AS (SELECT * FROM n0 UNION ALL SELECT img, 0, unnest(range(max(i) + 1, (max(i) // 20 + 1) * 20))::INT FROM n0 GROUP BY img),
+    gr AS (SELECT img, (i % 20)::INT AS x, (i // 20)::INT AS y, i, p_size > 35 AS lit, p_size FROM n1)"""
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("p_brand")
-    rows = table(spark, sf_dir, "part").withColumn("i", F.row_number().over(w.orderBy("p_partkey")) - 1).withColumn("height", F.floor(F.count("*").over(w) / 20).cast("int"))
-    rows = rows.where(F.col("i") < F.col("height") * 20)
-    return rows.select(F.col("p_brand").alias("img"), "height", F.lit(20).alias("width"), F.floor(F.col("i") / 20).cast("int").alias("y"), (F.col("i") % 20).cast("int").alias("x"), (F.col("p_size") > 35).alias("on"), F.col("p_size").cast("double").alias("v"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("img"), (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).alias("i"), F.col("p_size").cast("int").alias("size"))
+    ends = rows.groupBy("img").agg(F.max("i").alias("last")).withColumn("height", (F.floor(F.col("last") / 20) + 1).cast("int"))
+    blank = ends.where("last + 1 < height * 20").select("img", F.explode(F.sequence(F.col("last") + 1, F.col("height") * 20 - 1)).alias("i"), F.lit(0).alias("size"))
+    rows = rows.unionByName(blank).join(ends.select("img", "height"), "img")
+    return rows.select("img", "height", F.lit(20).alias("width"), F.floor(F.col("i") / 20).cast("int").alias("y"), (F.col("i") % 20).cast("int").alias("x"), (F.col("size") > 35).alias("on"), F.col("size").cast("double").alias("v"))
+
+
+def grid_tiles(spark: SparkSession, sf_dir: str, on: Column) -> DataFrame:
+    """The images of the grid in tiles of 8 x 8 pixels."""
+    from ..operators.pixels import planes_of
+    from ..operators.tiles import cut
+
+    return cut(planes_of(grid(spark, sf_dir).withColumn("lit", on), ["img"], "lit", "lit"), ["img"], 8, "lit")
 
 
 #: Components of pixels in `px` by the smallest place that `near` pairs reach.
@@ -663,6 +673,17 @@ def i7_component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("img", "label").agg(F.min(F.col("y") * 20 + F.col("x")).alias("first_pixel"), F.count("*").alias("pixels")).drop("label")
 
 
+@query(f"""WITH RECURSIVE {GRID_SQL}, px AS (SELECT * FROM gr WHERE lit),
+    near AS (SELECT a.img, a.i AS a, b.i AS b FROM px a JOIN px b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), {REACH_SQL},
+    ranked AS (SELECT img, root, count(*) AS pixels, row_number() OVER (PARTITION BY img ORDER BY root)::INT AS label FROM lab GROUP BY img, root)
+    SELECT img, label, pixels FROM ranked WHERE pixels >= 4""")
+def i7_tiled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tiles import component_tiles
+
+    rows = component_tiles(grid_tiles(spark, sf_dir, F.col("on")), ["img"])
+    return rows.select("img", F.explode("label").alias("label")).where("label > 0").groupBy("img", "label").agg(F.count("*").alias("pixels"))
+
+
 @query(f"""WITH {GRID_SQL} SELECT a.img, a.i, max(b.p_size)::DOUBLE AS most FROM gr a JOIN gr b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL""")
 def i8_neighbour_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.pixels import neighbour_max
@@ -718,6 +739,17 @@ def i20_fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("img").agg(F.sum(F.col("on").cast("long")).alias("filled"))
 
 
+@query(f"""WITH RECURSIVE {GRID_SQL}, gm AS (SELECT *, p_size > 20 AS wall FROM gr), px AS (SELECT * FROM gm WHERE NOT wall), t AS (SELECT img, max(y) AS top FROM gr GROUP BY img),
+    near AS (SELECT a.img, a.i AS a, b.i AS b FROM px a JOIN px b ON a.img = b.img AND abs(a.x - b.x) + abs(a.y - b.y) <= 1),
+    outer_ AS (SELECT px.img, px.i FROM px JOIN t USING (img) WHERE px.x IN (0, 19) OR px.y IN (0, top) UNION SELECT outer_.img, near.b FROM outer_ JOIN near ON near.img = outer_.img AND near.a = outer_.i)
+    SELECT gm.img, count(*) - count(outer_.i) AS filled FROM gm LEFT JOIN outer_ USING (img, i) GROUP BY gm.img""")
+def i20_tiled_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tiles import fill_tiles
+
+    rows = fill_tiles(grid_tiles(spark, sf_dir, F.col("v") > 20), ["img"])
+    return rows.select("img", F.explode("on").alias("on")).groupBy("img").agg(F.sum(F.col("on").cast("long")).alias("filled"))
+
+
 @query(f"""WITH {GRID_SQL}, q AS (SELECT img, quantile_cont(p_size, 0.01) AS lo, quantile_cont(p_size, 0.99) AS hi FROM gr GROUP BY img) SELECT img, sum(floor(CASE WHEN hi > lo THEN least(greatest((p_size - lo) / (hi - lo), 0), 1) * 255 ELSE 0 END))::BIGINT AS sheet,
     sum(floor(least(greatest((p_size - 5) / 30.0, 0), 1) * 255))::BIGINT AS movie FROM gr JOIN q USING (img) GROUP BY img""")
 def i23_i25_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
