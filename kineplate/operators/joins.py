@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import safe_name
+from ..shared import numbered
 
 
 def _checked(rows: DataFrame, count: Column, none: str, many: str, key: Column) -> DataFrame:
@@ -52,8 +53,7 @@ def ordered_positions(mapping: DataFrame) -> DataFrame:
     """(pos, place) of distinct positions in assay order, by where each comes first."""
     rows = mapping.select("sample_idx", F.posexplode("positions").alias("at", "pos"))
     first = rows.groupBy("pos").agg(F.min(F.struct("sample_idx", "at")).alias("first"))
-    # one row per position of an assay: a plan, not data
-    return first.select("pos", F.row_number().over(Window.orderBy("first")).alias("place"))
+    return numbered(first, [F.col("first")], name="place").select("pos", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def by_sample_name(rows: DataFrame, mapping: DataFrame) -> DataFrame:

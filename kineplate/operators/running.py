@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 #: Rows of an Arrow batch that is handed on.
@@ -87,7 +88,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield rows, np.r_[starts(rows), rows.num_rows]
 
 
-def each_series(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+def each_series(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pa.Table], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """run over the rows of every key in order, one series after the other in each partition; a task holds one batch and one series."""
 
     def series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,8 @@
 """Embedding classification: cosine neighbours, linear SVM, evaluation, temporal features.
 
 references(ref_idx, id, label, group, vector) and queries(id, ..., vector) hold
-one row per image. The reference matrix is broadcast to tasks only up to
-MATRIX_BYTES, which is checked before; larger ones are packed and searched in
-blocks of that size in the cluster, and the winners are merged.
+one row per image. References are packed into blocks in the shared folder, which
+every task maps; queries stay where they are.
 """
 
 from __future__ import annotations
@@ -12,16 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import unit_vector, usable_label
-from ..shared import lasting
+from ..shared import fresh_folder, get_bytes, lasting, numbered, put_bytes
+from .running import each_series
 
-MATRIX_BYTES = 64 << 20
-#: Rows of queries multiplied at once.
-BLOCK = 128
+#: Bytes of a block of references, of the queries that meet the blocks together, and of the products held at once.
+MATRIX_BYTES, QUERY_BYTES, SCORE_BYTES = 64 << 20, 16 << 20, 16 << 20
+#: Tasks that add up the sums of a Newton step.
+ADDERS = 4
 #: Inverse-distance votes of exact matches stay finite (fixed value).
 NEAREST = 1e-6
 
@@ -31,65 +33,101 @@ def unit_vectors(rows: DataFrame, vector: str = "vector") -> DataFrame:
     return rows.withColumn(vector, unit_vector(vector))
 
 
-def _packed(references: DataFrame, block: Column) -> DataFrame:
-    """(block, indices, matrix): unit references of a block as one row, in order of their indices."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ref_idx")
-        return pd.DataFrame({"block": pdf.block.iloc[:1], "indices": [pdf.ref_idx.to_numpy(np.int64).tobytes()], "matrix": [np.stack(pdf.vector.to_numpy()).astype(np.float64).tobytes()]})
-
-    rows = references.select(block.cast("int").alias("block"), F.col("ref_idx").cast("long"), unit_vector("vector").alias("vector"))
-    return rows.groupBy("block").applyInPandas(pack, "block int, indices binary, matrix binary")
+def pack_references(references: DataFrame) -> tuple[str, int]:
+    """(folder, number of blocks): unit references as files of at most about MATRIX_BYTES in the shared folder, made in the cluster, each in order of its indices."""
+    shape = references.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if not shape.n:
+        raise ValueError("at least one reference is required")
+    count, folder = -(-shape.n * 8 * max(shape.d, 1) // MATRIX_BYTES), fresh_folder(references.sparkSession)
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("ref_idx")
+        ids = rows.column("ref_idx").to_numpy().astype(np.int64)
+        matrix = rows.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64)
+        put_bytes(f"{folder}/{key[0].as_py()}", np.array([len(ids), len(matrix) // len(ids)]).tobytes(), ids.tobytes(), matrix.tobytes())
+        return pa.table({"n": pa.array([len(ids)], pa.int64())})
+
+    rows = references.select(F.pmod(F.xxhash64("ref_idx"), F.lit(count)).cast("int").alias("block"), F.col("ref_idx").cast("long").alias("ref_idx"), unit_vector("vector").alias("vector"))
+    rows.groupBy("block").applyInArrow(pack, "n long").agg(F.sum("n")).collect()
+    return folder, count
+
+
+def _block(folder: str, number: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(indices, matrix) of a block; None of one that got no reference."""
+    try:
+        raw = get_bytes(f"{folder}/{number}")
+    except FileNotFoundError:
+        return None
+    n, d = np.frombuffer(raw, np.int64, 2).tolist()
+    return np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.float64, n * d, 16 + 8 * n).reshape(n, d)
+
+
+class TopK:
+    """The k best of each query over the blocks so far; the lowest index wins ties."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.query, self.index, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.rank = np.zeros(0, np.int64)
+
+    def meet(self, queries: np.ndarray, indices: np.ndarray, matrix: np.ndarray) -> None:
+        step = max(1, SCORE_BYTES // (8 * len(indices)))
+        found = [(self.query, self.index, self.score)]
+        for at in range(0, len(queries), step):
+            scores = queries[at : at + step] @ matrix.T
+            if len(indices) > self.k:
+                least = np.partition(scores, len(indices) - self.k, 1)[:, len(indices) - self.k]
+                q, r = np.nonzero(scores >= least[:, None])
+            else:
+                q, r = (x.ravel() for x in np.indices(scores.shape))
+            found.append(self._best(q + at, indices[r], scores[q, r])[:3])
+        self.query, self.index, self.score, self.rank = self._best(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def _best(self, query: np.ndarray, index: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((index, -score, query))
+        query, index, score = query[order], index[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        kept = rank <= self.k
+        return query[kept], index[kept], score[kept], rank[kept]
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int = 3, normalize_query: bool = True, query_id: str = "id") -> DataFrame:
     """(query_id, ref_idx, similarity, rank) of the k most similar references; the lowest index wins ties.
 
-    References are packed in the cluster into blocks of at most MATRIX_BYTES.
-    One block is broadcast, its size being known; of several, every query meets
-    each block once, spread over shares of the queries, and the k best of each
-    are ranked together.
+    References are packed in the cluster into blocks in the shared folder, which
+    tasks map into memory. Queries aren't shuffled: each is read once, in
+    batches of about QUERY_BYTES that meet one block after the other and keep
+    the k best so far.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    shape = references.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if not shape.n:
-        raise ValueError("at least one reference is required")
-    count = -(-shape.n * 8 * max(shape.d, 1) // MATRIX_BYTES)
-    packed = _packed(references, F.pmod(F.xxhash64("ref_idx"), F.lit(count)))
+    folder, count = pack_references(references)
     kind = queries.schema[query_id].dataType.simpleString()
     source = queries.select(query_id, (unit_vector("vector") if normalize_query else F.col("vector").cast("array<double>")).alias("vector"))
 
-    def ranked(pdf: pd.DataFrame, indices: bytes, matrix: bytes) -> Iterator[pd.DataFrame]:
-        own = np.frombuffer(indices, np.int64)
-        rows, top = np.frombuffer(matrix).reshape(len(own), -1), min(k, len(own))
-        for at in range(0, len(pdf), BLOCK):
-            part = pdf.iloc[at : at + BLOCK]
-            scores = np.stack(part.vector.to_numpy()).astype(np.float64) @ rows.T
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-            yield pd.DataFrame({query_id: np.repeat(part[query_id].to_numpy(), top), "ref_idx": own[order].ravel(), "similarity": np.take_along_axis(scores, order, 1).ravel(), "rank": np.tile(np.arange(1, top + 1), len(part))})
-
-    schema = f"{query_id} {kind}, ref_idx long, similarity double, rank int"
-    if count == 1:
-        only = packed.first()  # at most MATRIX_BYTES
-        held = queries.sparkSession.sparkContext.broadcast((bytes(only.indices), bytes(only.matrix)))
-
-        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield from ranked(pdf, *held.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-        return source.mapInPandas(one, schema)
-    shares = -(-int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // count)
-    dealt = source.withColumn("share", F.pmod(F.xxhash64(query_id), F.lit(shares)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    blocks = packed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        def search() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            x = rows.column(1).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+            best = TopK(len(x), k)
+            for number in range(count):
+                if (block := _block(folder, number)) is not None:
+                    best.meet(x, *block)
+            out = [rows.column(0).take(pa.array(best.query)).combine_chunks(), pa.array(best.index), pa.array(best.score), pa.array(best.rank, pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, [query_id, "ref_idx", "similarity", "rank"])
 
-    def meet(key: tuple, mine: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        found = [*ranked(mine, block.indices.iloc[0], block.matrix.iloc[0])] if len(mine) and len(block) else []
-        return pd.concat(found) if found else pd.DataFrame({query_id: [], "ref_idx": [], "similarity": [], "rank": []})
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= QUERY_BYTES:
+                yield from search()
+                held = []
+        if held:
+            yield from search()
 
-    found = dealt.groupBy("block", "share").cogroup(blocks.groupBy("block", "share")).applyInPandas(meet, schema)
-    best = Window.partitionBy(query_id).orderBy(F.desc("similarity"), "ref_idx")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return source.mapInArrow(run, f"{query_id} {kind}, ref_idx long, similarity double, rank int")
 
 
 def vote(neighbours: DataFrame, references: DataFrame, query_id: str = "id") -> DataFrame:
@@ -147,10 +185,15 @@ class LinearSVM:
                     total[j, 1 + d :] += (2 * (a * c[:, None]).T @ a).ravel()
             yield pd.DataFrame({"sums": [total.ravel()]})
 
-        made = rows.mapInPandas(run, "sums array<double>").select(F.posexplode("sums").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s")).collect()
-        total = np.zeros(k * (1 + d + d * d))
-        for r in made:
-            total[r.i] = r.s
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k * (1 + d + d * d))
+            for batch in batches:
+                total += batch.column(0).flatten().to_numpy().reshape(batch.num_rows, len(total)).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array([total])], ["sums"])
+
+        # one array for each task, then one for each of a few tasks that add them up
+        parts = rows.mapInPandas(run, "sums array<double>").repartition(ADDERS).mapInArrow(add, "sums array<double>")
+        total = np.sum([np.asarray(r.sums) for r in parts.collect()], 0)
         total = total.reshape(k, -1)
         return total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(k, d, d)
 
@@ -227,8 +270,7 @@ def split_manifest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     if overlapping_groups(rows).limit(1).count():
         raise ValueError("a group occurs in both splits")
     good = rows.where((F.col("split") == "reference") & usable_label("label"))
-    # a manifest of labelled images is numbered as a whole; it is made by hand and small
-    references = good.withColumn("ref_idx", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))
+    references = numbered(good, [F.col("id")], name="ref_idx")
     queries = rows.where("split = 'evaluation'")
     if not references.limit(1).count() or not queries.limit(1).count():
         raise ValueError("labelled references and evaluation images are needed")
@@ -264,14 +306,34 @@ def temporal_problems(rows: DataFrame) -> DataFrame:
     return frames.select("group", problem.alias("problem")).where("problem is not null")
 
 
+def trailing_means(x: np.ndarray, window: int, past: np.ndarray | None = None) -> np.ndarray:
+    """Unit vectors of the means of each row and up to window - 1 rows before it, the last rows of `past` counting as such."""
+    before = np.zeros((0, x.shape[1])) if past is None else past[len(past) - min(len(past), window - 1) :]
+    both = np.concatenate([before, x])
+    total = both.copy()
+    for k in range(1, min(window, len(both))):
+        total[k:] += both[:-k]
+    total = total[len(before) :]
+    length = np.sqrt((total * total).sum(1, keepdims=True))
+    if not (length > 0).all():
+        raise ValueError("vectors must be non-empty, finite and not zero")
+    return total / length
+
+
 def trailing_mean(rows: DataFrame, window: int = 3) -> DataFrame:
     """Unit vector of the mean of a group's last `window` unit vectors, the current one included."""
     if window < 1:
         raise ValueError("window must be at least 1")
-    last = Window.partitionBy("group").orderBy("frame").rowsBetween(1 - window, 0)
-    held = rows.withColumn("vector", unit_vector("vector")).withColumn("_h", F.collect_list("vector").over(last))
-    total = F.aggregate(F.slice("_h", F.lit(2), F.size("_h")), F.get("_h", F.lit(0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
-    return held.withColumn("vector", unit_vector(F.transform(total, lambda x: x / F.size("_h")))).drop("_h")
+    unit = rows.withColumn("vector", unit_vector("vector"))
+    at = rows.columns.index("vector")
+
+    def run(series: pa.Table) -> pa.RecordBatch:
+        x = series.column("vector").combine_chunks().flatten().to_numpy().reshape(series.num_rows, -1)
+        means = trailing_means(x, window)
+        made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(means.ravel()))
+        return series.set_column(at, "vector", made).combine_chunks().to_batches()[0]
+
+    return each_series(unit, ["group"], ["frame"], run, unit.schema)
 
 
 def baseline_delta(rows: DataFrame) -> DataFrame:

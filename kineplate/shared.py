@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,33 @@ class Shelf:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.made}")
 
 
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it, for tasks that read files of their own."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def put_bytes(path: str, *parts: bytes) -> None:
+    """Writes a file under a passing name and renames it, so a repeated task does no harm."""
+    system, at = opened(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    passing = f"{at}.{uuid.uuid4().hex}"
+    with system.open_output_stream(passing) as f:
+        for part in parts:
+            f.write(part)
+    system.move(passing, at)
+
+
+def get_bytes(path: str) -> pa.Buffer:
+    """A file's bytes, mapped into memory where it is local."""
+    system, at = opened(path)
+    if isinstance(system, pafs.LocalFileSystem):
+        return pa.memory_map(at).read_buffer()
+    with system.open_input_file(at) as f:
+        return f.read_buffer()
+
+
 def fresh_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 

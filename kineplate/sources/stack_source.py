@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
+from ..shared import opened
 from .tiff import BITS, COMPRESSION, COUNTS, HEIGHT, OFFSETS, SAMPLE_FORMAT, SAMPLES, WIDTH
 
 #: Bytes of pixels of a partition and of an Arrow batch of doubles.
@@ -222,10 +223,6 @@ class Pick:
         return all(self.columns[c].holds(v) for c, v in known.items() if c in self.columns)
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 class StackReader(D.DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]

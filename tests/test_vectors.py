@@ -33,6 +33,30 @@ def test_blocks_give_the_same_neighbours(spark, monkeypatch):
     assert sorted(map(tuple, V.nearest(queries, refs).select("id", "ref_idx", "rank").collect())) == whole
 
 
+def test_queries_are_not_shuffled_and_ties_go_to_the_lowest_index(spark, monkeypatch):
+    monkeypatch.setattr(V, "MATRIX_BYTES", 8 * 2 * 3)
+    refs = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(20)], "ref_idx long, vector array<double>")
+    queries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, vector array<double>")
+    near = V.nearest(queries, refs, 4)
+    assert "Exchange" not in near._jdf.queryExecution().toString()
+    got = {}
+    for r in near.orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.ref_idx)
+    assert got == {0: [0, 2, 4, 6], 1: [0, 1, 2, 3], 2: [1, 3, 5, 7], 3: [1, 3, 5, 7], 4: [1, 3, 5, 7]}
+    few = V.nearest(queries.limit(1), refs.limit(2), 4).collect()
+    assert sorted(r["rank"] for r in few) == [1, 2]
+    with pytest.raises(ValueError):
+        V.nearest(queries, refs.limit(0))
+
+
+def test_trailing_means_with_a_past():
+    x = np.random.default_rng(3).standard_normal((9, 4))
+    for window in (1, 2, 3, 20):
+        whole = V.trailing_means(x, window)
+        for cut in range(9):
+            assert np.allclose(V.trailing_means(x[cut:], window, x[:cut]), whole[cut:])
+
+
 def test_svm_reaches_its_optimum(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((60, 3))
