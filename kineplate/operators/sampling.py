@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,13 +12,19 @@ from ..functions.columns import frame_label, on_stride
 COUNTED_BITS = 16
 
 
+def seeded(seed: int, *keys: str) -> Column:
+    """A whole number below 2 ** 60 from a seed and keys, by sha256 of `seed:key:...`, so that others can draw the same sample."""
+    text = F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys))
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
+
+
 def draw(keys: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n keys of distinct ones (all if there are fewer): those with the least seeded hashes, so larger draws hold smaller ones.
 
     Keys are counted by the first bits of their hashes; only those with the bits
     at which n is reached are ranked.
     """
-    hashed = keys.select(key).distinct().withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_b", F.shiftright("_h", 64 - COUNTED_BITS))
+    hashed = keys.select(key).distinct().withColumn("_h", seeded(seed, key)).withColumn("_b", F.shiftright("_h", 60 - COUNTED_BITS))
     upto = 0
     for b, count in sorted((r._b, r.n) for r in hashed.groupBy("_b").agg(F.count("*").alias("n")).collect()):  # at most 2 ** COUNTED_BITS rows
         if upto + count > n:
@@ -30,7 +36,7 @@ def draw(keys: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 def balanced_subset(references: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """V8: size // classes references of each class, by a seeded order of the ids, so that larger subsets hold smaller ones."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    order = Window.partitionBy("label").orderBy(seeded(seed, "id"), "id")
     classes = references.select("label").distinct().count()
     return references.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size // max(classes, 1)).drop("_r")
 
@@ -41,7 +47,7 @@ def roi_split(frames: DataFrame, rois: int, frames_per_roi: int, seed: int = 42,
     n = chosen.count()
     reference = draw(chosen, "group", max(1, min(n - 1, round(n * share))) if n > 1 else n, seed).withColumn("split", F.lit("reference"))
     table = chosen.join(reference, "group", "left").withColumn("split", F.coalesce("split", F.lit("evaluation")))
-    drawn = Window.partitionBy("group").orderBy(F.xxhash64("group", "frame", F.lit(seed)), "frame")
+    drawn = Window.partitionBy("group").orderBy(seeded(seed, "group", "frame"), "frame")
     return frames.join(table, "group").withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= frames_per_roi).drop("_r")
 
 

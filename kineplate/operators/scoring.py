@@ -128,6 +128,13 @@ def embed_with_cache(images: DataFrame, cache: DataFrame, encoder: Scorer, ident
     """
     named = images.withColumn("sha", F.sha2("content", 256))
     known = cache.where(F.col("identity") == identity).select("sha", "vector")
+    made = encode_new(named, known, encoder, batch).withColumn("identity", F.lit(identity)).select("identity", "sha", "vector")
+    both = known.unionByName(made.select("sha", "vector"))
+    return named.join(both, "sha").select("id", "sha", "vector"), made
+
+
+def encode_new(named: DataFrame, known: DataFrame, encoder: Scorer, batch: int = 8) -> DataFrame:
+    """(sha, vector) of contents in named(sha, content, ...) that known(sha, ...) lacks, each encoded once."""
     new = named.join(known.select("sha"), "sha", "left_anti").dropDuplicates(["sha"]).select("sha", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,9 +145,7 @@ def embed_with_cache(images: DataFrame, cache: DataFrame, encoder: Scorer, ident
                     raise ValueError(f"{len(vectors)} vectors for {len(part)} images")
                 yield pd.DataFrame({"sha": [s for s, _ in part], "vector": list(vectors)})
 
-    made = new.mapInPandas(run, "sha string, vector array<float>").withColumn("identity", F.lit(identity)).select("identity", "sha", "vector")
-    both = known.unionByName(made.select("sha", "vector"))
-    return named.join(both, "sha").select("id", "sha", "vector"), made
+    return new.mapInPandas(run, "sha string, vector array<float>")
 
 
 def check_digests(images: DataFrame, manifest: DataFrame) -> DataFrame:

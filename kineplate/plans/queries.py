@@ -523,12 +523,21 @@ def s23_parse_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(parse_predictions(raw))
 
 
-@query("SELECT position, roi_id, CASE WHEN up THEN 7 ELSE death END AS death_frame FROM (SELECT 'Pos' || s_nationkey AS position, s_suppkey AS roi_id, (s_suppkey % 50)::INT AS death, s_suppkey % 3 = 0 AS up FROM supplier)")
+@query("""WITH old AS (SELECT 'Pos' || s_nationkey AS position, s_suppkey AS roi_id, (s_suppkey % 50)::INT AS death, 0 AS n FROM supplier),
+    new AS (SELECT position, roi_id, 7 AS death, 1 AS n FROM old WHERE roi_id % 3 = 0 UNION ALL SELECT position, roi_id, 5, 1 FROM old WHERE roi_id % 9 = 0 UNION ALL SELECT position, roi_id + 100000, 1, 1 FROM old WHERE roi_id % 5 = 0)
+    SELECT position, roi_id, death AS death_frame FROM (SELECT * FROM old UNION ALL SELECT * FROM new) QUALIFY row_number() OVER (PARTITION BY position, roi_id ORDER BY n DESC, death DESC) = 1""")
 def s22_label_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import upsert_labels
 
-    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Pos"), F.col("s_nationkey").cast("string")).alias("position"), F.col("s_suppkey").alias("roi_id"), (F.col("s_suppkey") % 50).cast("int").alias("death_frame"), F.lit("2020-01-01T00:00:00+00:00").alias("labeled_at"))
-    return upsert_labels(rows, rows.where("roi_id % 3 = 0").select("position", "roi_id", F.lit(7).alias("death_frame")), 60).select("position", "roi_id", "death_frame")
+    rows, changes = label_rows(spark, sf_dir)
+    return upsert_labels(rows.withColumn("labeled_at", F.lit("2020-01-01T00:00:00+00:00")), changes, 60).select("position", "roi_id", "death_frame")
+
+
+def label_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels of all suppliers, and changes of some, some twice, with some new ones."""
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Pos"), F.col("s_nationkey").cast("string")).alias("position"), F.col("s_suppkey").cast("long").alias("roi_id"), (F.col("s_suppkey") % 50).cast("int").alias("death_frame"))
+    parts = [rows.where("roi_id % 3 = 0").withColumn("death_frame", F.lit(7)), rows.where("roi_id % 9 = 0").withColumn("death_frame", F.lit(5)), rows.where("roi_id % 5 = 0").withColumn("roi_id", F.col("roi_id") + 100000).withColumn("death_frame", F.lit(1))]
+    return rows, parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ---------------------------------------------------------------- joins, 2.3
@@ -578,22 +587,29 @@ def j6_by_sample_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.by_sample_name(rows, mapping(spark, sf_dir))
 
 
-@query("SELECT DISTINCT source AS \"group\" FROM documents WHERE doc_id % 3 = 0 AND source IN (SELECT source FROM documents WHERE doc_id % 3 = 1 AND n_chars > 5000)")
+@query("""WITH d AS (SELECT source || '-' || coalesce(lang, '') || '-' || n_chars // 500 AS "group", doc_id % 3 = 0 AS ev FROM documents)
+    SELECT "group" FROM d WHERE ev INTERSECT SELECT "group" FROM d WHERE NOT ev""")
 def j10_overlapping_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = F.when(F.col("doc_id") % 3 == 0, "evaluation").when((F.col("doc_id") % 3 == 1) & (F.col("n_chars") > 5000), "reference").otherwise("none")
-    return J.overlapping_groups(table(spark, sf_dir, "documents").select(F.col("source").alias("group"), split.alias("split")))
+    group = F.concat_ws("-", "source", F.coalesce("lang", F.lit("")), F.floor(F.col("n_chars") / 500).cast("string"))
+    return J.overlapping_groups(table(spark, sf_dir, "documents").select(group.alias("group"), F.when(F.col("doc_id") % 3 == 0, "evaluation").otherwise("reference").alias("split")))
 
 
-@query("SELECT 'Pos' || s_nationkey AS position, s_suppkey AS roi_id, CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey % 50)::INT END AS death_frame FROM supplier")
+@query("""WITH rois AS (SELECT 'Pos' || s_nationkey AS position, s_suppkey AS roi_id FROM supplier),
+    labels AS (SELECT position, roi_id, (roi_id % 50)::INT AS death_frame FROM rois WHERE roi_id % 3 = 0 UNION ALL SELECT 'Pos99', roi_id, 1 FROM rois WHERE roi_id % 3 = 1)
+    SELECT position, roi_id, death_frame FROM rois LEFT JOIN labels USING (position, roi_id)""")
 def j13_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rois = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Pos"), F.col("s_nationkey").cast("string")).alias("position"), F.col("s_suppkey").alias("roi_id"))
-    return J.with_labels(rois, rois.where("roi_id % 3 = 0").withColumn("death_frame", (F.col("roi_id") % 50).cast("int")))
+    labels = rois.where("roi_id % 3 = 0").withColumn("death_frame", (F.col("roi_id") % 50).cast("int"))
+    elsewhere = rois.where("roi_id % 3 = 1").withColumn("position", F.lit("Pos99")).withColumn("death_frame", F.lit(1))
+    return J.with_labels(rois, labels.unionByName(elsewhere))
 
 
-@query("""SELECT doc_id AS id, source AS "group", lang AS label, 'en' AS prediction, lang <> 'en' AS false_positive, false AS false_negative FROM documents WHERE doc_id % 4 = 0""")
+@query("""WITH p AS (SELECT doc_id AS id, CASE WHEN n_chars % 4 = 0 THEN 'en' WHEN n_chars % 4 = 1 THEN 'de' ELSE lang END AS prediction FROM documents), t AS (SELECT doc_id AS id, source AS "group", lang AS label FROM documents)
+    SELECT id, "group", label, prediction, prediction <> label AND prediction = 'en' AS false_positive, prediction <> label AND label = 'en' AS false_negative FROM p JOIN t USING (id)""")
 def j14_label_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return J.label_errors(docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.lit("en").alias("prediction")), docs.select(F.col("doc_id").alias("id"), F.col("source").alias("group"), F.col("lang").alias("label")), "en")
+    told = F.when(F.col("n_chars") % 4 == 0, "en").when(F.col("n_chars") % 4 == 1, "de").otherwise(F.col("lang"))
+    return J.label_errors(docs.select(F.col("doc_id").alias("id"), told.alias("prediction")), docs.select(F.col("doc_id").alias("id"), F.col("source").alias("group"), F.col("lang").alias("label")), "en")
 
 
 # --------------------------------------------------- thresholds and masks, 2.7
@@ -751,14 +767,15 @@ def i20_tiled_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GRID_SQL}, q AS (SELECT img, quantile_cont(p_size, 0.01) AS lo, quantile_cont(p_size, 0.99) AS hi FROM gr GROUP BY img) SELECT img, sum(floor(CASE WHEN hi > lo THEN least(greatest((p_size - lo) / (hi - lo), 0), 1) * 255 ELSE 0 END))::BIGINT AS sheet,
-    sum(floor(least(greatest((p_size - 5) / 30.0, 0), 1) * 255))::BIGINT AS movie FROM gr JOIN q USING (img) GROUP BY img""")
+    sum(floor(least(greatest((p_size - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 0), 1) * 255))::BIGINT AS png, sum(floor(least(greatest((p_size - 5) / 30.0, 0), 1) * 255))::BIGINT AS movie FROM gr JOIN q USING (img) GROUP BY img""")
 def i23_i25_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.pixels import contrast
 
     rows = grid(spark, sf_dir)
     limits = rows.select("img").distinct().select("img", F.lit(5.0).alias("low"), F.lit(35.0).alias("high"))
-    one = contrast(rows, ["img"]).groupBy("img").agg(F.sum("gray").alias("sheet"))
-    return one.join(contrast(rows, ["img"], "movie", limits=limits).groupBy("img").agg(F.sum("gray").alias("movie")), "img")
+    forms = {"sheet": contrast(rows, ["img"]), "png": contrast(rows, ["img"], "png"), "movie": contrast(rows, ["img"], "movie", limits=limits)}
+    sheet, png, movie = (r.groupBy("img").agg(F.sum("gray").alias(name)) for name, r in forms.items())
+    return sheet.join(png, "img").join(movie, "img")
 
 
 def disks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -974,23 +991,30 @@ def d23_baseline_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("id", F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x).alias("digest")), 5)
 
 
-@query("SELECT (vec_id // 10)::VARCHAR AS \"group\", CASE WHEN (vec_id // 10) % 4 = 0 THEN 'mixed split' ELSE 'duplicate frame' END AS problem FROM embeddings GROUP BY vec_id // 10 HAVING (vec_id // 10) % 4 = 0 OR (vec_id // 10) % 4 = 1 AND count(*) > 9")
+@query("""WITH r AS (SELECT vec_id // 10 AS g, vec_id % 10 AS f FROM embeddings),
+    m AS (SELECT g::VARCHAR AS "group", CASE WHEN g % 4 = 0 AND f = 0 THEN 'other' WHEN g % 5 = 0 THEN 'evaluation' ELSE 'reference' END AS split, CASE WHEN g % 4 = 1 AND f = 9 THEN 8 ELSE f END AS frame, (g % 4 = 2 AND f = 3)::INT AS channel FROM r)
+    SELECT "group", CASE WHEN count(DISTINCT split) > 1 THEN 'mixed split' WHEN count(DISTINCT channel) > 1 THEN 'mixed channel or plane' ELSE 'duplicate frame' END AS problem
+    FROM m GROUP BY "group" HAVING count(DISTINCT split) > 1 OR count(DISTINCT channel) > 1 OR count(DISTINCT frame) < count(*)""")
 def d24_temporal_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.vectors import temporal_problems
 
     g = F.col("group").cast("int")
-    rows = manifest(spark, sf_dir).withColumn("split", F.when((g % 4 == 0) & (F.col("frame") == 0), "other").otherwise(F.col("split")))
+    rows = manifest(spark, sf_dir).withColumn("split", F.when((g % 4 == 0) & (F.col("frame") == 0), "other").otherwise(F.col("split"))).withColumn("channel", ((g % 4 == 2) & (F.col("frame") == 3)).cast("int"))
     return temporal_problems(rows.withColumn("frame", F.when((g % 4 == 1) & (F.col("frame") == 9), 8).otherwise(F.col("frame"))))
 
 
-@query()
+@query(f"""WITH {V_SQL}, r AS (SELECT vec_id::VARCHAR AS id, 'c' || label AS label FROM vv WHERE NOT is_query)
+    SELECT id, label FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(sha256('42:' || id), 1, 15))::BIGINT, id) <= 64 // (SELECT count(DISTINCT label) FROM r)""")
 def v8_balanced_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.sampling import balanced_subset
 
     return balanced_subset(vectors(spark, sf_dir)[0], 64).select("id", "label")
 
 
-@query()
+@query("""WITH r AS (SELECT vec_id::VARCHAR AS id, (vec_id // 10)::VARCHAR AS "group", (vec_id % 10)::INT AS frame FROM embeddings),
+    c AS (SELECT "group", row_number() OVER (ORDER BY ('0x' || substr(sha256('42:' || "group"), 1, 15))::BIGINT, "group") AS place FROM (SELECT DISTINCT "group" FROM r) QUALIFY place <= 20), n AS (SELECT count(*) AS n FROM c)
+    SELECT id, "group", CASE WHEN place <= greatest(1, least(n - 1, round(n * 0.7))) THEN 'reference' ELSE 'evaluation' END AS split, frame
+    FROM r JOIN c USING ("group"), n QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY ('0x' || substr(sha256('42:' || "group" || ':' || frame), 1, 15))::BIGINT, frame) <= 5""")
 def v9_roi_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.sampling import roi_split
 
@@ -1005,15 +1029,18 @@ def v10_import_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_labelled(rows, 2).select("id", "split", "label")
 
 
-@query("SELECT 'Pos' || s_nationkey AS position, s_suppkey AS roi_id, unnest(range(0, 20))::INT AS frame, (unnest(range(0, 20)) < s_suppkey % 25 OR s_suppkey % 25 >= 20)::INT AS label FROM supplier")
+@query("""WITH l AS (SELECT 'Pos' || s_nationkey AS position, s_suppkey AS roi_id, s_suppkey % 25 AS death, 15 + s_suppkey % 9 AS frames, 'Pos' || s_nationkey || '/Roi' || s_suppkey AS cell FROM supplier),
+    c AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(sha256('42:' || cell), 1, 15))::BIGINT, cell) AS place, count(*) OVER () AS n FROM l), f AS (SELECT *, unnest(range(frames))::INT AS frame FROM c)
+    SELECT position, roi_id, frame, CASE WHEN death >= frames OR frame < death THEN 1 ELSE 0 END AS label, CASE WHEN place <= greatest(1, round_even(n * 0.2, 0)) THEN 'val' ELSE 'train' END AS split FROM f""")
 def v11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.sampling import dataset_manifest
 
     labels = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Pos"), F.col("s_nationkey").cast("string")).alias("position"), F.col("s_suppkey").alias("roi_id"), (F.col("s_suppkey") % 25).cast("int").alias("death_frame"))
-    return dataset_manifest(labels, labels.select("position", "roi_id", F.lit(20).alias("frame_count"))).drop("split")
+    return dataset_manifest(labels, labels.select("position", "roi_id", (15 + F.col("roi_id") % 9).cast("int").alias("frame_count")))
 
 
-@query("SELECT s_suppkey AS roi, unnest(list_distinct([3, 7] || list_transform(range(6), lambda i: (i * (s_suppkey % 90 + 10 - 1) // 5)::BIGINT))) AS frame FROM supplier")
+@query("""WITH r AS (SELECT s_suppkey AS roi, s_suppkey % 90 + 10 AS n FROM supplier), k AS (SELECT unnest(range(6)) AS i)
+    SELECT roi, frame::BIGINT AS frame FROM (SELECT roi, 3 AS frame FROM r UNION SELECT roi, 7 FROM r UNION SELECT roi, floor(i * (n - 1) / 5) FROM r, k)""")
 def v12_overview_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.sampling import overview_frames
 

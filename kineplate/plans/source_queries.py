@@ -13,8 +13,8 @@ from ..operators import joins as J
 from ..operators import scoring as G
 from ..shared import fresh_folder, put_file
 from ..sources import tables as B
-from ..sources import stack_source, tiff
-from .queries import query, rounded, table
+from ..sources import stack_source, stores, tiff
+from .queries import label_rows, query, rounded, table
 
 #: Regions are positions and their nations the ROIs of these; the number of frames follows the region.
 N_SQL = "n AS (SELECT n_regionkey::INT AS pos, n_nationkey::INT AS roi, (n_regionkey + 2)::INT AS frames FROM nation)"
@@ -161,19 +161,26 @@ def s27_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.json_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"))
 
 
-@query("SELECT n_regionkey::INT AS region, count(*) AS rows FROM nation GROUP BY 1")
+@query("SELECT n_regionkey::INT AS region, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS line, n_nationkey::VARCHAR AS key, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN (n_nationkey / 4)::DOUBLE END AS share FROM nation")
 def s15_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = B.workbooks(table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("int").alias("region"), "n_nationkey", "n_name"), "region")
+    """Every cell of every sheet, read back from the workbooks."""
+    share = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") / 4)
+    books = B.workbooks(table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("int").alias("region"), "n_nationkey", "n_name", share.alias("share")), "region")
 
-    def count(batches):  # noqa: ANN001, ANN202
+    def cells(batches):  # noqa: ANN001, ANN202
         import io
+        import re
         import zipfile
 
+        import pandas as pd
+
         for pdf in batches:
-            sheets = [zipfile.ZipFile(io.BytesIO(bytes(c))).read("xl/worksheets/sheet1.xml").count(b"<row>") - 1 for c in pdf.content]
-            yield pdf[["region"]].assign(rows=sheets)
+            for region, content in zip(pdf.region, pdf.content, strict=True):
+                sheet = zipfile.ZipFile(io.BytesIO(bytes(content))).read("xl/worksheets/sheet1.xml").decode()
+                rows = [[re.sub("<[^>]*>", "", c) for c in re.findall(r"<c/>|<c.*?</c>", row)] for row in re.findall("<row>(.*?)</row>", sheet)][1:]
+                yield pd.DataFrame([(region, k + 1, key, name, float(x) if x else None) for k, (key, name, x) in enumerate(rows)], columns=["region", "line", "key", "name", "share"])
 
-    return books.mapInPandas(count, "region int, rows long")
+    return books.mapInPandas(cells, "region int, line int, key string, name string, share double")
 
 
 @query("SELECT p_partkey, p_size::VARCHAR AS whole, (p_size + 0.5)::VARCHAR AS half, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'nan' END AS odd FROM part")
@@ -208,15 +215,67 @@ def o5_newest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(G.newest_checkpoint(spark, folder).split("/")[-1],)], "checkpoint string")
 
 
-@query("SELECT p_partkey::VARCHAR AS id, md5(p_brand) AS sha, length(p_brand)::DOUBLE AS size FROM part")
+@query("SELECT p_partkey::VARCHAR AS id, md5(p_brand) AS sha, (length(p_brand) + CASE WHEN split_part(p_brand, '#', 2)::INT % 2 = 1 THEN 1000 ELSE 0 END)::DOUBLE AS size, split_part(p_brand, '#', 2)::DOUBLE AS told FROM part")
 def v7_embed_with_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second brand comes from the cache, the others are encoded."""
+    """Brands that end in an odd digit come from the cache, where 1000 marks them, the others are encoded."""
     images = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").cast("binary").alias("content"))
-    known = images.select("content").distinct().where(F.crc32("content") % 2 == 0)
+    text = F.col("content").cast("string")
+    known = images.select("content").distinct().where(F.substring_index(text, "#", -1).cast("int") % 2 == 1)
     identity = G.cache_key("m", "1", "p")
-    cache = known.select(F.lit(identity).alias("identity"), F.sha2("content", 256).alias("sha"), F.array(F.length("content").cast("float")).alias("vector"))
-    vectors, _ = G.embed_with_cache(images, cache, lambda contents: [[float(len(c))] for c in contents], identity)
-    return vectors.join(images, "id").select("id", F.md5("content").alias("sha"), F.col("vector")[0].cast("double").alias("size"))
+    cache = known.select(F.lit(identity).alias("identity"), F.sha2("content", 256).alias("sha"), F.array((F.length(text) + 1000).cast("float"), F.substring_index(text, "#", -1).cast("float")).alias("vector"))
+    vectors, _ = G.embed_with_cache(images, cache, lambda contents: [[float(len(c)), float(c.split(b"#")[1])] for c in contents], identity)
+    return vectors.join(images, "id").select("id", F.md5("content").alias("sha"), F.col("vector")[0].cast("double").alias("size"), F.col("vector")[1].cast("double").alias("told"))
+
+
+@query("SELECT p_partkey::VARCHAR AS id, length(p_brand)::DOUBLE AS size, split_part(p_brand, '#', 2)::DOUBLE AS told, (SELECT count(DISTINCT p_brand) FROM part) AS cached FROM part")
+def v7_cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the images fill a cache on disk, all of them the rest of it; a third run, whose encoder fails, finds everything."""
+    images = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").cast("binary").alias("content"))
+    path, identity = fresh_folder(spark), G.cache_key("m", "2", "p")
+
+    def encode(contents):  # noqa: ANN001, ANN202
+        return [[float(len(c)), float(c.split(b"#")[1])] for c in contents]
+
+    def fail(contents):  # noqa: ANN001, ANN202
+        raise ValueError("nothing is left to encode")
+
+    stores.embed_images(spark, images.where(F.substring_index(F.col("content").cast("string"), "#", -1).cast("int") % 2 == 1), path, encode, identity)
+    stores.embed_images(spark, images, path, encode, identity)
+    found = stores.embed_images(spark, images, path, fail, identity)
+    cached = stores.embedding_cache(spark, path, identity).agg(F.count("*").alias("cached"))
+    return found.join(cached).select("id", F.col("vector")[0].cast("double").alias("size"), F.col("vector")[1].cast("double").alias("told"), "cached")
+
+
+@query("""WITH old AS (SELECT 'Pos' || s_nationkey AS position, s_suppkey AS roi_id, (s_suppkey % 50)::INT AS death, 0 AS n FROM supplier),
+    new AS (SELECT position, roi_id, 7 AS death, 1 AS n FROM old WHERE roi_id % 3 = 0 UNION ALL SELECT position, roi_id, 5, 1 FROM old WHERE roi_id % 9 = 0 UNION ALL SELECT position, roi_id + 100000, 1, 1 FROM old WHERE roi_id % 5 = 0)
+    SELECT position, roi_id, death AS death_frame FROM (SELECT * FROM old UNION ALL SELECT * FROM new) QUALIFY row_number() OVER (PARTITION BY position, roi_id ORDER BY n DESC, death DESC) = 1""")
+def s22_label_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written to a store, changed there, and read again."""
+    rows, changes = label_rows(spark, sf_dir)
+    path = fresh_folder(spark)
+    stores.put_labels(spark, path, rows, 60)
+    stores.put_labels(spark, path, changes, 60)
+    return stores.label_store(spark, path).select("position", "roi_id", "death_frame")
+
+
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, vec_id % 3 AS kind, embedding FROM embeddings)
+    SELECT i AS ref_idx, 'v' || vec_id AS id, CASE kind WHEN 0 THEN 'viable' ELSE 'dead' END AS label, round(list_sum(embedding::DOUBLE[]), 3) AS total FROM r WHERE (vec_id // 10) % 5 <> 0 AND kind < 2""")
+def s25_reference_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with a manifest and an array file made from the embeddings, imported twice into a store and read from it."""
+    import io
+
+    rows = table(spark, sf_dir, "embeddings").orderBy("vec_id").toPandas()  # a fixture of a few thousand vectors
+    folder, path = fresh_folder(spark), fresh_folder(spark)
+    listed = [{"id": f"v{v}", "group": f"g{v // 10}", "split": "reference" if v // 10 % 5 else "evaluation", "label": ("viable", "dead", "uncertain")[v % 3]} for v in rows.vec_id]
+    out = io.BytesIO()
+    np.save(out, np.stack(rows.embedding.to_numpy()).astype(np.float32))
+    put_file(spark, f"{folder}/manifest.json", json.dumps({"rows": listed}).encode())
+    put_file(spark, f"{folder}/embeddings.json", json.dumps({"model_id": "m", "revision": "1", "ids": [r["id"] for r in listed]}).encode())
+    put_file(spark, f"{folder}/embeddings.npy", out.getvalue())
+    for _ in range(2):
+        stores.add_collection(spark, path, "c", stores.read_collection(spark, folder, "m", "1", 64))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return stores.collection(spark, path, "c").select("ref_idx", "id", "label", F.round(total, 3).alias("total"))
 
 
 @query("SELECT p_partkey::VARCHAR AS id FROM part WHERE p_partkey % 10 = 3")

@@ -125,16 +125,20 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_o")
 
 
-def upsert_labels(labels: DataFrame, changes: DataFrame, frame_count: int, now: datetime | None = None) -> DataFrame:
-    """Labels with changes(position, roi_id, death_frame) put in, sorted by key; frames outside 0..frame_count are errors."""
+def upserted(labels: DataFrame, changes: DataFrame, frame_count: int, now: datetime | None = None) -> DataFrame:
+    """labels with changes(position, roi_id, death_frame) put in; frames outside 0..frame_count are errors."""
     ok = F.col("death_frame").between(0, frame_count)
     stamp = (now or datetime.now(UTC)).isoformat()
     new = changes.select("position", "roi_id", F.when(ok, F.col("death_frame")).otherwise(_fail("death_frame is outside the movie", "int")).alias("death_frame"), F.lit(stamp).alias("labeled_at"), F.lit(1).alias("_n"))
     both = labels.select("position", "roi_id", "death_frame", "labeled_at", F.lit(0).alias("_n")).unionByName(new)
     # of several changes of one key the latest death frame stands, and none before any
     order = Window.partitionBy("position", "roi_id").orderBy(F.desc("_n"), F.desc("death_frame"))
-    rows = both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_n")
-    return rows.orderBy(F.concat("position", F.lit("/Roi"), F.col("roi_id").cast("string")))
+    return both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_n")
+
+
+def upsert_labels(labels: DataFrame, changes: DataFrame, frame_count: int, now: datetime | None = None) -> DataFrame:
+    """Labels with changes put in, sorted by key."""
+    return upserted(labels, changes, frame_count, now).orderBy(F.concat("position", F.lit("/Roi"), F.col("roi_id").cast("string")))
 
 
 def check_references(references: DataFrame, model: str, revision: str) -> DataFrame:
