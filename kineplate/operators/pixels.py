@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from ..shared import lasting
 from . import histogram as H
-from .running import whole_groups
+from .running import each_series, whole_groups
 
 #: Fixed values of the assay: smallest component, cell diameter, seed and diameter rules.
 MIN_PIXELS, DIAMETER = 4, 10.0
@@ -210,23 +210,31 @@ def distance(pixels: DataFrame, keys: list[str], on: str = "on", into: str = "di
     return rows.repartition(*keys, "y").sortWithinPartitions(*keys, "y", "x").mapInArrow(fold, schema)
 
 
-def seeds(pixels: DataFrame, keys: list[str], on: str = "on", diameter: float = DIAMETER, value: str = "distance") -> DataFrame:
-    """(keys, y, x, seed): local maxima of the distance, the farthest from background first, then in raster order, none closer than the spacing to an earlier one; numbered from 1.
+def spaced(y: np.ndarray, x: np.ndarray, spacing: float) -> np.ndarray:
+    """O3: indices of points, in their order, that are no nearer than spacing to one taken before. Points lie in squares of the spacing's side, so a point meets only those of nine squares, a few each."""
+    squares: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    taken = []
+    for k, (a, b) in enumerate(zip(y.tolist(), x.tolist(), strict=True)):
+        i, j = int(a // spacing), int(b // spacing)
+        near = (p for dy, dx in NEAR for p in squares.get((i + dy, j + dx), ()))
+        if all((a - c) ** 2 + (b - d) ** 2 >= spacing * spacing for c, d in near):
+            squares.setdefault((i, j), []).append((a, b))
+            taken.append(k)
+    return np.array(taken, np.int64)
 
-    The maxima of an image are few; the choice among them is a fold over their
-    sorted array.
-    """
+
+def seeds(pixels: DataFrame, keys: list[str], on: str = "on", diameter: float = DIAMETER, value: str = "distance") -> DataFrame:
+    """(keys, y, x, seed): local maxima of the distance, the farthest from background first, then in raster order, none closer than the spacing to an earlier one; numbered from 1."""
     spacing, least = max(SPACING_SHARE * diameter, 1.0), max(SEED_SHARE * diameter, 1.0)
     rows = neighbour_max(pixels.withColumn("_d", F.when(F.col(on), F.col(value))), keys, "_d", "_m")
-    tops = rows.where(F.col(on) & (F.col(value) >= least) & (F.col("_d") >= F.col("_m")))
-    ordered = tops.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col(value)).alias("d"), "y", "x"))).alias("_t"))
+    tops = rows.where(F.col(on) & (F.col(value) >= least) & (F.col("_d") >= F.col("_m"))).select(*keys, "y", "x", (-F.col(value)).alias("_o"))
 
-    def put(kept: Column, one: Column) -> Column:
-        close = F.exists(kept, lambda k: (k.y - one.y) * (k.y - one.y) + (k.x - one.x) * (k.x - one.x) < spacing * spacing)
-        return F.when(close, kept).otherwise(F.concat(kept, F.array(one)))
+    def run(image: pa.Table) -> pa.RecordBatch:
+        kept = spaced(image.column("y").to_numpy(), image.column("x").to_numpy(), spacing)
+        made = image.select([*keys, "y", "x"]).take(kept).append_column("seed", pa.array(np.arange(1, len(kept) + 1), pa.int32()))
+        return made.combine_chunks().to_batches()[0]
 
-    kept = F.aggregate("_t", F.slice("_t", 1, 0), put)
-    return ordered.select(*keys, F.posexplode(kept).alias("_k", "_s")).select(*keys, "_s.y", "_s.x", (F.col("_k") + 1).alias("seed"))
+    return each_series(tops, keys, ["_o", "y", "x"], run, StructType([*tops.drop("_o").schema.fields, StructField("seed", IntegerType())]))
 
 
 def watershed(pixels: DataFrame, keys: list[str]) -> DataFrame:

@@ -801,7 +801,12 @@ DISK_SQL = """s AS (SELECT s_suppkey::INT AS s, s_nationkey AS frame FROM suppli
         EXISTS (SELECT 1 FROM s WHERE s.frame = fr.frame AND power(b.k + 0.5 - (s * 23 + 9) % 64, 2) + power(a.k + 0.5 - (s * 13 + 5) % 64, 2) <= 49) AS tumor FROM fr, ax a, ax b)"""
 
 
-@query()
+@query(f"""WITH RECURSIVE {DISK_SQL}, g AS (SELECT frame, y, x, x - row_number() OVER (PARTITION BY frame, y ORDER BY x) AS piece FROM dp WHERE tumor),
+    runs AS (SELECT frame, y, min(x) AS a, max(x) AS b, y * 64 + min(x) AS id FROM g GROUP BY frame, y, piece),
+    near AS (SELECT p.frame, p.id AS a, q.id AS b FROM runs p JOIN runs q ON p.frame = q.frame AND abs(p.y - q.y) = 1 AND p.a <= q.b + 1 AND q.a <= p.b + 1),
+    reach AS (SELECT frame, id AS root, id FROM runs UNION SELECT reach.frame, reach.root, near.b FROM reach JOIN near ON near.frame = reach.frame AND near.a = reach.id),
+    lab AS (SELECT frame, id, min(root) AS root FROM reach GROUP BY frame, id), size AS (SELECT frame, root, sum(b - a + 1) AS n FROM lab JOIN runs USING (frame, id) GROUP BY frame, root)
+    SELECT frame, count(*)::INT AS tumor_cells FROM size WHERE n >= 4 GROUP BY frame""")
 def a16_tumor_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.pixels import components, count_labels
 
@@ -819,7 +824,13 @@ def i10_local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("frame").agg(F.count("*").alias("maxima"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DISK_SQL}, off AS (SELECT * FROM dp WHERE NOT engager), d AS (SELECT a.frame, a.y, a.x, min((a.y - o.y) * (a.y - o.y) + (a.x - o.x) * (a.x - o.x)) AS q FROM dp a JOIN off o ON a.frame = o.frame AND o.y BETWEEN a.y - 20 AND a.y + 20 AND o.x BETWEEN a.x - 20 AND a.x + 20 WHERE a.engager GROUP BY ALL),
+    top AS (SELECT a.* FROM d a WHERE a.q >= 6.25 AND NOT EXISTS (SELECT 1 FROM d b WHERE b.frame = a.frame AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND b.q > a.q)),
+    ranked AS (SELECT frame, y, x, row_number() OVER (PARTITION BY frame ORDER BY q DESC, y, x) AS k FROM top),
+    g(frame, k, kept) AS (SELECT frame, 1::BIGINT, [{{'y': y, 'x': x}}] FROM ranked WHERE k = 1
+        UNION ALL SELECT g.frame, r.k, CASE WHEN len(list_filter(kept, lambda p: (p.y - r.y) * (p.y - r.y) + (p.x - r.x) * (p.x - r.x) < 30.25)) = 0 THEN list_append(kept, {{'y': r.y, 'x': r.x}}) ELSE kept END FROM g JOIN ranked r ON r.frame = g.frame AND r.k = g.k + 1),
+    last AS (SELECT frame, arg_max(kept, k) AS kept FROM g GROUP BY frame)
+    SELECT frame, kept[seed].y AS y, kept[seed].x AS x, seed::INT AS seed FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS seed FROM last)""")
 def o3_i10_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import pixels as X
 

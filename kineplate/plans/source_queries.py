@@ -289,3 +289,17 @@ def v6_changed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = G.batch_numbers(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], 32, "event_id")
     return rows.groupBy("user_id").agg(F.count("*").alias("frames"), F.max("batch").alias("last_batch"))
+
+
+@query("SELECT 'Pos' || s_nationkey AS position, s_suppkey::INT AS roi_id, CASE WHEN s_suppkey % 2 = 0 THEN (s_suppkey % 50)::INT END AS death_time_toto, s_suppkey % 5 + 1 AS frames, (s_suppkey / 4)::DOUBLE AS last FROM supplier")
+def s28_inference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inference rows written as JSON and read again."""
+    k, path = F.col("s_suppkey"), fresh_folder(spark)
+    series = F.transform(F.sequence(F.lit(0).cast("long"), k % 5), lambda i: F.when(i == k % 5, k / 4).otherwise(0.0).cast("float"))
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("Pos"), F.col("s_nationkey").cast("string")).alias("position"), k.cast("int").alias("roi_id"), (k % 5 + 1).cast("int").alias("frame_count"), F.when(k % 2 == 0, (k % 50).cast("int")).alias("death_time_toto"),
+        F.lit(None).cast("int").alias("death_time_viability"), series.alias("toto_raw"), series.alias("toto_alive"), series.alias("death_probability"),
+    )
+    B.write_inference(rows, path)
+    back = B.read_inference(spark, path)
+    return back.select("position", "roi_id", "death_time_toto", F.size("toto_raw").cast("long").alias("frames"), F.element_at("death_probability", -1).cast("double").alias("last"))

@@ -176,3 +176,14 @@ def test_box_filters_of_any_radius(spark):
     rows = pixels(spark, images, "v").persist()
     for radius in (0, 1, 5, 40):
         check(P.box_mean(rows, ["k"], radius), images, "mean", lambda v: K.box_mean(v, radius))  # noqa: B023
+
+
+def test_spaced_points():
+    rng = np.random.default_rng(9)
+    for spacing in (1.0, 2.5, 5.5):
+        y, x = rng.integers(0, 60, (2, 900))
+        want = []
+        for k in range(900):
+            if all((y[k] - y[j]) ** 2 + (x[k] - x[j]) ** 2 >= spacing**2 for j in want):
+                want.append(k)
+        assert P.spaced(y, x, spacing).tolist() == want
