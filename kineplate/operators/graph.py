@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import Shelf, lasting
+from ..shared import Shelf, stored
 
 #: Links that one task joins at the end, and how often pointers are followed to their pointers in a round.
 FEW, JUMPS = 1 << 16, 2
 
 
-def connected(edges: DataFrame, few: int = FEW, told: list[int] | None = None, keep: Callable[[DataFrame], DataFrame] = lasting) -> DataFrame:
+def connected(edges: DataFrame, few: int = FEW, told: list[int] | None = None, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """(id, component): the smallest id reachable from every id that has a link in edges(a, b). Ids are of any type that can be ordered; links with a null end and of an id with itself are left out.
 
     In each round every node points to that one of itself and its neighbours

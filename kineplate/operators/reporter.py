@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import DIFF_MAD, finite, quantile
-from ..shared import lasting
+from ..shared import stored
 from .running import each_series, medians_before, squares_before
 from .selection import exact_quantiles
 
@@ -75,7 +75,8 @@ def best_step(v: np.ndarray, noise: float, min_step: float) -> tuple[int, float,
     pre, post = medians_before(v)[1:n], medians_before(v[::-1])[n - 1 : 0 : -1]
     mad = medians_before(np.abs(np.diff(v))) / DIFF_MAD
     least = np.maximum(np.maximum(min_step, SIGMAS * mad[-1]), SHARE * np.abs(pre))
-    held = np.array([np.median(v[k : k + SUSTAIN]) for k in range(1, n)])
+    whole = np.median(np.lib.stride_tricks.sliding_window_view(v, SUSTAIN), 1)[1:] if n >= SUSTAIN else v[:0]
+    held = np.r_[whole, [np.median(v[k:]) for k in range(max(n - SUSTAIN + 1, 1), n)]]  # windows at the end are shorter
     good = np.flatnonzero((post - pre >= least) & (held - pre >= SUSTAIN_SHARE * least))
     if not len(good):
         return None
@@ -102,7 +103,7 @@ def sustained_steps(series: DataFrame, pooled: DataFrame) -> DataFrame:
 
 def viability_calls(series: DataFrame) -> DataFrame:
     """(sample_idx, pos, roi, dead, death_frame, baseline, peak, snr) for every series."""
-    stats = lasting(roi_stats(series))
+    stats = stored(roi_stats(series))
     pooled = calibration(stats)
     rows = stats.join(F.broadcast(pooled)).join(sustained_steps(series, pooled), list(KEY), "left")
     stepped = F.col("step_frame").isNotNull()

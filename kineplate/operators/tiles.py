@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from ..shared import lasting, numbered
+from ..shared import numbered, stored
 from .graph import connected
 from .pixels import MIN_PIXELS
 
@@ -154,8 +154,8 @@ def _told(parts: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
 
 def component_tiles(tiles: DataFrame, keys: list[str], least: int = MIN_PIXELS) -> DataFrame:
     """(keys, place, label): 8-connected components numbered in raster order over the whole image from 1; those of fewer pixels have label 0, their numbers stay unused."""
-    parts = lasting(_pieces(tiles, keys, True, False))
-    merged = lasting(_merged(parts, keys, True))
+    parts = stored(_pieces(tiles, keys, True, False))
+    merged = stored(_merged(parts, keys, True))
     roots = merged.select(*keys, "root").distinct()
     ranks = numbered(roots, [*(F.col(k) for k in keys), F.col("root")], keys, "rank")
     same = F.col("m.root") == F.col("r.root")
@@ -168,7 +168,7 @@ def component_tiles(tiles: DataFrame, keys: list[str], least: int = MIN_PIXELS)
 
 def fill_tiles(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, place, on): those background pixels on as well that no 4-connected path joins to the image's border."""
-    parts = lasting(_pieces(tiles, keys, False, True))
+    parts = stored(_pieces(tiles, keys, False, True))
     values = _merged(parts, keys, False).select(*keys, "ty", "tx", "id", (~F.col("edge")).cast("int").alias("value"))
     filled = _relabelled(_told(parts, values, keys), keys, "hole")
     return filled.withColumn("on", F.zip_with("on", "hole", lambda a, b: a | (b > 0))).drop("hole")

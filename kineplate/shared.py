@@ -29,6 +29,13 @@ def lasting(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As lasting, by a Parquet table: df is computed once, where a checkpoint computes it twice, but how it was dealt out is forgotten."""
+    path = fresh_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Shelf:
     """Parquet tables of one call in a folder of their own, which goes when the call ends.
 
@@ -96,7 +103,7 @@ def put_file(spark: SparkSession, path: str, content: bytes, modified: int | Non
         system.setTimes(target, modified, -1)
 
 
-def numbered(df: DataFrame, order: list[Column], within: list[str] | None = None, name: str = "number", save: Callable[[DataFrame], DataFrame] = lasting) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], within: list[str] | None = None, name: str = "number", save: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """df with the place (from 0) of every row in the given order, counted anew in each group of `within`, which the order must begin with.
 
     Rows are dealt out by ranges of the order and sorted there; a row's place is
