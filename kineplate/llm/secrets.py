@@ -8,6 +8,9 @@ so codes that decode to themselves end. Every character of a layer carries
 the span of the raw text that it came from; spans found in a layer are
 reported there.
 
+Compressed data that are damaged or break off are read up to that place, as
+many runs only look compressed; any other failure fails the task.
+
 Null and empty texts have no spans. Repeated rows are scanned each for itself.
 """
 
@@ -15,15 +18,15 @@ from __future__ import annotations
 
 import base64
 import binascii
-import io
-import itertools
+import hashlib
 import re
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,10 @@ LINES = re.compile(r"[A-Za-z0-9+/_-]{4,}={0,2}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{4
 STRETCH = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
 #: Bytes of decompressed data that are looked at together, and those that pieces share at least.
 PIECE, SHARED = 4 << 20, 1 << 16
+#: Bytes that are unpacked at a time, and the largest window that zstd can hold.
+STEP, MOST_WINDOW = 1 << 14, 1 << 31
+#: Head of a zstd frame that holds no data.
+SKIPPED = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18")
 _TAIL = re.compile(rb"[A-Za-z0-9+/_=%\\.:\"'\x20\r\n\t-]*\Z")
 SCHEMA = "doc_id long, spans array<struct<kind: string, start: int, end: int, layer: int>>"
 
@@ -73,72 +80,158 @@ def packed(head: bytes) -> bool:
     return head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0 or head[:4] == b"\x28\xb5\x2f\xfd"
 
 
-class Stream(io.RawIOBase):
-    """Pieces of bytes as a file."""
+class Unpacker:
+    """What a file's members or frames unfold to, one after another; what follows the last one comes as it is.
+
+    The file is sent in pieces where `run` gives None, an empty piece ends it.
+    Damaged data and data that break off end the rest, after everything that
+    stands before that place. Only what zlib and zstd call damaged is taken for
+    that; any other failure fails the task.
+    """
+
+    def __init__(self):
+        self.held, self.more = b"", True
+
+    def run(self) -> Generator[bytes | None, bytes, None]:
+        frames = False
+        while True:
+            yield from self.need(4)
+            if frames and SKIPPED.match(self.held):
+                whole = yield from self.skipped()
+            elif not packed(self.held[:4]):
+                break
+            elif frames := self.held[:1] == b"\x28":
+                whole = yield from self.frame()
+            else:
+                whole = yield from self.member()
+            if not whole:
+                return
+        while self.held:
+            yield self.take(len(self.held))
+            yield from self.need(1)
+
+    def need(self, n: int) -> Generator[None, bytes, None]:
+        while self.more and len(self.held) < n:
+            fresh = yield None
+            self.more = bool(fresh)
+            self.held += fresh
+
+    def take(self, n: int) -> bytes:
+        taken, self.held = self.held[:n], self.held[n:]
+        return taken
+
+    def member(self) -> Generator[bytes | None, bytes, bool]:
+        """A gzip or zlib member."""
+        member, before = zlib.decompressobj(47), zlib.decompressobj(47)
+        while not member.eof:
+            yield from self.need(1)
+            try:
+                piece = member.decompress(self.held, STEP)
+            except zlib.error:
+                yield from until_damaged(before, self.held)
+                return False
+            if piece:
+                yield piece
+            elif not self.held:
+                return False
+            self.held = member.unused_data or member.unconsumed_tail
+            before = member if member.eof else member.copy()
+        return True
 
-    def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.rest = pieces, b""
+    def frame(self) -> Generator[bytes | None, bytes, bool]:
+        """A zstd frame, block by block: a call that meets damage gives nothing of what it decoded before."""
+        yield from self.need(18)
+        try:
+            about = zstandard.get_frame_parameters(self.held)
+            if about.window_size > MOST_WINDOW:
+                return False
+            decoder = zstandard.ZstdDecompressor(max_window_size=MOST_WINDOW).decompressobj()
+            step, last = zstandard.frame_header_size(self.held), False
+            while step:
+                yield from self.need(step)
+                whole = len(self.held) >= step
+                if piece := decoder.decompress(self.take(step)):
+                    yield piece
+                if not whole:
+                    return False
+                if last:
+                    step = 0 if decoder.eof else 4  # the checksum
+                    continue
+                yield from self.need(3)
+                block = int.from_bytes(self.held[:3], "little")
+                last, step = bool(block & 1), 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
+        except zstandard.ZstdError as error:
+            if "not enough memory" in str(error):
+                raise MemoryError(str(error)) from error
+            return False
+        return True
 
-    def readable(self) -> bool:
+    def skipped(self) -> Generator[None, bytes, bool]:
+        yield from self.need(8)
+        left = int.from_bytes(self.take(8)[4:], "little")
+        while left:
+            yield from self.need(1)
+            if not self.held:
+                return False
+            left -= len(self.take(left))
         return True
 
-    def readinto(self, room: memoryview) -> int:
-        while not self.rest:
-            if (piece := next(self.pieces, None)) is None:
-                return 0
-            self.rest = piece
-        n = min(len(room), len(self.rest))
-        room[:n], self.rest = self.rest[:n], self.rest[n:]
-        return n
 
+def until_damaged(member: zlib._Decompress, data: bytes) -> Iterator[bytes]:
+    """What a member gives before the byte that shows the damage."""
+    for k in range(len(data)):
+        try:
+            if piece := member.decompress(data[k : k + 1]):
+                yield piece
+        except zlib.error:
+            return
 
-def inflate(source: io.BufferedReader) -> Iterator[bytes]:
-    """What a file's members or frames unfold to, one after another; broken data end it, and what follows the last member comes as it is."""
-    try:
-        while packed(head := source.peek(4)[:4]):
-            if head[:1] == b"\x28":
-                import zstandard
 
-                # one frame that ends within the input is followed by the next
-                reader = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
-                while piece := reader.read(1 << 16):
-                    yield piece
+def inflate(data: bytes, levels: int) -> Iterator[bytes]:
+    """Pieces of what data unfold to so many times. The levels call one another in this loop, as they may be more than Python's stack holds."""
+    stages = [Unpacker().run() for _ in range(levels)]
+    wants = [next(s) is None for s in stages]
+    at, k, fed = 0, levels - 1, None
+    while True:
+        if wants[k] and fed is None:
+            if k:
+                k -= 1
+                continue
+            fed, at = data[at : at + STEP], at + STEP
+        try:
+            piece = stages[k].send(fed)
+        except StopIteration:
+            piece = b""
+        fed, wants[k] = None, piece is None
+        if piece is not None:
+            if k < levels - 1:
+                k, fed = k + 1, piece
+            elif piece:
+                yield piece
+            else:
                 return
-            member = zlib.decompressobj(47)
-            data = b""
-            while not member.eof:
-                data = member.unconsumed_tail or source.read1(1 << 14)
-                piece = member.decompress(data, 1 << 16)
-                if piece:
-                    yield piece
-                elif not data:
-                    return
-            if member.unused_data:
-                source = io.BufferedReader(Stream(itertools.chain([member.unused_data], iter(lambda s=source: s.read1(1 << 14), b""))))
-        yield from iter(lambda: source.read1(1 << 16), b"")
-    except Exception:  # broken data of whatever kind have no more to give
-        return
 
 
 def unfold(data: bytes) -> Iterator[bytes]:
     """Overlapping pieces of what compressed data unfold to, and of what that unfolds to, until nothing looks compressed (text may look so, too)."""
-    heads: set[bytes] = set()
-    for level in itertools.count():
-        source = io.BufferedReader(io.BytesIO(data))
-        for _ in range(level):
-            source = io.BufferedReader(Stream(inflate(source)))
-        head = source.peek(64)[:64]
-        if level:
-            yield from pieces(source)
-        if not packed(head) or head in heads:  # data that unfold to themselves end
+    seen, levels, first = set(), 0, data
+    while packed(first[:4]):
+        mark = hashlib.sha256(first).digest()
+        if mark in seen:  # data that unfold to themselves end
             return
-        heads.add(head)
+        seen.add(mark)
+        levels, first, only = levels + 1, b"", False
+        for k, piece in enumerate(pieces(inflate(data, levels))):
+            first, only = first or piece, not k
+            yield piece
+        if only:  # held as a whole, so the next level starts from here
+            data, levels = first, 0
 
 
-def pieces(source: io.BufferedReader) -> Iterator[bytes]:
+def pieces(source: Iterator[bytes]) -> Iterator[bytes]:
     """Overlapping pieces; a piece's last run of encoded text starts the next one."""
     held, fresh = bytearray(), 0
-    while more := source.read1(1 << 16):
+    for more in source:
         held += more
         fresh += len(more)
         if fresh >= max(PIECE, len(held) // 2):

@@ -165,3 +165,59 @@ def test_long_runs_take_time_in_proportion():
         text = "x" * 1_000_000 + code
         assert ("assign", 1_000_000, len(text)) in [s[:3] for s in S.find(text)]
     assert time.perf_counter() - began < 30
+
+
+def test_damage_ends_data_after_what_precedes_it_and_no_failure_passes_for_it(monkeypatch):
+    import random
+
+    import zstandard
+
+    rng = random.Random(5)
+
+    def letters(n):
+        return bytes(rng.choices(b"abcdefghijk mnop", k=n))
+
+    def found(data):
+        return "assign" in [g[0] for g in S.find(base64.b64encode(data).decode())]
+
+    def zstd(data, **how):
+        coder = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(chain_log=10, hash_log=10, strategy=1, **how)).compressobj()
+        return coder.compress(data) + coder.flush()
+
+    inner = letters(400) + b" token=" + bytes(rng.choices(b"abcdefghijk", k=60)) + b" y"
+    for data in (gzip.compress(inner), zlib.compress(inner), zstd(inner, write_checksum=1)):
+        assert found(data) and found(gzip.compress(data)) and found(data[:-1] + bytes([data[-1] ^ 1])) and found(data[:-1])
+    blocks = bytearray(zstd(letters(1000) + inner + letters(300_000)))
+    blocks[-3000] ^= 255
+    assert found(bytes(blocks))
+    # windows over zstd's usual limit, other members behind frames, many members, many levels
+    assert found(zstd(inner, window_log=28)) and found(zstd(b"first") + gzip.compress(inner)) and found(zstd(b"first") + b"\x50\x2a\x4d\x18\x02\0\0\0ab" + zstd(inner))
+    assert found(b"".join(gzip.compress(b"a%d" % k) for k in range(1000)) + gzip.compress(inner))
+    deep = inner
+    for _ in range(500):
+        deep = gzip.compress(deep, mtime=0)
+    assert found(deep)
+    for kind, data in ((zlib, gzip.compress(inner)), (zstandard, zstd(inner))):
+        for failure in (MemoryError, OSError):
+            with monkeypatch.context() as m:
+                m.setattr(kind, "decompressobj" if kind is zlib else "ZstdDecompressor", lambda *a, failure=failure, **b: (_ for _ in ()).throw(failure))
+                with pytest.raises(failure):
+                    found(data)
+
+
+def test_members_and_frames_match_their_libraries():
+    import random
+
+    import zstandard
+
+    rng = random.Random(6)
+    for _ in range(60):
+        parts, want = [], b""
+        for _ in range(rng.randint(1, 6)):
+            piece = bytes(rng.choices(b"abc", k=rng.choice([0, 1, 10, 1000, 70_000])))
+            pack = rng.choice([gzip.compress, zlib.compress, zstandard.ZstdCompressor(write_checksum=rng.random() < 0.5, write_content_size=rng.random() < 0.5).compress])
+            parts.append(pack(piece))
+            want += piece
+        tail = rng.choice([b"", b"plain tail", b"ab"])
+        whole = b"".join(parts) + tail
+        assert b"".join(S.inflate(whole, 1)) == want + tail == b"".join(S.inflate(gzip.compress(whole), 2))
