@@ -45,10 +45,15 @@ def robust_scale(histogram: DataFrame, keys: list[str], every: DataFrame | None
     return every.select(*keys).distinct().join(out, keys, "left").select(*keys, F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("threshold", F.lit(MAX_DOUBLE)).alias("threshold"))
 
 
+def _beside(pixels: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels joined to the one row of their group. A task holds its groups' rows hashed and lets the pixels pass, so that they are never sorted."""
+    return pixels.join(groups.hint("shuffle_hash"), keys)
+
+
 def _limited(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, v, low, high): values with their group's smallest and largest, one row per group joined to the pixels."""
     limits = pixels.groupBy(*keys).agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))
-    return pixels.select(*keys, F.col(value).cast("double").alias("v")).join(limits, keys)
+    return _beside(pixels.select(*keys, F.col(value).cast("double").alias("v")), limits, keys)
 
 
 def otsu_levels(pixels: DataFrame, keys: list[str], value: str = "v", levels: int = 255) -> DataFrame:
@@ -64,16 +69,16 @@ def otsu_levels(pixels: DataFrame, keys: list[str], value: str = "v", levels: in
 
 
 def _between(counts: DataFrame, keys: list[str], place: Column) -> DataFrame:
-    """The rows of counts(keys, level, n, ...) with the first largest between-class variance."""
+    """(keys, low, high, level, x): the row of counts(keys, low, high, level, n) with the first largest between-class variance, or the only one of a constant group."""
     upto = Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     rows = counts.withColumn("x", place).withColumn("w", F.sum("n").over(upto)).withColumn("s", F.sum(F.col("n") * F.col("x")).over(upto))
-    rows = rows.withColumn("wt", F.sum("n").over(whole)).withColumn("st", F.sum(F.col("n") * F.col("x")).over(whole)).where("w < wt")
-    gap = F.col("s") / F.col("w") - (F.col("st") - F.col("s")) / (F.col("wt") - F.col("w"))
+    rows = rows.withColumn("wt", F.sum("n").over(whole)).withColumn("st", F.sum(F.col("n") * F.col("x")).over(whole)).where("w < wt OR low = high")
+    gap = F.col("s") / F.col("w") - (F.col("st") - F.col("s")) / F.nullif(F.col("wt") - F.col("w"), F.lit(0))
     # rounded, so that equal variances that differ in their last bits stay ties
     score = F.round(F.col("w") * (F.col("wt") - F.col("w")) * gap * gap / (F.col("wt") * F.col("wt")), 9)
-    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "level")
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    best = F.max(F.struct(score.alias("score"), (-F.col("level")).alias("back"), "low", "high", "level", "x"))
+    return rows.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.low", "best.high", "best.level", "best.x")
 
 
 def otsu_centres(pixels: DataFrame, keys: list[str], value: str = "v", bins: int = 256) -> DataFrame:
@@ -84,14 +89,12 @@ def otsu_centres(pixels: DataFrame, keys: list[str], value: str = "v", bins: int
     bin = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
     counts = rows.groupBy(*keys, "low", "high", bin.alias("level")).agg(F.count("*").alias("n"))
     centre = F.col("low") + (F.col("level") + 0.5) * (F.col("high") - F.col("low")) / bins
-    found = _between(counts, keys, centre).select(*keys, F.col("x").alias("threshold"))
-    flat = counts.where("low = high").select(*keys, F.col("low").alias("threshold"))
-    return found.join(flat.select(*keys), keys, "left_anti").unionByName(flat)
+    return _between(counts, keys, centre).select(*keys, F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("x")).alias("threshold"))
 
 
 def minority_counts(pixels: DataFrame, thresholds: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """I4: (keys, above, n, on, kept): how many pixels lie above a threshold and how many the minority mask keeps; `above` wins ties, a one-sided split keeps none."""
-    one = pixels.join(thresholds.select(*keys, "threshold"), keys).groupBy(*keys).agg(F.sum((F.col(value) > F.col("threshold")).cast("long")).alias("above"), F.count("*").alias("n"))
+    one = _beside(pixels, thresholds.select(*keys, "threshold"), keys).groupBy(*keys).agg(F.sum((F.col(value) > F.col("threshold")).cast("long")).alias("above"), F.count("*").alias("n"))
     side = F.when((F.col("above") == 0) | (F.col("above") == F.col("n")), "none").when(F.col("above") <= F.col("n") - F.col("above"), "above").otherwise("below")
     kept = F.when(side == "above", F.col("above")).when(side == "below", F.col("n") - F.col("above")).otherwise(F.lit(0))
     return one.select(*keys, "above", "n", side.alias("on"), kept.alias("kept"))
@@ -117,4 +120,4 @@ def sigma_threshold(pixels: DataFrame, keys: list[str], value: str = "v", sigmas
     good = pixels.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != float("inf")))
     one = good.groupBy(*keys).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"))
     rule = one.select(*keys, F.when(F.col("sd") > 0, F.col("m") + sigmas * F.col("sd")).alias("threshold"))
-    return good.join(rule, keys).groupBy(*keys).agg(F.max("threshold").alias("threshold"), F.coalesce(F.sum((F.col(value) > F.col("threshold")).cast("long")), F.lit(0)).alias("on"))
+    return _beside(good, rule, keys).groupBy(*keys).agg(F.max("threshold").alias("threshold"), F.coalesce(F.sum((F.col(value) > F.col("threshold")).cast("long")), F.lit(0)).alias("on"))

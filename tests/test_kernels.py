@@ -136,6 +136,27 @@ def test_small_patches(spark):
     assert not P.split_cells(pixels(spark, {0: image > 100}, "on", "boolean"), ["k"]).where("label > 0").count()
 
 
+def test_thresholds_sort_no_pixels(spark):
+    rng = np.random.default_rng(4)
+    images = {k: rng.choice([0.0, 1.0, 5.0, 9.0, 9.5] if k % 2 else rng.normal(0, 50, 97), (5, 4 + k)).round(3) for k in range(12)}
+    images |= {20: np.full((3, 3), 7.5), 21: np.array([[0.0, 1.0], [np.nan, 3.0]]), 22: np.array([[-2.0, 2.0]])}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = pixels(spark, images, "v")
+        made = {"levels": H.otsu_levels(rows, ["k"]), "centres": H.otsu_centres(rows, ["k"]), "sigma": H.sigma_threshold(rows, ["k"]), "minority": H.minority_counts(rows, H.otsu_levels(rows, ["k"]), ["k"])}
+        for name, df in made.items():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan, name
+        got = {name: {r.k: r for r in df.collect()} for name, df in made.items()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got["centres"].keys() == images.keys() and got["levels"].keys() == got["minority"].keys() == images.keys() - {20}
+    for k, image in images.items():
+        assert got["centres"][k].threshold == pytest.approx(K.otsu_by_centres(image), abs=1e-9), k
+        if k != 20:
+            assert got["levels"][k].threshold == pytest.approx(K.otsu(image), abs=1e-9), k
+
+
 def quiet(salt):
     return (190 + (17 * np.arange(96 * 96) + salt) % 31).astype(float).reshape(96, 96)
 
